@@ -26,8 +26,8 @@ COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 DIM = 4
 #: Part of a group's rows that the estimates must cover.
 COVER = 0.75
-#: Squared distances beyond this reject: the median of chi-square with DIM degrees is 3.36, its 1 - 1e-9 quantile 47.5.
-LIMIT = 60.0
+#: Squared distances beyond this reject: the 1 - 1e-9 quantile of chi-square with DIM degrees.
+LIMIT = 47.5
 #: Concentration steps.
 STEPS = 3
 #: A group's estimates weigh as its rows, those of its language as this many.
