@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, mixing, quality, sharding
+from . import byte_bpe, jaccard, mixing, quality, sharding
 from .common import documents, word_count
 
 #: Bytes of text a shard may hold.
@@ -51,12 +51,16 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link(documents(spark, sf_dir))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", F.octet_length("text").alias("n_bytes"), "text")
     placed = sharding.assign_shards(docs, SHARD_BYTES)
     return placed.select("doc_id", F.coalesce("n_bytes", F.lit(0)).cast("long").alias("n_bytes"), "shard", F.length("shard").cast("long").alias("depth"), "shard_bytes", "fits")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op6_byte_bpe, op7_source_mixing, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op6_byte_bpe, op7_source_mixing, op9_jaccard_join, op10_sharding)}
 
 SQL: dict[str, str] = {}
