@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, jaccard, mixing, quality, sharding
+from . import byte_bpe, jaccard, mixing, pii, quality, sharding
 from .common import documents, word_count
 
 #: Bytes of text a shard may hold.
@@ -17,6 +17,11 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance2")
 
 
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(documents(spark, sf_dir))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -61,6 +66,6 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", F.coalesce("n_bytes", F.lit(0)).cast("long").alias("n_bytes"), "shard", F.length("shard").cast("long").alias("depth"), "shard_bytes", "fits")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op6_byte_bpe, op7_source_mixing, op9_jaccard_join, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op5_personal_data, op6_byte_bpe, op7_source_mixing, op9_jaccard_join, op10_sharding)}
 
 SQL: dict[str, str] = {}
