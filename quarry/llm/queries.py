@@ -5,11 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, jaccard, mixing, pii, quality, sharding
+from . import byte_bpe, hash_forest, jaccard, mixing, pii, quality, sharding, url_filter
 from .common import documents, word_count
 
 #: Bytes of text a shard may hold.
 SHARD_BYTES = 4 << 20
+#: Rules of the URL filter, by host/path prefix.
+URL_RULES = {"com/en/": "block", "example.com/en/7": "allow", "net/de/": "allow", "example.net/de/8": "block", "org/es/": "block"}
+#: Hosts that the URL filter lists: these names under each domain, bare and with each first label.
+BAD_NAMES = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+BAD_HOSTS = tuple(f"{first}{name}.example.{end}" for name in BAD_NAMES for first in ("", "www.", "m.", "blog.") for end in ("com", "net", "org"))
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +22,12 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance2")
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    listed = spark.createDataFrame([(h,) for h in BAD_HOSTS], "host string")
+    return url_filter.judge(pages, URL_RULES, listed).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(documents(spark, sf_dir))
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
@@ -56,6 +67,11 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op8_hash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return hash_forest.search(rows, rows.where("vec_id % 100 = 0"))
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link(documents(spark, sf_dir))
 
@@ -66,6 +82,6 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", F.coalesce("n_bytes", F.lit(0)).cast("long").alias("n_bytes"), "shard", F.length("shard").cast("long").alias("depth"), "shard_bytes", "fits")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op5_personal_data, op6_byte_bpe, op7_source_mixing, op9_jaccard_join, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op4_url_filter, op5_personal_data, op6_byte_bpe, op7_source_mixing, op8_hash_forest, op9_jaccard_join, op10_sharding)}
 
 SQL: dict[str, str] = {}
