@@ -15,8 +15,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 U = np.uint64
-#: Entries that a map task holds before it sends them.
-HELD = 3_000_000
 SCHEMA = "bucket int, blob binary"
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, hash_forest, jaccard, lm_scores, mixing, pii, quality, sharding, url_filter
+from . import byte_bpe, hash_forest, jaccard, lm_scores, mixing, pii, quality, sharding, suffix_dedup, url_filter
 from .common import documents, word_count
 
 #: Bytes of text a shard may hold.
@@ -22,6 +22,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance2")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(documents(spark, sf_dir))
+
+
 def op3_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores.score(documents(spark, sf_dir))
 
@@ -86,6 +90,6 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", F.coalesce("n_bytes", F.lit(0)).cast("long").alias("n_bytes"), "shard", F.length("shard").cast("long").alias("depth"), "shard_bytes", "fits")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_lm_scores, op4_url_filter, op5_personal_data, op6_byte_bpe, op7_source_mixing, op8_hash_forest, op9_jaccard_join, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_suffix_dedup, op3_lm_scores, op4_url_filter, op5_personal_data, op6_byte_bpe, op7_source_mixing, op8_hash_forest, op9_jaccard_join, op10_sharding)}
 
 SQL: dict[str, str] = {}

@@ -69,6 +69,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
+def prefix_hashes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(total, inverse): (total[j] - total[i]) * inverse[i] is the same for equal bytes raw[i:j] anywhere."""
+    n = len(raw)
+    total = np.empty(n + 1, U)
+    total[0] = 0
+    np.cumsum(_CODE[raw] * _power("base", _BASE, n), out=total[1:])
+    return total, _power("inverse", _INVERSE, n + 1)
+
+
 def word_hashes(block: Block, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each word in order, and where each text's words end among them, after a leading 0."""
     raw = block.raw
