@@ -4,8 +4,10 @@
    rare shingles first. Any fixed order is right; this one keeps common passages out of the prefixes.
 2. Two sets of similarity t share a shingle among their first n - ceil(t n) + 1. Documents of identical prefix and
    size form a group, which sends its prefix once; documents with equal sets are one class and compared once.
-3. In a posting list, groups pair only with groups of fitting size. Group pairs are expanded to pairs of classes and
-   verified on the whole sets, in tasks of bounded pairs that receive each set once.
+3. In a posting list, groups pair only with groups of fitting size. Group pairs are expanded to pairs of classes.
+   Each set has a parity bitmap of about as many bits as members; the bits in which two bitmaps differ are at most
+   the members in which the sets differ, so pairs with too many are dropped without error. The others are verified on
+   the whole sets, in tasks of bounded pairs that receive each set once.
 4. Links between classes, counts of their members and components give one row a document.
 
 Defined results: null or empty text has an empty set and no links, its component is itself; rows that repeat a
@@ -32,6 +34,10 @@ from .textblocks import U, mix, shingle_sets, text_blocks
 SKETCH_BITS = 20
 #: Pairs that one task verifies at most, on average.
 PAIRS_A_TASK = 100_000
+#: Pairs that a task makes out of posting lists at once.
+PAIRS_AT_ONCE = 250_000
+#: Prefix entries that a map task holds before it sends them.
+HELD = 500_000
 #: Bits of the filter that spares most documents the exchange of texts; its size is fixed, beyond it more pass.
 FILTER_BITS = 24
 
@@ -90,8 +96,41 @@ def _prefix(s: np.ndarray, classes: np.ndarray, percent: int) -> np.ndarray:
     return s[np.argsort(of, kind="stable")[:length]]
 
 
+def _parity(s: np.ndarray) -> bytes:
+    """Bit i: the parity of the number of members whose hash ends in i."""
+    bits = max(64, 1 << (len(s) - 1).bit_length())
+    odd = np.bincount((s & U(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1
+    return np.packbits(odd, bitorder="little").tobytes()
+
+
+def differing(a: bytes, b: bytes) -> int:
+    """A lower bound of the size of the symmetric difference, from two parity bitmaps."""
+    if len(a) < len(b):
+        a, b = b, a
+    x, wide = int.from_bytes(a, "little"), 8 * len(a)
+    while wide > 8 * len(b):
+        wide //= 2
+        x = (x ^ x >> wide) & (1 << wide) - 1
+    return (x ^ int.from_bytes(b, "little")).bit_count()
+
+
+def _may_link(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Of the pairs (c1, c2) those that their classes' sizes and bitmaps don't rule out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.column(2).to_numpy() + batch.column(4).to_numpy()
+            gap = np.array([differing(a, b) for a, b in zip(batch.column(3).to_pylist(), batch.column(5).to_pylist())], np.int64)
+            yield batch.select([0, 1]).filter(pa.array((100 + percent) * gap <= (100 - percent) * n))
+
+    side = lambda k: classes.select(F.col("c").alias(f"c{k}"), F.col("n").alias(f"n{k}"), F.col("sig").alias(f"s{k}"))
+    fits = F.least("n1", "n2") * 100 >= F.greatest("n1", "n2") * percent
+    both = pairs.join(side(1), "c1").join(side(2), "c2").where(fits).select("c1", "c2", "n1", "s1", "n2", "s2")
+    return both.mapInArrow(run, pairs.schema)
+
+
 def _sets(docs: DataFrame, classes: np.ndarray, percent: int, width: int, buckets: int) -> DataFrame:
-    """Rows of two kinds in one pass over the texts: documents (id, n, fingerprint, group), and packed prefixes."""
+    """Rows of two kinds in one pass over the texts: documents (id, n, fingerprint, group, bitmap), and packed prefixes."""
     shared = docs.sparkSession.sparkContext.broadcast(classes)
     kind = docs.schema["id"].dataType.simpleString()
 
@@ -99,18 +138,19 @@ def _sets(docs: DataFrame, classes: np.ndarray, percent: int, width: int, bucket
         known: set[int] = set()
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         count = 0
-        names = ["id", "n", "f1", "f2", "g", "bucket", "blob"]
+        names = ["id", "n", "f1", "f2", "g", "sig", "bucket", "blob"]
         id_type: list[pa.DataType] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
             if held:
                 for out in send(np.concatenate([h for h, _, _ in held]), [np.concatenate([g for _, g, _ in held]), np.concatenate([n for _, _, n in held])], buckets):
-                    none = [pa.nulls(out.num_rows, t) for t in (id_type[0], pa.int64(), pa.int64(), pa.int64(), pa.int64())]
+                    none = [pa.nulls(out.num_rows, t) for t in (id_type[0], pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())]
                     yield pa.record_batch([*none, *out.columns], names)
 
         for block in text_blocks(batches):
             id_type[:] = [block.ids.type]
             rows = np.zeros((len(block.ids), 4), np.int64)
+            sigs = [None] * len(block.ids)
             for i, s in enumerate(shingle_sets(block, width)):
                 n = len(s)
                 if not n:
@@ -119,21 +159,22 @@ def _sets(docs: DataFrame, classes: np.ndarray, percent: int, width: int, bucket
                     f1, f2 = mix(s).sum(dtype=U), mix(s * U(0x9E3779B97F4A7C15) + U(7)).sum(dtype=U)
                     prefix = _prefix(s, shared.value, percent)
                     g = mix(np.array([mix(prefix + U(n)).sum(dtype=U) + U(n)]))
+                sigs[i] = _parity(s)
                 rows[i] = [n, f1.view(np.int64), f2.view(np.int64), g.view(np.int64)[0]]
                 if int(g[0]) not in known:
                     known.add(int(g[0]))
                     held.append((prefix, np.broadcast_to(g, len(prefix)), np.full(len(prefix), n, np.int32)))
                     count += len(prefix)
-                    if count > 3_000_000:
+                    if count > HELD:
                         yield from flush()
                         held.clear()
                         count = 0
                         known.clear()
             rest = [pa.nulls(len(block.ids), pa.int32()), pa.nulls(len(block.ids), pa.binary())]
-            yield pa.record_batch([block.ids, *(pa.array(np.ascontiguousarray(rows[:, k])) for k in range(4)), *rest], names)
+            yield pa.record_batch([block.ids, *(pa.array(np.ascontiguousarray(rows[:, k])) for k in range(4)), pa.array(sigs, pa.binary()), *rest], names)
         yield from flush()
 
-    return docs.mapInArrow(run, f"id {kind}, n bigint, f1 bigint, f2 bigint, g bigint, bucket int, blob binary")
+    return docs.mapInArrow(run, f"id {kind}, n bigint, f1 bigint, f2 bigint, g bigint, sig binary, bucket int, blob binary")
 
 
 def _group_pairs(sent: DataFrame, percent: int, buckets: int) -> DataFrame:
@@ -159,8 +200,8 @@ def _group_pairs(sent: DataFrame, percent: int, buckets: int) -> DataFrame:
         live = np.flatnonzero(many > 0)
         at = 0
         while at < len(live):
-            total = np.cumsum(many[live[at : at + 200_000]])
-            take = max(1, int(np.searchsorted(total, 2_000_000)))
+            total = np.cumsum(many[live[at : at + 50_000]])
+            take = max(1, int(np.searchsorted(total, PAIRS_AT_ONCE)))
             some = live[at : at + take]
             left = np.repeat(some, many[some])
             right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(many[some]) - many[some], many[some])
@@ -206,7 +247,7 @@ def _candidate_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame
     spots = [F.shiftrightunsigned(F.xxhash64("id", F.lit(s)), 64 - bits).alias(f"spot{s}") for s in (1, 2)]
     near = docs.select("id", "text", *spots).mapInArrow(passes, f"id {kind}, text string")
     exact = near.join(wanted.select("c", "cf"), (F.col("id") == F.col("c")), "left_semi")
-    return exact.mapInArrow(sets, f"c {kind}, s binary").dropDuplicates(["c"])
+    return exact.mapInArrow(sets, f"c {kind}, s binary")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -259,10 +300,10 @@ def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent:
     docs = df.select(df[id_col].alias("id"), df[text_col].cast("string").alias("text"))
     buckets = exchange_partitions(spark)
     found = materialize(_sets(docs, sketch(docs, width), percent, width, buckets), "sets")
-    rows = found.where("bucket is null").select("id", "n", "f1", "f2", "g")
-    filled = rows.where("n > 0")
+    rows = found.where("bucket is null").select("id", "n", "f1", "f2")
+    filled = found.where("bucket is null and n > 0")
     # a class: documents of equal sets, named by the least id
-    classes = filled.groupBy("f1", "f2").agg(F.countDistinct("id").alias("members"), F.min("id").alias("c"), F.min("n").alias("n"), F.min("g").alias("g"))
+    classes = filled.groupBy("f1", "f2").agg(F.countDistinct("id").alias("members"), F.min("id").alias("c"), F.min("n").alias("n"), F.min("g").alias("g"), F.first("sig").alias("sig"))
     classes = materialize(classes, "classes")
     pairs = materialize(_group_pairs(found.where("bucket is not null").select("bucket", "blob"), percent, buckets), "grouppairs")
     left = classes.select(F.col("c").alias("c1"), F.col("g").alias("g1"))
@@ -271,7 +312,7 @@ def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent:
     several = classes.groupBy("g").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("g")
     inner = classes.join(several, "g", "left_semi")
     within = inner.select(F.col("c").alias("c1"), "g").join(inner.select(F.col("c").alias("c2"), "g"), "g").where("c1 < c2").select("c1", "c2")
-    expanded = materialize(across.union(within), "expanded")
+    expanded = materialize(_may_link(across.union(within), classes, percent), "expanded")
     wanted = materialize(expanded.select(F.col("c1").alias("c")).union(expanded.select(F.col("c2").alias("c"))).distinct().withColumn("cf", F.lit(1)), "wanted")
     sets = materialize(_candidate_sets(docs, wanted, width), "candidates")
     links = materialize(_verified(expanded, sets, percent), "links")

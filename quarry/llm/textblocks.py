@@ -10,7 +10,7 @@ import pyarrow as pa
 
 U = np.uint64
 #: Bytes a block holds, unless a single text is longer.
-BLOCK = 4 << 20
+BLOCK = 1 << 20
 
 _rng = np.random.default_rng(20240501)
 _BASE = U(int(_rng.integers(1 << 60, 1 << 63)) * 2 + 1)
