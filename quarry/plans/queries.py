@@ -1,7 +1,704 @@
-"""The queries of the engine's own operators and their SQL."""
+"""The queries of the engine's own operators and their SQL.
+
+Questions are the texts of `benchmark`, all of them, and the texts of QUESTIONS; vector queries are the rows of
+`embeddings` whose id is divisible by 100. Scores are rounded to 6 digits before they rank, in both engines.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from quarry.functions import text as tx
+from quarry.functions import vectors as vx
+from quarry.operators import chunking, cite, dense, embed, fusion, graph, late, metrics, prompt, rerank, sparse
+from quarry.operators import queries as qt
+from quarry.plans import rag
+from quarry.sources import loaders, records
+
+K = 5
+QUESTIONS = (
+    "What is the best way to store vectors and how do indexes work?",
+    "How do caches improve lookup times?",
+    "Why did prices rise in 2019?",
+    "Compare dense search and sparse search",
+    "Can you explain the meaning of recall?",
+    "Explain precision; also show a good example.",
+    "I want to know how fast this is exactly",
+    "Who wrote it, and then when was it printed?",
+    "what is the difference between trees and graphs?",
+    "hello",
+    "Find Important words in addition to rare ones",
+    "What specific changes happened on March 3, 2020?",
+)
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _docs(spark, sf_dir):
+    return _t(spark, sf_dir, "documents")
+
+
+def _asked(spark, sf_dir):
+    """(qid, query) of benchmark."""
+    return _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
+
+
+def _questions(spark, sf_dir=None):
+    return spark.createDataFrame(list(enumerate(QUESTIONS)), "qid int, query string")
+
+
+def _vectors(spark, sf_dir):
+    return _t(spark, sf_dir, "embeddings")
+
+
+def _vector_queries(spark, sf_dir):
+    return _vectors(spark, sf_dir).where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), "embedding", "label")
 
+
+QUERIES: dict = {}
 SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return keep
+
+
+# ---------------------------------------------------------------- SQL fragments
+
+
+def _in(words) -> str:
+    return "(" + ", ".join("'" + w.replace("'", "''") + "'" for w in sorted(words)) + ")"
+
+
+def _tok(x: str, stop=None) -> str:
+    found = rf"regexp_extract_all(lower({x}), '[\p{{L}}\p{{N}}_]+')"
+    return f"list_filter({found}, lambda t: t NOT IN {_in(stop)})" if stop else found
+
+
+def _blank(x: str) -> str:
+    return rf"list_filter(string_split_regex(lower({x}), '\s+'), lambda t: t <> '')"
+
+
+def _set(x: str) -> str:
+    return f"list_distinct({x})"
+
+
+def _strip(x: str) -> str:
+    return rf"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
+
+
+def _sent(x: str) -> str:
+    cut = rf"string_split(regexp_replace({x}, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))"
+    return f"list_filter(list_transform({cut}, lambda s: {_strip('s')}), lambda s: s <> '')"
+
+
+def _common(a: str, b: str) -> str:
+    return f"len(list_intersect({a}, {b}))"
+
+
+def _ratio(a: str, b: str) -> str:
+    return f"(CASE WHEN {b} > 0 THEN ({a})::DOUBLE / {b} ELSE 0.0 END)"
+
+
+def _cleaned(x: str) -> str:
+    return _strip(rf"regexp_replace(regexp_replace(replace({x}, chr(13) || chr(10), chr(10)), '\n{{3,}}', chr(10) || chr(10), 'g'), '[ \t]+', ' ', 'g')")
+
+
+def _bm25(docs: str, asked: str, k1: float = sparse.K1, b: float = sparse.B) -> str:
+    """CTEs up to scored (qid, id, score)."""
+    stop = tx.INDEX_STOP
+    return f"""
+words AS (SELECT doc_id AS id, {_tok('text', stop)} AS w FROM ({docs})),
+lens AS (SELECT id, len(w) AS dl FROM words),
+posts AS (SELECT id, t AS token, count(*) AS tf FROM (SELECT id, unnest(w) AS t FROM words) GROUP BY ALL),
+terms AS (SELECT token, count(*) AS df FROM posts GROUP BY token),
+stats AS (SELECT count(*) AS n, avg(dl) AS adl FROM lens),
+asked AS (SELECT qid, t AS token, count(*) AS qtf FROM (SELECT qid, unnest({_tok('query', stop)}) AS t FROM ({asked})) GROUP BY ALL),
+scored AS (SELECT qid, id, round(sum(qtf * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * {k1 + 1} / (tf + {k1} * (1 - {b} + {b} * dl / adl))), 6) AS score
+  FROM asked JOIN terms USING (token) JOIN posts USING (token) JOIN lens USING (id), stats GROUP BY ALL)"""
+
+
+def _top(scored: str, k: int, order: str = "DESC") -> str:
+    return f"SELECT qid, rank, id, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score {order}, id) AS rank FROM {scored}) WHERE rank <= {k}"
+
+
+ASKED = "SELECT item_id AS qid, text AS query FROM benchmark"
+ALL_DOCS = "SELECT doc_id, text FROM documents"
+LITERAL = "(VALUES " + ", ".join(f"({i}, '" + q.replace("'", "''") + "')" for i, q in enumerate(QUESTIONS)) + ") AS q(qid, query)"
+EVERY = f"(SELECT qid::BIGINT AS qid, query FROM {LITERAL} UNION ALL SELECT 1000 + item_id, text FROM benchmark)"
+
+
+def _every(spark, sf_dir):
+    """QUESTIONS, and all of benchmark from 1000 on."""
+    return _questions(spark).select(F.col("qid").cast("bigint").alias("qid"), "query").unionByName(_asked(spark, sf_dir).withColumn("qid", F.col("qid") + 1000))
+
+
+# ---------------------------------------------------------------- cleaning and chunks
+
+
+@query(f"SELECT doc_id, c AS text FROM (SELECT doc_id, {_cleaned('text')} AS c FROM documents) WHERE length(c) >= 20")
+def doc_clean(spark, sf_dir):
+    return chunking.cleaned(_docs(spark, sf_dir).select("doc_id", "text"))
+
+
+def _unescaped() -> str:
+    x = r"regexp_replace(regexp_replace(regexp_replace(html, '<script[^>]*>.*?</script>', ' ', 'gis'), '<style[^>]*>.*?</style>', ' ', 'gis'), '<[^>]+>', ' ', 'g')"
+    for name, sign in tx.ENTITIES.items():
+        x = f"replace({x}, '{name}', '" + sign.replace("'", "''") + "')"
+    return _strip(rf"regexp_replace({x}, '[\s\x{{A0}}]+', ' ', 'g')")
+
+
+@query(f"SELECT page_id, {_unescaped()} AS text FROM pages")
+def html_text(spark, sf_dir):
+    return _t(spark, sf_dir, "pages").select("page_id", tx.html_to_text(F.col("html")).alias("text"))
+
+
+@query("""SELECT 'nation' AS source, concat_ws(chr(10), 'n_nationkey: ' || n_nationkey, CASE WHEN n_name <> '' THEN 'n_name: ' || n_name END, 'n_regionkey: ' || n_regionkey) AS text FROM nation
+UNION ALL SELECT 'part', concat_ws(chr(10), CASE WHEN p_name <> '' THEN p_name END, CASE WHEN p_brand <> '' THEN p_brand END, CASE WHEN p_type <> '' THEN p_type END) FROM part""")
+def csv_rows(spark, sf_dir):
+    nation, part = _t(spark, sf_dir, "nation"), _t(spark, sf_dir, "part")
+    rows = nation.select(F.lit("nation").alias("source"), loaders.row_text(nation).alias("text"))
+    return rows.unionByName(part.select(F.lit("part").alias("source"), loaders.row_text(part, ["p_name", "p_brand", "p_type"]).alias("text")))
+
+
+def _fixed_sql(size: int, overlap: int) -> str:
+    step = max(size - overlap, 1)
+    return f"""SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS chunk_index, c AS text FROM (
+  SELECT doc_id, i, substring(text, i + 1, {size}) AS c FROM (SELECT doc_id, text, unnest(range(0, length(text), {step})) AS i FROM documents)) WHERE {_strip('c')} <> ''"""
+
+
+@query(_fixed_sql(512, 64))
+def chunk_fixed(spark, sf_dir):
+    return chunking.fixed(_docs(spark, sf_dir))
+
+
+@query(f"SELECT doc_id, chunk_index, coalesce(right(lag(text) OVER (PARTITION BY doc_id ORDER BY chunk_index), 64), '') || text AS text FROM ({_fixed_sql(512, 0)})")
+def chunk_overlap(spark, sf_dir):
+    return chunking.with_overlap(chunking.fixed(_docs(spark, sf_dir), overlap=0))
+
+
+@query()
+def chunk_sentence(spark, sf_dir):
+    return chunking.by_sentence(_docs(spark, sf_dir))
+
+
+@query()
+def chunk_recursive(spark, sf_dir):
+    return chunking.recursive(_docs(spark, sf_dir))
+
+
+@query()
+def chunk_semantic(spark, sf_dir):
+    return chunking.semantic(_docs(spark, sf_dir))
+
+
+SENTENCES = f"s AS (SELECT doc_id, unnest(x) AS sentence, unnest(range(len(x))) AS idx FROM (SELECT doc_id, {_sent('text')} AS x FROM documents))"
+SIMILAR = f"""{SENTENCES},
+w AS (SELECT doc_id, idx, unnest({_set(_blank('sentence'))}) AS word FROM s),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+idf AS (SELECT doc_id, word, ln((any_value(n) + 1)::DOUBLE / (count(*) + 1)) + 1 AS idf FROM w JOIN n USING (doc_id) GROUP BY ALL),
+v AS (SELECT doc_id, idx, word, idf FROM w JOIN idf USING (doc_id, word)),
+norms AS (SELECT s.doc_id, s.idx, CASE WHEN coalesce(sum(idf * idf), 0) > 0 THEN sqrt(sum(idf * idf)) ELSE 1.0 END AS norm FROM s LEFT JOIN v USING (doc_id, idx) GROUP BY ALL),
+prod AS (SELECT a.doc_id, a.idx, sum(a.idf * b.idf) AS p FROM v a JOIN v b ON a.doc_id = b.doc_id AND a.word = b.word AND b.idx = a.idx - 1 GROUP BY ALL),
+sims AS (SELECT a.doc_id, a.idx, coalesce(p, 0.0) / (a.norm * b.norm) AS sim FROM norms a JOIN norms b ON a.doc_id = b.doc_id AND b.idx = a.idx - 1 LEFT JOIN prod ON prod.doc_id = a.doc_id AND prod.idx = a.idx),
+lim AS (SELECT doc_id, quantile_cont(sim, 0.1) AS lim FROM sims GROUP BY doc_id),
+brk AS (SELECT doc_id, idx FROM sims JOIN lim USING (doc_id) WHERE sim < lim - 1e-12)"""
+
+
+@query(f"WITH {SIMILAR} SELECT doc_id, idx, round(sim, 6) AS sim FROM sims")
+def semantic_similarity(spark, sf_dir):
+    return chunking.sentence_similarity(chunking.sentence_rows(_docs(spark, sf_dir))).withColumn("sim", F.round("sim", 6))
+
+
+@query(f"""WITH {SIMILAR} SELECT doc_id, grp::INT AS grp, string_agg(sentence, ' ' ORDER BY idx) AS text FROM (
+  SELECT s.doc_id, s.idx, sentence, sum(CASE WHEN brk.idx IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY s.doc_id ORDER BY s.idx) AS grp FROM s LEFT JOIN brk USING (doc_id, idx)) GROUP BY doc_id, grp""")
+def semantic_groups(spark, sf_dir):
+    rows = chunking.sentence_rows(_docs(spark, sf_dir))
+    return chunking.grouped(rows, chunking.breakpoints(chunking.sentence_similarity(rows)))
+
+
+# ---------------------------------------------------------------- sparse and dense search
+
+
+@query(f"WITH {_bm25(ALL_DOCS, ASKED)} SELECT token, df, n AS n_docs, round(adl, 6) AS avg_dl FROM terms, stats")
+def bm25_stats(spark, sf_dir):
+    index = sparse.build(_docs(spark, sf_dir))
+    return index.terms.join(F.broadcast(index.stats)).withColumn("avg_dl", F.round("avg_dl", 6))  # one row
+
+
+@query(f"WITH {_bm25(ALL_DOCS, ASKED)} {_top('scored', K)}")
+def bm25_topk(spark, sf_dir):
+    return sparse.search(sparse.build(_docs(spark, sf_dir)), _asked(spark, sf_dir), K)
+
+
+@query(f"WITH {_bm25(ALL_DOCS, ASKED)} {_top('scored', K)}")
+def bm25_add(spark, sf_dir):
+    docs = _docs(spark, sf_dir)
+    index = sparse.add(sparse.build(docs.where("lang = 'en'")), docs.where("lang <> 'en'"))
+    return sparse.search(index, _asked(spark, sf_dir), K)
+
+
+VQ = "SELECT vec_id AS qid, embedding::DOUBLE[] AS q, label FROM embeddings WHERE vec_id % 100 = 0"
+VR = "SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings"
+COS = f"SELECT qid, id, round(list_cosine_similarity(q, v), 6) AS score FROM ({VQ}), ({VR})"
+
+
+@query(_top(f"({COS})", K))
+def dense_cosine_topk(spark, sf_dir):
+    return dense.search(_vectors(spark, sf_dir), _vector_queries(spark, sf_dir), K)
+
+
+@query(_top(f"(SELECT qid, id, round(list_sum(list_transform(list_zip(q, v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), 6) AS score FROM ({VQ}), ({VR}))", K, "ASC"))
+def dense_l2_topk(spark, sf_dir):
+    return dense.search(_vectors(spark, sf_dir), _vector_queries(spark, sf_dir), K, "l2")
+
+
+@query(_top(f"(SELECT qid, id, round(list_inner_product(q, v) / (sqrt(list_inner_product(q, q)) * sqrt(list_inner_product(v, v)) + 1e-10), 6) AS score FROM ({VQ}), ({VR}))", K))
+def dense_chunk_cosine(spark, sf_dir):
+    return dense.search(_vectors(spark, sf_dir), _vector_queries(spark, sf_dir), K, "chunk_cosine")
+
+
+@query(_top(f"(SELECT * FROM ({COS}) WHERE id NOT IN (SELECT vec_id FROM embeddings WHERE label = 0))", K))
+def dense_remove(spark, sf_dir):
+    rows = _vectors(spark, sf_dir)
+    kept = dense.remove(rows, rows.where("label = 0").select("vec_id"))
+    return dense.search(kept, _vector_queries(spark, sf_dir), K)
+
+
+@query(f"SELECT id AS a, qid AS b, score AS sim FROM ({COS})")
+def sim_matrix(spark, sf_dir):
+    rows = _vectors(spark, sf_dir)
+    return dense.pair_similarity(rows, rows.where("vec_id % 100 = 0"))
+
+
+@query("SELECT vec_id, round(list_sum(list_transform(v, lambda x: 3 * x / greatest(sqrt(9 * list_inner_product(v, v)), 1e-12))), 6) AS total, round(sqrt(9 * list_inner_product(v, v)), 6) AS length FROM (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings)")
+def l2_normalize(spark, sf_dir):
+    long = F.transform("embedding", lambda x: x.cast("double") * 3)
+    total = F.aggregate(vx.unit(long), F.lit(0.0), lambda s, x: s + x)
+    return _vectors(spark, sf_dir).select("vec_id", F.round(total, 6).alias("total"), F.round(vx.norm(long), 6).alias("length"))
+
+
+def _rrf_sql(lists: str, weights: tuple[float, ...], k: int) -> str:
+    """lists: a relation of (qid, list_no, rank, id, score, text)."""
+    given = "CASE list_no " + " ".join(f"WHEN {i} THEN {w}" for i, w in enumerate(weights)) + " END"
+    return f"""fused AS (SELECT qid, left(text, 200) AS key, round(sum({given} / (60 + rank)), 9) AS score, min(list_no * 1000000 + rank) AS arrival,
+  arg_min({{'id': id, 'text': text}}, {{'s': -score, 'a': list_no * 1000000 + rank}}) AS shown FROM {lists} GROUP BY ALL)
+SELECT qid, rank, shown.id AS id, score, shown.text AS text FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, arrival) AS rank FROM fused) WHERE rank <= {k}"""
+
+
+@query(f"""WITH {_bm25(ALL_DOCS, ASKED)},
+flat AS (SELECT qid, id, round(sum(qtf * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5)), 6) AS score FROM asked JOIN terms USING (token) JOIN posts USING (token), stats GROUP BY ALL),
+lists AS (SELECT l.*, d.text FROM (SELECT 0 AS list_no, * FROM ({_top('scored', 20)}) UNION ALL SELECT 1, * FROM ({_top('flat', 20)})) l JOIN documents d ON d.doc_id = l.id),
+{_rrf_sql('lists', (0.7, 0.3), K)}""")
+def rrf(spark, sf_dir):
+    docs, asked = _docs(spark, sf_dir), _asked(spark, sf_dir)
+    index = sparse.build(docs)
+    lists = sparse.search(index, asked, 20).withColumn("list_no", F.lit(0)).unionByName(sparse.search(index, asked, 20, b=0.0).withColumn("list_no", F.lit(1)))
+    texts = docs.select(F.col("doc_id").alias("id"), "text")
+    return fusion.reciprocal_rank(lists.join(texts, "id"), weights=(0.7, 0.3)).where(F.col("rank") <= K)
+
+
+def _hashed(rows: str, key: str) -> str:
+    """(key, dim, x): unit vectors of hashed words, in long form."""
+    return f"""(SELECT {key}, dim, x / sqrt(sum(x * x) OVER (PARTITION BY {key})) AS x FROM (
+  SELECT {key}, ('0x' || substr(md5(t), 1, 8))::BIGINT % 256 AS dim, count(*)::DOUBLE AS x FROM (SELECT {key}, unnest({_tok('text')}) AS t FROM ({rows})) GROUP BY ALL))"""
+
+
+HYBRID = f"""WITH {_bm25(ALL_DOCS, ASKED)},
+dv AS (SELECT * FROM {_hashed("SELECT doc_id AS id, text FROM documents", "id")}), qv AS (SELECT * FROM {_hashed("SELECT item_id AS qid, text FROM benchmark", "qid")}),
+near AS (SELECT qid, id, round(sum(dv.x * qv.x), 6) AS score FROM dv JOIN qv USING (dim) GROUP BY ALL),
+lists AS (SELECT l.*, d.text FROM (SELECT 0 AS list_no, * FROM ({_top('near', 20)}) UNION ALL SELECT 1, * FROM ({_top('scored', 20)})) l JOIN documents d ON d.doc_id = l.id),
+{_rrf_sql('lists', (0.5, 0.5), K)}"""
+
+
+@query(HYBRID)
+def hybrid_topk(spark, sf_dir):
+    encoder = embed.HashingEncoder()
+    docs = embed.embed(_docs(spark, sf_dir).select("doc_id", "text"), encoder)
+    asked = embed.embed(_asked(spark, sf_dir), encoder, "query")
+    return fusion.hybrid(docs, sparse.build(docs), asked, K)
+
+
+@query(_top(f"""(SELECT qid, id, round(sum(m), 6) AS score FROM (SELECT qid, qpos, id, max(list_inner_product(q, v)) AS m
+  FROM (SELECT (vec_id // 100) % 3 AS qid, vec_id AS qpos, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 100 = 0), (SELECT label AS id, embedding::DOUBLE[] AS v FROM embeddings) GROUP BY ALL) GROUP BY ALL)""", K))
+def maxsim_topk(spark, sf_dir):
+    rows = _vectors(spark, sf_dir)
+    asked = rows.where("vec_id % 100 = 0").select(F.expr("(vec_id div 100) % 3").alias("qid"), F.col("vec_id").alias("qpos"), F.col("embedding").alias("qvec"))
+    return late.search(rows.select(F.col("label").alias("id"), F.col("embedding").alias("vec")), asked, K)
+
+
+@query(f"""SELECT qid, unnest([0, 1, 2])::INT AS h, unnest([query, 'The answer to the question ''' || query || ''' is as follows.', 'A passage about the following topic: ' || query]) AS hypothesis FROM {EVERY} e""")
+def hyde_templates(spark, sf_dir):
+    return qt.hypotheses(_every(spark, sf_dir))
+
+
+@query(_top(f"""(SELECT qid, id, round(list_cosine_similarity(q, v), 6) AS score FROM (SELECT label AS qid, list(x ORDER BY i) AS q FROM (
+  SELECT label, i, avg(x) AS x FROM (SELECT label, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS i FROM embeddings) GROUP BY ALL) GROUP BY label), ({VR}))""", K))
+def hyde_mean(spark, sf_dir):
+    rows = _vectors(spark, sf_dir)
+    return dense.search(rows, qt.mean_vectors(rows, "label", "embedding"), K)
+
+
+@query(f"""WITH {_bm25(ALL_DOCS, ASKED)},
+hits AS (SELECT t.*, b.text AS query, d.text FROM ({_top('scored', 20)}) t JOIN documents d ON d.doc_id = t.id JOIN benchmark b ON b.item_id = t.qid),
+pairs AS (SELECT qid, id, rank AS old, score AS original_score, round({_ratio(_common(_set(_blank('query')), _set(_blank('text'))), 'len(' + _set(_blank('query')) + ')')}, 6) AS score FROM hits)
+SELECT qid, rank, id, score, original_score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, old, id) AS rank FROM pairs) WHERE rank <= {K}""")
+def rerank_lexical(spark, sf_dir):
+    docs, asked = _docs(spark, sf_dir), _asked(spark, sf_dir)
+    hits = sparse.search(sparse.build(docs), asked, 20).join(docs.select(F.col("doc_id").alias("id"), "text"), "id").join(asked, "qid")
+    return rerank.rerank(hits, K).select("qid", "rank", "id", "score", "original_score")
+
+
+# ---------------------------------------------------------------- query transformation
+
+PARTS = rf"flatten(list_transform(string_split(regexp_replace(query, '(?i)\b(?:and also|and then|and|as well as|in addition to)\b', chr(1), 'g'), chr(1)), lambda p: string_split_regex({_strip('p')}, '[.?!;]\s*')))"
+
+
+@query(f"""SELECT qid, unnest(p) AS part, unnest(range(len(p)))::INT AS pos FROM (SELECT qid, CASE WHEN len(p) > 0 THEN p ELSE [query] END AS p FROM (SELECT qid, query,
+  list_transform(list_filter(list_transform({PARTS}, lambda p: {_strip('p')}), lambda p: length(p) >= 5), lambda p: CASE WHEN string_split_regex(lower(p), '\\s+')[1] IN {_in(qt.ASKING)} THEN p || '?' ELSE p END) AS p FROM {EVERY} e))""")
+def query_decompose(spark, sf_dir):
+    return _every(spark, sf_dir).select("qid", F.posexplode(qt.decompose(F.col("query"))).alias("pos", "part"))
+
+
+def _replaced(x: str, patterns) -> str:
+    for p in patterns:
+        x = f"regexp_replace({x}, '{p}', '', 'g')"
+    return x
+
+
+def _java_to_re2(replacement: str) -> str:
+    return replacement.replace("$1", "\\1").replace("$2", "\\2")
+
+
+def _general(x: str) -> str:
+    return "CASE " + " ".join(f"WHEN regexp_matches({x}, '{p}') THEN regexp_replace({x}, '{p}', '{_java_to_re2(r)}', 'g')" for p, r in qt.GENERALISE) + f" ELSE {x} END"
+
+
+@query(rf"""SELECT qid, CASE WHEN core = query THEN 'What are the general principles behind ' || {_strip("regexp_replace(query, '[?]+$', '')")} || '?' ELSE core END AS broader FROM (
+  SELECT qid, query, CASE WHEN {_strip('c')} <> '' THEN {_strip('c')} ELSE g END AS core FROM (SELECT qid, query, g, {_replaced('g', qt._SCAFFOLDS)} AS c FROM (
+  SELECT qid, query, {_general('p')} AS g FROM (SELECT qid, query, {_strip("regexp_replace(" + _replaced('query', qt._DATES) + r", '\s{2,}', ' ', 'g')")} AS p FROM {EVERY} e))))""")
+def query_stepback(spark, sf_dir):
+    return _every(spark, sf_dir).select("qid", qt.step_back(F.col("query")).alias("broader"))
+
+
+@query()
+def query_variants(spark, sf_dir):
+    return _every(spark, sf_dir).select("qid", F.posexplode(qt.variants(F.col("query"), 5)).alias("pos", "variant"))
+
+
+@query("SELECT qid, CASE " + " ".join(f"WHEN regexp_matches(query, '{p}') THEN '{n}'" for n, p in qt.TYPES) + f" ELSE 'general' END AS type FROM {EVERY} e")
+def query_route(spark, sf_dir):
+    return _every(spark, sf_dir).select("qid", qt.classify(F.col("query")).alias("type"))
+
+
+@query(f"SELECT qid, unnest([0, 1, 2, 3])::INT AS turn, unnest(['detailed explanation of ' || query, 'specifically about ' || query || ' key concepts', query || ' comprehensive overview', 'detailed explanation of ' || query]) AS refined FROM {EVERY} e")
+def query_refine(spark, sf_dir):
+    turns = _every(spark, sf_dir).withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    return turns.select("qid", "turn", qt.refine(F.col("query"), F.col("turn")).alias("refined"))
+
+
+@query(f"SELECT qid, CASE WHEN len(w) >= 2 THEN array_to_string(w, ' ') ELSE query END AS keywords FROM (SELECT qid, query, list_filter({_tok('query', tx.KEYWORD_STOP)}, lambda t: length(t) > 2) AS w FROM {EVERY} e)")
+def query_keywords(spark, sf_dir):
+    return _every(spark, sf_dir).select("qid", qt.keywords(F.col("query")).alias("keywords"))
+
+
+@query()
+def query_sub_questions(spark, sf_dir):
+    return _every(spark, sf_dir).select("qid", F.posexplode(qt.sub_questions(F.col("query"))).alias("pos", "part"))
+
+
+# ---------------------------------------------------------------- the graph of English documents
+
+
+def _english(spark, sf_dir):
+    return _docs(spark, sf_dir).where("lang = 'en'").select(F.col("doc_id").alias("chunk_id"), "text")
+
+
+NAMES = rf"""c AS (SELECT doc_id AS chunk_id, text FROM documents WHERE lang = 'en'),
+named AS (SELECT chunk_id, name, arg_min(type, p) AS type, min(p * 1000000 + pos) AS ord FROM (
+  SELECT chunk_id, {_strip('unnest(x)')} AS name, unnest(range(len(x))) AS pos, 1 AS p, 'PROPER_NOUN' AS type FROM (SELECT chunk_id, regexp_extract_all(text, '\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+)+)\b', 1) AS x FROM c)
+  UNION ALL SELECT chunk_id, {_strip('unnest(x)')}, unnest(range(len(x))), 2, 'QUOTED_TERM' FROM (SELECT chunk_id, regexp_extract_all(text, '"([^"]{{2,50}})"', 1) AS x FROM c)
+  UNION ALL SELECT chunk_id, unnest(x), unnest(range(len(x))), 3, 'ACRONYM' FROM (SELECT chunk_id, list_filter(regexp_extract_all(text, '\b([A-Z]{{2,6}})\b', 1), lambda n: n NOT IN {_in(graph.NOT_ACRONYMS)}) AS x FROM c)
+  UNION ALL SELECT chunk_id, unnest(x), unnest(range(len(x))), 4, 'NOUN' FROM (SELECT chunk_id, list_filter(regexp_extract_all(text, '\b([A-Z][a-z]{{2,}})\b', 1), lambda n: NOT starts_with(text, n)) AS x FROM c)) GROUP BY chunk_id, name)"""
+
+
+@query(f"WITH {NAMES} SELECT chunk_id, name, type FROM named")
+def graph_entities(spark, sf_dir):
+    return graph.extract(_english(spark, sf_dir)).select("chunk_id", "name", "type")
+
+
+EDGES = rf"""{NAMES},
+many AS (SELECT chunk_id FROM named GROUP BY chunk_id HAVING count(*) >= 2),
+sent AS (SELECT chunk_id, row_number() OVER () AS sid, s FROM (SELECT chunk_id, unnest(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))) AS s FROM c JOIN many USING (chunk_id))),
+present AS (SELECT chunk_id, sid, s, name, ord, instr(s, name) AS at FROM sent JOIN named USING (chunk_id) WHERE contains(s, name)),
+pairs AS (SELECT a.s, CASE WHEN a.at > b.at THEN b.name ELSE a.name END AS subj, CASE WHEN a.at > b.at THEN a.name ELSE b.name END AS obj, least(a.at, b.at) AS i, greatest(a.at, b.at) AS j
+  FROM present a JOIN present b ON a.sid = b.sid AND a.ord < b.ord),
+rel AS (SELECT subj, obj, lower(regexp_extract(CASE WHEN j > i + length(subj) THEN substring(s, i + length(subj), j - i - length(subj)) ELSE '' END, '{graph.RELATION}', 1)) AS verb FROM pairs),
+fwd AS (SELECT DISTINCT lower(subj) AS src, CASE WHEN verb <> '' THEN verb ELSE 'related_to' END AS pred, lower(obj) AS dst FROM rel),
+edges AS (SELECT * FROM fwd UNION ALL SELECT dst, 'inv_' || pred, src FROM fwd),
+mentions AS (SELECT DISTINCT lower(name) AS entity, chunk_id FROM named)"""
+
+
+@query(f"WITH {EDGES} SELECT src, pred, dst FROM edges")
+def graph_edges(spark, sf_dir):
+    return graph.build(_english(spark, sf_dir)).edges
+
+
+@query(f"""WITH {EDGES} SELECT (SELECT count(DISTINCT src) FROM edges) AS num_entities, (SELECT count(*) FROM edges) AS num_edges, (SELECT count(DISTINCT pred) FROM edges WHERE NOT starts_with(pred, 'inv_')) AS num_relation_types,
+  (SELECT count(*) FROM c) AS num_chunks, (SELECT count(DISTINCT entity) FROM mentions) AS entities_with_chunks""")
+def graph_stats(spark, sf_dir):
+    return graph.stats(graph.build(_english(spark, sf_dir)))
+
+
+START = "start AS (SELECT DISTINCT 1 AS qid, lower(name) AS entity FROM named WHERE type IN ('PROPER_NOUN', 'QUOTED_TERM'))"
+
+
+def _start(g: graph.Graph, chunks: DataFrame) -> DataFrame:
+    return graph.extract(chunks).where("type in ('PROPER_NOUN', 'QUOTED_TERM')").select(F.lit(1).alias("qid"), F.lower("name").alias("entity")).distinct()
+
+
+REACH = f"""{EDGES}, {START}, e AS (SELECT DISTINCT src, dst FROM edges),
+h1 AS (SELECT DISTINCT qid, dst AS entity FROM start JOIN e ON entity = src), h2 AS (SELECT DISTINCT qid, dst AS entity FROM h1 JOIN e ON entity = src),
+reached AS (SELECT qid, entity, min(h)::INT AS hops FROM (SELECT *, 0 AS h FROM start UNION ALL SELECT *, 1 FROM h1 UNION ALL SELECT *, 2 FROM h2) GROUP BY ALL)"""
+
+
+@query(f"WITH {REACH} SELECT qid, entity, hops FROM reached")
+def graph_bfs(spark, sf_dir):
+    chunks = _english(spark, sf_dir)
+    g = graph.build(chunks)
+    return graph.reach(g, _start(g, chunks))
+
+
+@query(f"""WITH {REACH}, hit AS (SELECT DISTINCT 1 AS qid, chunk_id FROM reached JOIN mentions USING (entity)),
+scored AS (SELECT 1 AS qid, chunk_id AS id, {_common(_set(_blank("'the meaning of tokens and words'")), _set(_blank('text')))}::DOUBLE AS score, text FROM hit JOIN c USING (chunk_id))
+SELECT qid, rank, id, score, text FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM scored) WHERE rank <= {K}""")
+def graph_chunks(spark, sf_dir):
+    chunks = _english(spark, sf_dir)
+    g = graph.build(chunks)
+    asked = spark.createDataFrame([(1, "the meaning of tokens and words")], "qid int, query string")
+    return graph.search(g, asked, K, start=_start(g, chunks))
+
+
+# ---------------------------------------------------------------- prompts, citations
+
+
+def _dialogues(spark, sf_dir):
+    """(qid, question, answer, contexts, ground_truth): user turns, the next turn, all assistant turns of the conversation."""
+    rows = _t(spark, sf_dir, "conversations")
+    by = W.partitionBy("conv_id").orderBy("turn")
+    pairs = rows.withColumns({"answer": F.lead("text").over(by), "next": F.lead("role").over(by)}).where("role = 'user' and next = 'assistant'")
+    said = rows.where("role = 'assistant'").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("t"))
+    joined = pairs.join(said, "conv_id")
+    contexts = F.transform("t", lambda t: t["text"])
+    return joined.select((F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), F.col("text").alias("question"), "answer", contexts.alias("contexts"), F.element_at(contexts, 1).alias("ground_truth"))
+
+
+DIALOGUES = """d AS (SELECT p.conv_id * 1000 + p.turn AS qid, p.text AS question, p.answer, s.contexts, s.contexts[1] AS ground_truth FROM (
+  SELECT *, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS answer, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt FROM conversations) p
+  JOIN (SELECT conv_id, list(text ORDER BY turn) AS contexts FROM conversations WHERE role = 'assistant' GROUP BY conv_id) s USING (conv_id) WHERE p.role = 'user' AND p.nxt = 'assistant')"""
+NUMBERED = "array_to_string(list_transform(contexts, lambda c, i: '[' || i || '] ' || c), chr(10) || chr(10))"
+
+
+@query(f"""WITH {DIALOGUES} SELECT qid, '{prompt.get('default').system}' || chr(10) || chr(10) || 'Context:' || chr(10) || {NUMBERED} || chr(10) || chr(10) || 'Question: ' || question || chr(10) || chr(10) || 'Answer:' AS prompt FROM d""")
+def prompt_render(spark, sf_dir):
+    return _dialogues(spark, sf_dir).select("qid", prompt.render(F.col("question"), F.col("contexts")).alias("prompt"))
+
+
+@query(f"""WITH {DIALOGUES} SELECT qid, unnest([0, 1])::INT AS pos, unnest(['system', 'user']) AS role, unnest(['{prompt.get('default').system}', 'Context:' || chr(10) || {NUMBERED} || chr(10) || chr(10) || 'Question: ' || question || chr(10) || chr(10) || 'Answer:']) AS content FROM d""")
+def prompt_messages(spark, sf_dir):
+    rows = _dialogues(spark, sf_dir).select("qid", F.posexplode(prompt.messages(F.col("question"), F.col("contexts"))).alias("pos", "m"))
+    return rows.select("qid", "pos", "m.role", "m.content")
+
+
+def _marked(spark, sf_dir):
+    """Answers with marks: one in range, one pair, one beyond."""
+    return _dialogues(spark, sf_dir).withColumn("answer", F.concat(F.col("answer"), F.lit(" [1] more [1, 2] far [99]")))
+
+
+MARKED = f"{DIALOGUES}, a AS (SELECT qid, answer || ' [1] more [1, 2] far [99]' AS answer, contexts FROM d)"
+CITED = r"list_sort(list_distinct(list_filter(list_transform(flatten(list_transform(regexp_extract_all(answer, '\[(\d+(?:\s*,\s*\d+)*)\]', 1), lambda g: string_split(g, ','))), lambda n: trim(n)::BIGINT), lambda n: n BETWEEN 1 AND len(contexts))))"
+
+
+@query(f"""WITH {MARKED} SELECT qid, array_to_string(cited, ',') AS cited, array_to_string(list_filter(range(1, len(contexts) + 1), lambda i: NOT list_contains(cited, i)), ',') AS uncited, round({_ratio('len(cited)', 'len(contexts)')}, 6) AS attribution FROM (SELECT *, {CITED} AS cited FROM a)""")
+def cite_extract(spark, sf_dir):
+    said = lambda c: F.array_join(F.transform(c, lambda n: n.cast("string")), ",").alias(c)
+    return cite.report(_marked(spark, sf_dir)).select("qid", said("cited"), said("uncited"), F.round("attribution", 6).alias("attribution"))
+
+
+@query(rf"WITH {MARKED} SELECT qid, regexp_replace(answer, '\[(\d+(?:\s*,\s*\d+)*)\]', '**\0**', 'g') AS highlighted FROM a")
+def cite_highlight(spark, sf_dir):
+    return _marked(spark, sf_dir).select("qid", cite.highlight(F.col("answer")).alias("highlighted"))
+
+
+def _span(before: str, after: str) -> str:
+    return _strip(f"(right({before}, 100) || left({after}, 50))")
+
+
+BASE = "length(answer) - length(' [1] more [1, 2] far [99]')"
+SPAN_1 = _strip(f"substring(answer, greatest({BASE} + 2 - 100, 1), 3 + 50 + least({BASE} + 1, 100))")
+SPAN_2 = _strip(f"substring(answer, greatest({BASE} + 11 - 100, 1), 6 + 50 + least({BASE} + 10, 100))")
+
+
+def _confidence(span: str, source: str) -> str:
+    return _ratio(_common(_set(_blank(span)), _set(_blank(source))), f"len({_set(_blank(span))})")
+
+
+@query(f"""WITH {MARKED}, e AS (SELECT *, {SPAN_1} AS s1, {SPAN_2} AS s2 FROM a),
+k AS (SELECT qid, list_filter([{_confidence('s1', 'contexts[1]')}, {_confidence('s2', 'contexts[1]')}, CASE WHEN len(contexts) >= 2 THEN {_confidence('s2', 'contexts[2]')} END], lambda x: x IS NOT NULL) AS c FROM e)
+SELECT qid, len(c) AS total, len(list_filter(c, lambda x: x >= 0.3)) AS valid, round(len(list_filter(c, lambda x: x >= 0.3))::DOUBLE / len(c), 6) AS fidelity FROM k""")
+def cite_validate(spark, sf_dir):
+    return cite.validate(_marked(spark, sf_dir)).withColumn("fidelity", F.round("fidelity", 6))
+
+
+# ---------------------------------------------------------------- metrics
+
+
+def _ranked(spark, sf_dir):
+    """Queries, their ten nearest, and what is relevant: rows of the same label but the query."""
+    asked = _vector_queries(spark, sf_dir)
+    ranking = dense.search(_vectors(spark, sf_dir), asked, 10).select("qid", "rank", "id")
+    rows = _vectors(spark, sf_dir).select(F.col("vec_id").alias("id"), "label")
+    relevant = asked.select("qid", "label").join(rows, "label").where("qid <> id").select("qid", "id")
+    return asked.select("qid"), ranking, relevant
+
+
+JUDGED = f"""rk AS ({_top(f"({COS})", 10)}), qs AS ({VQ}),
+rel AS (SELECT qid, vec_id AS id FROM qs JOIN embeddings e ON e.label = qs.label AND e.vec_id <> qid), nrel AS (SELECT qid, count(*) AS n FROM rel GROUP BY qid),
+j AS (SELECT rk.*, CASE WHEN rel.id IS NULL THEN 0 ELSE 1 END AS hit FROM rk LEFT JOIN rel USING (qid, id)),
+ks AS (SELECT unnest([1, 3, 5, 10])::INT AS k),
+per AS (SELECT q.qid, k, coalesce(n, 0) AS n, coalesce(sum(CASE WHEN rank <= k THEN hit END), 0) AS found, coalesce(sum(CASE WHEN rank <= k THEN hit / log2(rank + 1) END), 0) AS dcg, min(CASE WHEN hit = 1 THEN rank END) AS first
+  FROM qs q CROSS JOIN ks LEFT JOIN nrel USING (qid) LEFT JOIN j USING (qid) GROUP BY ALL),
+m AS (SELECT qid, k, CASE WHEN n > 0 THEN found::DOUBLE / n END AS recall, coalesce(1.0 / first, 0) AS rr, CASE WHEN n > 0 THEN dcg / list_sum(list_transform(range(1, least(n, k) + 1), lambda i: 1 / log2(i + 1))) ELSE 0 END AS ndcg FROM per)"""
+
+
+@query(f"WITH {JUDGED} SELECT round(coalesce(avg(recall), 0), 6) AS recall FROM m WHERE k = 5")
+def recall_at_k(spark, sf_dir):
+    return metrics.recall(*_ranked(spark, sf_dir), 5).select(F.round("recall", 6).alias("recall"))
+
+
+@query(f"WITH {JUDGED} SELECT round(avg(rr), 6) AS mrr FROM m WHERE k = 5")
+def mrr(spark, sf_dir):
+    return metrics.mrr(*_ranked(spark, sf_dir)).select(F.round("mrr", 6).alias("mrr"))
+
+
+@query(f"WITH {JUDGED} SELECT round(avg(ndcg), 6) AS ndcg FROM m WHERE k = 10")
+def ndcg(spark, sf_dir):
+    return metrics.ndcg(*_ranked(spark, sf_dir), 10).select(F.round("ndcg", 6).alias("ndcg"))
+
+
+@query(f"WITH {JUDGED} SELECT k, round(coalesce(avg(recall), 0), 6) AS recall, round(avg(rr), 6) AS mrr, round(avg(ndcg), 6) AS ndcg FROM m GROUP BY k")
+def retrieval_report(spark, sf_dir):
+    return metrics.retrieval(*_ranked(spark, sf_dir)).select("k", *(F.round(c, 6).alias(c) for c in ("recall", "mrr", "ndcg")))
+
+
+def _union(tok: str) -> str:
+    return f"list_distinct(flatten(list_transform(contexts, lambda c: {tok})))"
+
+
+def _f1(a: str, b: str) -> str:
+    return _ratio(f"2.0 * {_common(a, b)}", f"(len({a}) + len({b}))")
+
+
+_content = lambda x: _set(_tok(x, tx.CONTENT_STOP))
+_asked_words = lambda x: f"list_filter({_set(_blank(x))}, lambda t: t NOT IN {_in(tx.QUESTION_STOP)})"
+ANSWERS = {
+    "faithfulness": _ratio(_common(_set(_blank("answer")), _union(_blank("c"))), f"len({_set(_blank('answer'))})"),
+    "relevance": _ratio(_common(_asked_words("question"), _asked_words("answer")), f"len({_asked_words('question')})"),
+    "token_f1": _f1(_set(_blank("answer")), _set(_blank("ground_truth"))),
+    "exact_match": rf"({_strip(r"regexp_replace(lower(answer), '\s+', ' ', 'g')")} = {_strip(r"regexp_replace(lower(ground_truth), '\s+', ' ', 'g')")})::INT::DOUBLE",
+    "ctx_precision": f"(CASE WHEN len({_content('ground_truth')}) > 0 THEN {_ratio(f'len(list_filter(contexts, lambda c: {_common(_content("c"), _content("ground_truth"))} > 0.1 * len({_content("ground_truth")})))', 'len(contexts)')} ELSE 0.0 END)",
+    "ctx_recall": _ratio(_common(_content("ground_truth"), _union(_tok("c", tx.CONTENT_STOP))), f"len({_content('ground_truth')})"),
+    "ans_faithfulness": _ratio(f"len(list_filter({_sent('answer')}, lambda s: {_common(_content('s'), _union(_tok('c', tx.CONTENT_STOP)))} >= 0.5 * len({_content('s')})))", f"len({_sent('answer')})"),
+    "ans_relevance": _f1(_content("question"), _content("answer")),
+}
+
+
+def _answer_query(name: str, make):
+    def run(spark, sf_dir):
+        return _dialogues(spark, sf_dir).select("qid", F.round(make(F.col), 6).alias(name))
+
+    run.__name__ = name
+    query(f"WITH {DIALOGUES} SELECT qid, round({ANSWERS[name]}, 6) AS {name} FROM d")(run)
+
+
+_answer_query("faithfulness", lambda c: metrics.faithfulness(c("answer"), c("contexts")))
+_answer_query("relevance", lambda c: metrics.relevance(c("question"), c("answer")))
+_answer_query("token_f1", lambda c: metrics.token_f1(c("answer"), c("ground_truth")))
+_answer_query("exact_match", lambda c: metrics.exact_match(c("answer"), c("ground_truth")))
+_answer_query("ctx_precision", lambda c: metrics.context_precision(c("contexts"), c("ground_truth")))
+_answer_query("ctx_recall", lambda c: metrics.context_recall(c("contexts"), c("ground_truth")))
+_answer_query("ans_faithfulness", lambda c: metrics.answer_faithfulness(c("answer"), c("contexts")))
+_answer_query("ans_relevance", lambda c: metrics.answer_relevance(c("question"), c("answer")))
+
+
+@query(f"WITH {DIALOGUES} SELECT " + ", ".join(f"round(avg({ANSWERS[s]}), 6) AS {n}" for n, s in zip(metrics.SAMPLE_METRICS, ("ctx_precision", "ctx_recall", "ans_faithfulness", "ans_relevance"))) + " FROM d")
+def sample_report(spark, sf_dir):
+    return metrics.evaluate_all(_dialogues(spark, sf_dir)).select(*(F.round(m, 6).alias(m) for m in metrics.SAMPLE_METRICS))
+
+
+@query("SELECT event_type, count(*) AS n, round(avg(value), 4) AS avg_latency, round(quantile_cont(value, 0.95), 4) AS p95_latency, round(sum(value), 2) AS total_time FROM events GROUP BY event_type")
+def latency_summary(spark, sf_dir):
+    rows = _t(spark, sf_dir, "events")
+    return rows.groupBy("event_type").agg(F.count("value").alias("n"), F.round(F.avg("value"), 4).alias("avg_latency"), F.round(F.percentile("value", 0.95), 4).alias("p95_latency"), F.round(F.sum("value"), 2).alias("total_time"))
+
+
+# ---------------------------------------------------------------- whole plans
+
+
+def _chunks(spark, sf_dir):
+    return rag.chunked(_docs(spark, sf_dir), rag.Settings())
+
+
+def _as_questions(spark, sf_dir):
+    return _asked(spark, sf_dir).withColumnRenamed("query", "question")
+
+
+SHOWN = ["qid", "question", "answer", "contexts", "sources"]
+
+
+@query()
+def basic_rag(spark, sf_dir):
+    return rag.basic(_chunks(spark, sf_dir), _as_questions(spark, sf_dir)).select(*SHOWN, "attribution")
+
+
+@query()
+def agentic_rag(spark, sf_dir):
+    return rag.agentic(_chunks(spark, sf_dir), _as_questions(spark, sf_dir)).select(*SHOWN)
+
+
+@query()
+def corrective_rag(spark, sf_dir):
+    return rag.corrective(_chunks(spark, sf_dir), _as_questions(spark, sf_dir)).select(*SHOWN, "status")
+
+
+@query()
+def graph_rag(spark, sf_dir):
+    chunks = rag.chunked(_docs(spark, sf_dir).where("lang = 'en'"), rag.Settings())
+    return rag.graph_rag(chunks, _as_questions(spark, sf_dir)).select(*SHOWN)
+
+
+@query()
+def predictions(spark, sf_dir):
+    return records.summary(rag.basic(_chunks(spark, sf_dir), _as_questions(spark, sf_dir), citations=False))
+
+
+def _items(spark, sf_dir):
+    modality = F.when(F.col("label") % 2 == 0, "image").otherwise("text")
+    return _vectors(spark, sf_dir).select(F.col("vec_id").alias("id"), modality.alias("modality"), F.concat(F.lit("item "), "vec_id").alias("text"), F.when(F.col("label") == 0, F.lit(None)).otherwise(F.concat(F.lit("label "), "label")).alias("caption"), "embedding")
+
+
+@query(f"""SELECT qid, list(CASE WHEN label % 2 = 0 THEN '[Image] ' || CASE WHEN label = 0 THEN 'item ' || id ELSE 'label ' || label END ELSE 'item ' || id END ORDER BY rank) AS contexts
+FROM ({_top(f"({COS})", K)}) t JOIN embeddings e ON e.vec_id = t.id GROUP BY qid""")
+def multimodal_search(spark, sf_dir):
+    asked = _vector_queries(spark, sf_dir).select("qid", F.lit("which items are near?").alias("question"), "embedding")
+    return rag.multimodal(_items(spark, sf_dir), asked).select("qid", "contexts")
