@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +44,25 @@ def discard(df: DataFrame) -> None:
             folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def trimmed(run: Callable) -> Callable:
+    """run, a function of a partition's batches, giving freed memory back to the system in the end: idle workers stay small."""
+
+    @wraps(run)
+    def whole(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+            libc.malloc_trim(0)
+
+    return whole
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of plans that nothing refers to any more; else that waits for the driver's memory to fill."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def exchange_partitions(spark: SparkSession, times: int = 1) -> int:
     """Partitions of an explicit exchange: the session's setting, which the cluster sizes to its data."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))) * times

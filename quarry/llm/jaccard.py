@@ -1,7 +1,7 @@
 """N-gram Jaccard join by grouped prefixes: exact, whatever the number of copies.
 
-1. A count sketch of fixed size says which shingles many documents share; sets are ordered by (count class, hash),
-   rare shingles first. Any fixed order is right; this one keeps common passages out of the prefixes.
+1. All shingles are counted; a table of fixed size says which of them many documents share. Sets are ordered by
+   (count class, hash), rare shingles first. Any fixed order is right; this one keeps common passages out of prefixes.
 2. Two sets of similarity t share a shingle among their first n - ceil(t n) + 1. Documents of identical prefix and
    size form a group, which sends its prefix once; documents with equal sets are one class and compared once.
 3. In a posting list, groups pair only with groups of fitting size. Group pairs are expanded to pairs of classes.
@@ -25,13 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import discard, exchange_partitions, materialize
+from .common import discard, exchange_partitions, materialize, release_shuffles, trimmed
 from .components import components
-from .packed import SCHEMA, exchange, receive, send
+from .packed import SCHEMA, dump, exchange, load, receive, send
 from .textblocks import U, mix, shingle_sets, text_blocks
 
-#: Counters of the sketch: 2 ** this.
-SKETCH_BITS = 20
+#: Slots of the table of common shingles: 2 ** this.
+SLOT_BITS = 22
 #: Pairs that one task verifies at most, on average.
 PAIRS_A_TASK = 100_000
 #: Pairs that a task makes out of posting lists at once.
@@ -43,43 +43,82 @@ FILTER_BITS = 24
 
 
 def _slot(h: np.ndarray) -> np.ndarray:
-    return (h & U((1 << SKETCH_BITS) - 1)).astype(np.int64)
+    return (h >> U(24) & U((1 << SLOT_BITS) - 1)).astype(np.int64)
 
 
-def sketch(docs: DataFrame, width: int = 3) -> np.ndarray:
-    """Count class of each counter: 0 up to twice the typical count, then by half powers of two. 1 MB at any size."""
-    parts = 64
-    each = (1 << SKETCH_BITS) // parts
+def shingle_classes(docs: DataFrame, width: int, buckets: int) -> np.ndarray:
+    """Count class of each slot of hashes: 0 where no common shingle falls, else half powers of two of its count.
+
+    All shingles are counted, by 40 bits of their hashes. The table has a fixed size: the least class that it keeps is
+    as low as leaves three quarters of the slots empty, so that rare shingles seldom look common.
+    """
+    common = 4
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << SKETCH_BITS, np.int64)
+        held, size = [], 0
         for block in text_blocks(batches):
-            held = list(shingle_sets(block, width))
-            if held:
-                total += np.bincount(_slot(np.concatenate(held)), minlength=1 << SKETCH_BITS)
-        if total.any():
-            import zstandard
+            held += [s & U(~0xFFFFFF & 0xFFFFFFFFFFFFFFFF) for s in shingle_sets(block, width)]
+            size += sum(map(len, held[-len(block.ids) :]))
+            if size > 2 * HELD:
+                h, n = np.unique(np.concatenate(held), return_counts=True)
+                yield from send(h, [n.astype(np.uint32)], buckets)
+                held, size = [], 0
+        if size:
+            h, n = np.unique(np.concatenate(held), return_counts=True)
+            yield from send(h, [n.astype(np.uint32)], buckets)
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = receive(batches)
+        if got:
+            h, inverse = np.unique(got[0], return_inverse=True)
+            n = np.bincount(inverse, weights=got[1])
+            h, n = h[n >= common], n[n >= common]
+            if len(h):
+                blob = dump([h, np.clip(2 * np.log2(n), 1, 120).astype(np.uint8)])
+                yield pa.record_batch([pa.array([0], pa.int32()), pa.array([blob], pa.binary())], ["bucket", "blob"])
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros(128, np.int64)
+        for batch in batches:
+            for blob in batch.column(1).to_pylist():
+                found += np.bincount(load(blob)[1], minlength=128)
+        yield pa.record_batch([pa.array(range(128), pa.int32()), pa.array(found)], ["class", "n"])
+
+    known = materialize(exchange(docs.mapInArrow(trimmed(count), SCHEMA), buckets).mapInArrow(trimmed(total), SCHEMA), "common")
+    rows = known.mapInArrow(trimmed(spread), "class int, n bigint").groupBy("class").agg(F.sum("n").alias("n")).collect()  # 128 rows
+    above = np.cumsum([n for _, n in sorted(((r["class"], r["n"]) for r in rows), reverse=True)])[::-1] if rows else np.zeros(128)
+    least = int(np.argmax(np.append(above, 0) <= 1 << (SLOT_BITS - 2)))
+    parts = 64
+    each = (1 << SLOT_BITS) // parts
+
+    def table(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
 
-            blobs = [zstandard.compress(np.ascontiguousarray(total[i * each : (i + 1) * each].view(np.uint8).reshape(-1, 8).T).tobytes(), 1) for i in range(parts)]
-            yield pa.record_batch([pa.array(range(parts), pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+        full = np.zeros(1 << SLOT_BITS, np.uint8)
+        for batch in batches:
+            for blob in batch.column(1).to_pylist():
+                h, c = load(blob)
+                np.maximum.at(full, _slot(h[c >= least]), c[c >= least])
+        blobs = [zstandard.compress(full[i * each : (i + 1) * each].tobytes(), 1) for i in range(parts)]
+        yield pa.record_batch([pa.array(range(parts), pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def most(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        sums: dict[int, np.ndarray] = {}
+        top: dict[int, np.ndarray] = {}
         for batch in batches:
             for part, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                x = np.ascontiguousarray(np.frombuffer(zstandard.decompress(blob), np.uint8).reshape(8, -1).T).reshape(-1).view(np.int64)
-                sums[part] = sums[part] + x if part in sums else x.copy()
-        if sums:
-            yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["bucket", "blob"])
+                x = np.frombuffer(zstandard.decompress(blob), np.uint8)
+                top[part] = np.maximum(top[part], x) if part in top else x
+        if top:
+            yield pa.record_batch([pa.array(list(top), pa.int32()), pa.array([x.tobytes() for x in top.values()], pa.binary())], ["bucket", "blob"])
 
-    rows = exchange(docs.mapInArrow(count, SCHEMA), parts).mapInArrow(add, SCHEMA).collect()  # always 64 rows of 128 KB at most
-    total = np.zeros(1 << SKETCH_BITS, np.int64)
-    for row in rows:
-        total[row.bucket * each : (row.bucket + 1) * each] = np.frombuffer(row.blob, np.int64)
-    typical = max(4.0, float(np.median(total)))
-    return np.clip(np.ceil(2 * np.log2(np.maximum(total, 1) / (2 * typical))), 0, 100).astype(np.uint8)
+    full = np.zeros(1 << SLOT_BITS, np.uint8)
+    for row in exchange(known.mapInArrow(trimmed(table), SCHEMA), parts).mapInArrow(trimmed(most), SCHEMA).collect():  # 4 MB at any size
+        full[row.bucket * each : (row.bucket + 1) * each] = np.frombuffer(row.blob, np.uint8)
+    discard(known)
+    release_shuffles(docs.sparkSession)
+    return full
 
 
 def _need(n: np.ndarray | int, percent: int):
@@ -126,29 +165,25 @@ def _may_link(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     side = lambda k: classes.select(F.col("c").alias(f"c{k}"), F.col("n").alias(f"n{k}"), F.col("sig").alias(f"s{k}"))
     fits = F.least("n1", "n2") * 100 >= F.greatest("n1", "n2") * percent
     both = pairs.join(side(1), "c1").join(side(2), "c2").where(fits).select("c1", "c2", "n1", "s1", "n2", "s2")
-    return both.mapInArrow(run, pairs.schema)
+    return both.mapInArrow(trimmed(run), pairs.schema)
 
 
-def _sets(docs: DataFrame, classes: np.ndarray, percent: int, width: int, buckets: int) -> DataFrame:
-    """Rows of two kinds in one pass over the texts: documents (id, n, fingerprint, group, bitmap), and packed prefixes."""
-    shared = docs.sparkSession.sparkContext.broadcast(classes)
+def _sets(docs: DataFrame, shared, percent: int, width: int, buckets: int, prefixes: bool) -> DataFrame:
+    """Documents (id, n, fingerprint, group, bitmap), or the packed prefixes of their groups. shared: the classes."""
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: set[int] = set()
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         count = 0
-        names = ["id", "n", "f1", "f2", "g", "sig", "bucket", "blob"]
-        id_type: list[pa.DataType] = []
+        names = ["id", "n", "f1", "f2", "g", "sig"]
 
         def flush() -> Iterator[pa.RecordBatch]:
             if held:
-                for out in send(np.concatenate([h for h, _, _ in held]), [np.concatenate([g for _, g, _ in held]), np.concatenate([n for _, _, n in held])], buckets):
-                    none = [pa.nulls(out.num_rows, t) for t in (id_type[0], pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())]
-                    yield pa.record_batch([*none, *out.columns], names)
+                h, g, n = (np.concatenate(x) for x in zip(*held))
+                yield from send(h, [g, n], buckets)
 
         for block in text_blocks(batches):
-            id_type[:] = [block.ids.type]
             rows = np.zeros((len(block.ids), 4), np.int64)
             sigs = [None] * len(block.ids)
             for i, s in enumerate(shingle_sets(block, width)):
@@ -159,9 +194,10 @@ def _sets(docs: DataFrame, classes: np.ndarray, percent: int, width: int, bucket
                     f1, f2 = mix(s).sum(dtype=U), mix(s * U(0x9E3779B97F4A7C15) + U(7)).sum(dtype=U)
                     prefix = _prefix(s, shared.value, percent)
                     g = mix(np.array([mix(prefix + U(n)).sum(dtype=U) + U(n)]))
-                sigs[i] = _parity(s)
-                rows[i] = [n, f1.view(np.int64), f2.view(np.int64), g.view(np.int64)[0]]
-                if int(g[0]) not in known:
+                if not prefixes:
+                    sigs[i] = _parity(s)
+                    rows[i] = [n, f1.view(np.int64), f2.view(np.int64), g.view(np.int64)[0]]
+                elif int(g[0]) not in known:
                     known.add(int(g[0]))
                     held.append((prefix, np.broadcast_to(g, len(prefix)), np.full(len(prefix), n, np.int32)))
                     count += len(prefix)
@@ -170,11 +206,11 @@ def _sets(docs: DataFrame, classes: np.ndarray, percent: int, width: int, bucket
                         held.clear()
                         count = 0
                         known.clear()
-            rest = [pa.nulls(len(block.ids), pa.int32()), pa.nulls(len(block.ids), pa.binary())]
-            yield pa.record_batch([block.ids, *(pa.array(np.ascontiguousarray(rows[:, k])) for k in range(4)), pa.array(sigs, pa.binary()), *rest], names)
+            if not prefixes:
+                yield pa.record_batch([block.ids, *(pa.array(np.ascontiguousarray(rows[:, k])) for k in range(4)), pa.array(sigs, pa.binary())], names)
         yield from flush()
 
-    return docs.mapInArrow(run, f"id {kind}, n bigint, f1 bigint, f2 bigint, g bigint, sig binary, bucket int, blob binary")
+    return docs.mapInArrow(trimmed(run), SCHEMA if prefixes else f"id {kind}, n bigint, f1 bigint, f2 bigint, g bigint, sig binary")
 
 
 def _group_pairs(sent: DataFrame, percent: int, buckets: int) -> DataFrame:
@@ -210,7 +246,7 @@ def _group_pairs(sent: DataFrame, percent: int, buckets: int) -> DataFrame:
             yield pa.record_batch([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["g1", "g2"])
             at += take
 
-    return exchange(sent, buckets).mapInArrow(run, "g1 bigint, g2 bigint").distinct()
+    return exchange(sent, buckets).mapInArrow(trimmed(run), "g1 bigint, g2 bigint").distinct()
 
 
 def _filter(ids: DataFrame) -> tuple[np.ndarray, int]:
@@ -245,9 +281,9 @@ def _candidate_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame
 
     kind = docs.schema["id"].dataType.simpleString()
     spots = [F.shiftrightunsigned(F.xxhash64("id", F.lit(s)), 64 - bits).alias(f"spot{s}") for s in (1, 2)]
-    near = docs.select("id", "text", *spots).mapInArrow(passes, f"id {kind}, text string")
+    near = docs.select("id", "text", *spots).mapInArrow(trimmed(passes), f"id {kind}, text string")
     exact = near.join(wanted.select("c", "cf"), (F.col("id") == F.col("c")), "left_semi")
-    return exact.mapInArrow(sets, f"c {kind}, s binary")
+    return exact.mapInArrow(trimmed(sets), f"c {kind}, s binary")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -291,7 +327,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             if found:
                 yield pa.record_batch([pa.array([f[k] for f in found], batch.column(4).type) for k in (0, 1)], ["c1", "c2"])
 
-    return rows.mapInArrow(run, f"c1 {kind}, c2 {kind}")
+    return rows.mapInArrow(trimmed(run), f"c1 {kind}, c2 {kind}")
 
 
 def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 70, width: int = 3) -> DataFrame:
@@ -299,13 +335,14 @@ def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent:
     spark = df.sparkSession
     docs = df.select(df[id_col].alias("id"), df[text_col].cast("string").alias("text"))
     buckets = exchange_partitions(spark)
-    found = materialize(_sets(docs, sketch(docs, width), percent, width, buckets), "sets")
-    rows = found.where("bucket is null").select("id", "n", "f1", "f2")
-    filled = found.where("bucket is null and n > 0")
+    shared = spark.sparkContext.broadcast(shingle_classes(docs, width, buckets))
+    found = materialize(_sets(docs, shared, percent, width, buckets, False), "sets")
+    rows = found.select("id", "n", "f1", "f2")
+    filled = found.where("n > 0")
     # a class: documents of equal sets, named by the least id
     classes = filled.groupBy("f1", "f2").agg(F.countDistinct("id").alias("members"), F.min("id").alias("c"), F.min("n").alias("n"), F.min("g").alias("g"), F.first("sig").alias("sig"))
     classes = materialize(classes, "classes")
-    pairs = materialize(_group_pairs(found.where("bucket is not null").select("bucket", "blob"), percent, buckets), "grouppairs")
+    pairs = materialize(_group_pairs(_sets(docs, shared, percent, width, buckets, True), percent, buckets), "grouppairs")
     left = classes.select(F.col("c").alias("c1"), F.col("g").alias("g1"))
     right = classes.select(F.col("c").alias("c2"), F.col("g").alias("g2"))
     across = pairs.join(left, "g1").join(right, "g2").select(F.least("c1", "c2").alias("c1"), F.greatest("c1", "c2").alias("c2"))
