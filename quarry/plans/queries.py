@@ -129,7 +129,7 @@ scored AS (SELECT qid, id, round(sum(qtf * ln((n - df + 0.5) / (df + 0.5) + 1) *
 
 
 def _top(scored: str, k: int, order: str = "DESC") -> str:
-    return f"SELECT qid, rank, id, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score {order}, id) AS rank FROM {scored}) WHERE rank <= {k}"
+    return f"SELECT qid, rank::INT AS rank, id, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score {order}, id) AS rank FROM {scored}) WHERE rank <= {k}"
 
 
 ASKED = "SELECT item_id AS qid, text AS query FROM benchmark"
@@ -173,7 +173,7 @@ def csv_rows(spark, sf_dir):
 
 def _fixed_sql(size: int, overlap: int) -> str:
     step = max(size - overlap, 1)
-    return f"""SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS chunk_index, c AS text FROM (
+    return f"""SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INT AS chunk_index, c AS text FROM (
   SELECT doc_id, i, substring(text, i + 1, {size}) AS c FROM (SELECT doc_id, text, unnest(range(0, length(text), {step})) AS i FROM documents)) WHERE {_strip('c')} <> ''"""
 
 
@@ -202,7 +202,7 @@ def chunk_semantic(spark, sf_dir):
     return chunking.semantic(_docs(spark, sf_dir))
 
 
-SENTENCES = f"s AS (SELECT doc_id, unnest(x) AS sentence, unnest(range(len(x))) AS idx FROM (SELECT doc_id, {_sent('text')} AS x FROM documents))"
+SENTENCES = f"s AS (SELECT doc_id, unnest(x) AS sentence, unnest(range(len(x)))::INT AS idx FROM (SELECT doc_id, {_sent('text')} AS x FROM documents))"
 SIMILAR = f"""{SENTENCES},
 w AS (SELECT doc_id, idx, unnest({_set(_blank('sentence'))}) AS word FROM s),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
@@ -293,7 +293,7 @@ def _rrf_sql(lists: str, weights: tuple[float, ...], k: int) -> str:
     given = "CASE list_no " + " ".join(f"WHEN {i} THEN {w}" for i, w in enumerate(weights)) + " END"
     return f"""fused AS (SELECT qid, left(text, 200) AS key, round(sum({given} / (60 + rank)), 9) AS score, min(list_no * 1000000 + rank) AS arrival,
   arg_min({{'id': id, 'text': text}}, {{'s': -score, 'a': list_no * 1000000 + rank}}) AS shown FROM {lists} GROUP BY ALL)
-SELECT qid, rank, shown.id AS id, score, shown.text AS text FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, arrival) AS rank FROM fused) WHERE rank <= {k}"""
+SELECT qid, rank::INT AS rank, shown.id AS id, score, shown.text AS text FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, arrival) AS rank FROM fused) WHERE rank <= {k}"""
 
 
 @query(f"""WITH {_bm25(ALL_DOCS, ASKED)},
@@ -352,7 +352,7 @@ def hyde_mean(spark, sf_dir):
 @query(f"""WITH {_bm25(ALL_DOCS, ASKED)},
 hits AS (SELECT t.*, b.text AS query, d.text FROM ({_top('scored', 20)}) t JOIN documents d ON d.doc_id = t.id JOIN benchmark b ON b.item_id = t.qid),
 pairs AS (SELECT qid, id, rank AS old, score AS original_score, round({_ratio(_common(_set(_blank('query')), _set(_blank('text'))), 'len(' + _set(_blank('query')) + ')')}, 6) AS score FROM hits)
-SELECT qid, rank, id, score, original_score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, old, id) AS rank FROM pairs) WHERE rank <= {K}""")
+SELECT qid, rank::INT AS rank, id, score, original_score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, old, id) AS rank FROM pairs) WHERE rank <= {K}""")
 def rerank_lexical(spark, sf_dir):
     docs, asked = _docs(spark, sf_dir), _asked(spark, sf_dir)
     hits = sparse.search(sparse.build(docs), asked, 20).join(docs.select(F.col("doc_id").alias("id"), "text"), "id").join(asked, "qid")
@@ -424,12 +424,14 @@ def _english(spark, sf_dir):
     return _docs(spark, sf_dir).where("lang = 'en'").select(F.col("doc_id").alias("chunk_id"), "text")
 
 
-NAMES = rf"""c AS (SELECT doc_id AS chunk_id, text FROM documents WHERE lang = 'en'),
+#: Letters beyond ASCII as a word character: DuckDB's word borders know ASCII only.
+_ascii = lambda x: rf"regexp_replace({x}, '[^\P{{L}}\x00-\x7F]', '0', 'g')"
+NAMES = rf"""c AS (SELECT doc_id AS chunk_id, text, {_ascii('text')} AS plain FROM documents WHERE lang = 'en'),
 named AS (SELECT chunk_id, name, arg_min(type, p) AS type, min(p * 1000000 + pos) AS ord FROM (
-  SELECT chunk_id, {_strip('unnest(x)')} AS name, unnest(range(len(x))) AS pos, 1 AS p, 'PROPER_NOUN' AS type FROM (SELECT chunk_id, regexp_extract_all(text, '\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+)+)\b', 1) AS x FROM c)
+  SELECT chunk_id, {_strip('unnest(x)')} AS name, unnest(range(len(x))) AS pos, 1 AS p, 'PROPER_NOUN' AS type FROM (SELECT chunk_id, regexp_extract_all(plain, '\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+)+)\b', 1) AS x FROM c)
   UNION ALL SELECT chunk_id, {_strip('unnest(x)')}, unnest(range(len(x))), 2, 'QUOTED_TERM' FROM (SELECT chunk_id, regexp_extract_all(text, '"([^"]{{2,50}})"', 1) AS x FROM c)
-  UNION ALL SELECT chunk_id, unnest(x), unnest(range(len(x))), 3, 'ACRONYM' FROM (SELECT chunk_id, list_filter(regexp_extract_all(text, '\b([A-Z]{{2,6}})\b', 1), lambda n: n NOT IN {_in(graph.NOT_ACRONYMS)}) AS x FROM c)
-  UNION ALL SELECT chunk_id, unnest(x), unnest(range(len(x))), 4, 'NOUN' FROM (SELECT chunk_id, list_filter(regexp_extract_all(text, '\b([A-Z][a-z]{{2,}})\b', 1), lambda n: NOT starts_with(text, n)) AS x FROM c)) GROUP BY chunk_id, name)"""
+  UNION ALL SELECT chunk_id, unnest(x), unnest(range(len(x))), 3, 'ACRONYM' FROM (SELECT chunk_id, list_filter(regexp_extract_all(plain, '\b([A-Z]{{2,6}})\b', 1), lambda n: n NOT IN {_in(graph.NOT_ACRONYMS)}) AS x FROM c)
+  UNION ALL SELECT chunk_id, unnest(x), unnest(range(len(x))), 4, 'NOUN' FROM (SELECT chunk_id, list_filter(regexp_extract_all(plain, '\b([A-Z][a-z]{{2,}})\b', 1), lambda n: NOT starts_with(text, n)) AS x FROM c)) GROUP BY chunk_id, name)"""
 
 
 @query(f"WITH {NAMES} SELECT chunk_id, name, type FROM named")
@@ -443,7 +445,7 @@ sent AS (SELECT chunk_id, row_number() OVER () AS sid, s FROM (SELECT chunk_id,
 present AS (SELECT chunk_id, sid, s, name, ord, instr(s, name) AS at FROM sent JOIN named USING (chunk_id) WHERE contains(s, name)),
 pairs AS (SELECT a.s, CASE WHEN a.at > b.at THEN b.name ELSE a.name END AS subj, CASE WHEN a.at > b.at THEN a.name ELSE b.name END AS obj, least(a.at, b.at) AS i, greatest(a.at, b.at) AS j
   FROM present a JOIN present b ON a.sid = b.sid AND a.ord < b.ord),
-rel AS (SELECT subj, obj, lower(regexp_extract(CASE WHEN j > i + length(subj) THEN substring(s, i + length(subj), j - i - length(subj)) ELSE '' END, '{graph.RELATION}', 1)) AS verb FROM pairs),
+rel AS (SELECT subj, obj, lower(regexp_extract({_ascii("CASE WHEN j > i + length(subj) THEN substring(s, i + length(subj), j - i - length(subj)) ELSE '' END")}, '{graph.RELATION}', 1)) AS verb FROM pairs),
 fwd AS (SELECT DISTINCT lower(subj) AS src, CASE WHEN verb <> '' THEN verb ELSE 'related_to' END AS pred, lower(obj) AS dst FROM rel),
 edges AS (SELECT * FROM fwd UNION ALL SELECT dst, 'inv_' || pred, src FROM fwd),
 mentions AS (SELECT DISTINCT lower(name) AS entity, chunk_id FROM named)"""
@@ -481,7 +483,7 @@ def graph_bfs(spark, sf_dir):
 
 @query(f"""WITH {REACH}, hit AS (SELECT DISTINCT 1 AS qid, chunk_id FROM reached JOIN mentions USING (entity)),
 scored AS (SELECT 1 AS qid, chunk_id AS id, {_common(_set(_blank("'the meaning of tokens and words'")), _set(_blank('text')))}::DOUBLE AS score, text FROM hit JOIN c USING (chunk_id))
-SELECT qid, rank, id, score, text FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM scored) WHERE rank <= {K}""")
+SELECT qid, rank::INT AS rank, id, score, text FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM scored) WHERE rank <= {K}""")
 def graph_chunks(spark, sf_dir):
     chunks = _english(spark, sf_dir)
     g = graph.build(chunks)
