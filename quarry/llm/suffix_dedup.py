@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import exchange_partitions, materialize
+from .common import exchange_partitions, materialize, trimmed
 from .members import member_filter, member_spots
 from .packed import bucket_of, dump, exchange, load
 from .textblocks import U, Block, mix, prefix_hashes, text_blocks
@@ -39,7 +39,7 @@ from .textblocks import U, Block, mix, prefix_hashes, text_blocks
 LENGTH = 50
 TRIGGER = 20
 #: Parse entries that a map task holds before it sends them.
-HELD = 1_000_000
+HELD = 400_000
 #: Dictionary phrases whose suffixes are sorted at once.
 SORTED_AT_ONCE = 8_000
 LAST = np.iinfo(np.int64).max
@@ -173,7 +173,7 @@ def _parsed(docs: DataFrame, buckets: int, parts: int) -> DataFrame:
         if count:
             yield from flush()
 
-    return docs.mapInArrow(run, f"bucket int, {FOUND_TYPES}")
+    return docs.mapInArrow(trimmed(run), f"bucket int, {FOUND_TYPES}")
 
 
 def _whole(position: np.ndarray, phrase: np.ndarray) -> list[np.ndarray]:
@@ -193,15 +193,15 @@ def _matched(parsed: DataFrame, buckets: int, parts: int) -> DataFrame:
             cols += [load(blob) for blob in batch.column(3).filter(pc.invert(ready)).to_pylist()]
         if not cols:
             return
-        key, phrase, document, position = (np.concatenate(c) for c in zip(*cols))
-        cols.clear()
+        key, document = np.concatenate([c[0] for c in cols]), np.concatenate([c[2] for c in cols])
         order = np.argsort(key, kind="stable")
         key, document = key[order], document[order]
         new = _first_of_runs(key)
         starts, group = np.flatnonzero(new), np.cumsum(new) - 1
         several = (np.minimum.reduceat(document, starts) != np.maximum.reduceat(document, starts))[group]
         order, key, document = order[several], key[several], document[several]
-        phrase, position = phrase[order], position[order]
+        phrase, position = np.concatenate([c[1] for c in cols])[order], np.concatenate([c[3] for c in cols])[order]
+        cols.clear()
         if not len(key):
             return
         order = np.lexsort((document, phrase, key))
@@ -215,7 +215,7 @@ def _matched(parsed: DataFrame, buckets: int, parts: int) -> DataFrame:
         n = int(need.sum())
         yield from _by_part(1, parts, document[need], position[need], np.zeros(n, np.uint8), np.zeros(n, np.uint8), phrase[need])
 
-    return exchange(parsed, buckets).mapInArrow(run, FOUND_TYPES)
+    return exchange(parsed, buckets).mapInArrow(trimmed(run), FOUND_TYPES)
 
 
 def _with_entries(docs: DataFrame, found: DataFrame, parts: int) -> DataFrame:
@@ -230,7 +230,7 @@ def _with_entries(docs: DataFrame, found: DataFrame, parts: int) -> DataFrame:
             yield pa.record_batch([*batch.columns[:2], pa.array(blobs, pa.binary())], ["id", "o", "blob"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    texts = docs.select("id", "o", "text").mapInArrow(squeeze, f"id {kind}, o bigint, blob binary")
+    texts = docs.select("id", "o", "text").mapInArrow(trimmed(squeeze), f"id {kind}, o bigint, blob binary")
     texts = texts.select(_part_column(F.col("o"), parts).alias("part"), F.lit(9).alias("kind"), "id", "o", "blob")
     rows = texts.unionByName(found.select("part", "kind", "blob"), allowMissingColumns=True)
     return rows.repartitionById(parts, F.col("part")).sortWithinPartitions("kind")
@@ -331,7 +331,7 @@ def _fetched(rows: DataFrame, kind: str, buckets: int, repeats: bool) -> DataFra
                 keys.append(mix((total[need + TRIGGER] - total[need]) * inverse[need]) | U(1))
                 parts.append([np.full(len(need), o, np.int64), need.astype(np.uint32), np.minimum(need, BEFORE).astype(np.uint8), np.minimum(n - need, LENGTH).astype(np.uint8), phrases if repeats else phrases * U(0), phrase])
                 count += len(need)
-                if count > HELD // 8:
+                if count > HELD // 4:
                     yield from flush()
                     keys.clear()
                     parts.clear()
@@ -340,7 +340,7 @@ def _fetched(rows: DataFrame, kind: str, buckets: int, repeats: bool) -> DataFra
         if count:
             yield from flush()
 
-    return rows.mapInArrow(run, f"bucket int, blob binary, {_row_types(kind)}")
+    return rows.mapInArrow(trimmed(run), f"bucket int, blob binary, {_row_types(kind)}")
 
 
 def _suffix_matches(key: np.ndarray, document: np.ndarray, left: np.ndarray, right: np.ndarray, phrase: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -412,7 +412,7 @@ def _sorted_out(fetched: DataFrame, kind: str, buckets: int, parts: int) -> Data
                     yield pa.record_batch([*found.columns, pa.nulls(1, type_), *(pa.nulls(1, pa.int64()) for _ in range(4)), pa.nulls(1, pa.string())], [*FOUND, *ROW])
             at = end
 
-    return exchange(fetched, buckets).mapInArrow(run, f"{FOUND_TYPES}, {_row_types(kind)}")
+    return exchange(fetched, buckets).mapInArrow(trimmed(run), f"{FOUND_TYPES}, {_row_types(kind)}")
 
 
 def _applied(rows: DataFrame, fields: str, repeats: bool, every: bool, keep: bool) -> DataFrame:
@@ -433,7 +433,7 @@ def _applied(rows: DataFrame, fields: str, repeats: bool, every: bool, keep: boo
             cols = [pa.array([id_.as_py()], id_.type), *(pa.array([v]) for v in (o, n, removed, spans, hashlib.sha256(kept).hexdigest()))]
             yield pa.record_batch([*cols, *([pa.array([kept], pa.binary())] if keep else [])], [*ROW, *(["kept"] if keep else [])])
 
-    return rows.mapInArrow(run, fields)
+    return rows.mapInArrow(trimmed(run), fields)
 
 
 def _late_documents(late: DataFrame) -> DataFrame:
@@ -444,7 +444,7 @@ def _late_documents(late: DataFrame) -> DataFrame:
             for blob in batch.column(0).to_pylist():
                 yield pa.record_batch([pa.array(np.unique((load(blob)[0] ^ U(1 << 63)).view(np.int64)))], ["o"])
 
-    return late.select("blob").mapInArrow(run, "o bigint").distinct()
+    return late.select("blob").mapInArrow(trimmed(run), "o bigint").distinct()
 
 
 def _perhaps(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -460,7 +460,7 @@ def _perhaps(docs: DataFrame, ids: DataFrame) -> DataFrame:
                 ok &= (shared.value[spot >> 6] >> (spot & 63).astype(U) & U(1)).astype(bool)
             yield batch.select(range(batch.num_columns - 2)).filter(pa.array(ok))
 
-    return docs.select("*", *member_spots(F.col("o"), bits)).mapInArrow(run, docs.schema)
+    return docs.select("*", *member_spots(F.col("o"), bits)).mapInArrow(trimmed(run), docs.schema)
 
 
 def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
@@ -470,7 +470,7 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: b
     if kind not in ("tinyint", "smallint", "int", "bigint"):
         raise ValueError(f"{id_col} must be an integer, not {kind}")
     docs = df.select(df[id_col].alias("id"), F.coalesce(df[id_col].cast("long"), F.lit(LAST)).alias("o"), df[text_col].cast("string").alias("text"))
-    buckets, parts = exchange_partitions(spark), _prime(exchange_partitions(spark))
+    buckets, parts = exchange_partitions(spark, 2), _prime(exchange_partitions(spark))
     repeats = not docs.groupBy("o").count().where("count > 1").isEmpty()
     found = materialize(_matched(_parsed(docs.select("o", "text"), buckets, parts), buckets, parts), "phrases")
     fetched = _fetched(_with_entries(docs, found, parts), kind, buckets, repeats)
