@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import exchange_partitions, materialize
+from .common import exchange_partitions, materialize, trimmed
 
 U = np.uint64
 PER_SHARD = 200_000
@@ -187,11 +187,11 @@ class Filter:
         """df with a boolean column: whether the key is listed; false for null."""
         shards, sent = self.shards, self.sent
         folder = None if sent is not None else self.table.inputFiles()[0].rsplit("/", 1)[0]
-        marked = df.withColumns({"_key": key, "_row": F.xxhash64(*[F.col(c) for c in df.columns if df.schema[c].dataType.simpleString() in ("bigint", "int", "string")])})
-        marked = marked.select("*", *[h.alias(f"_{n}") for h, n in zip(_hashes(F.col("_key")), "ab")])
-        marked = marked.withColumn("_shard", F.pmod(F.shiftrightunsigned("_b", 20), F.lit(shards)).cast("int"))
+        salt = [F.col(f"`{c}`") for c, kind in df.dtypes if kind in ("bigint", "int", "string")]
+        marked = df.select(F.struct("*").alias("row"), key.alias("key"), F.xxhash64(*salt, F.lit(0)).alias("salt"))
+        marked = marked.select("row", "salt", "key", *_hashes(F.col("key"))).withColumn("shard", _shard(shards))
         if sent is None:
-            marked = marked.repartitionByRange(exchange_partitions(df.sparkSession), "_shard", "_row")
+            marked = marked.repartitionByRange(exchange_partitions(df.sparkSession), "shard", "salt")
 
         def listed(a: pa.Array, b: pa.Array, shard: pa.Array) -> pa.Array:
             x, y, s = _u(a), _u(b), shard.to_numpy(zero_copy_only=False)
@@ -210,7 +210,7 @@ class Filter:
 
         run.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array, pa.Array]], "return": Iterator[pa.Array]}
         test = F.arrow_udf(run, "boolean")
-        return marked.withColumn(name, F.col("_key").isNotNull() & test("_a", "_b", "_shard")).select(*df.columns, name)
+        return marked.select("row.*", (F.col("key").isNotNull() & test("a", "b", "shard")).alias(name))
 
 
 def cascade(universe: DataFrame, listed: DataFrame, per_shard: int = PER_SHARD, broadcast_bytes: int = BROADCAST_BYTES) -> Filter:
@@ -268,7 +268,7 @@ def _through(keys: DataFrame, first: DataFrame, shards: int, size: int, broadcas
                     ok[at] = level.passes(a[at], b[at])
             yield batch.filter(pa.array(ok))
 
-    return keys.mapInArrow(run, keys.schema)
+    return keys.mapInArrow(trimmed(run), keys.schema)
 
 
 def judge(df: DataFrame, rules: dict[str, str], listed: DataFrame, url_col: str = "url", host_col: str = "host", path_col: str = "path", rule_col: str = "rule", verdict_col: str = "verdict", **sizes: int) -> DataFrame:
@@ -278,11 +278,13 @@ def judge(df: DataFrame, rules: dict[str, str], listed: DataFrame, url_col: str
         rules: verdict (allow or block) by host/path prefix; the longest that fits decides. A short list, kept in the plan.
         listed: one column of host names; its size has no bound.
     """
-    host = host_of(F.col(url_col))
+    host, mark = host_of(F.col(url_col)), "_listed"
+    while mark in df.columns:
+        mark += "_"
     names = cascade(df.select(host.alias("k")), listed, **sizes)
     out = df.withColumns({host_col: host, path_col: path_of(F.col(url_col))})
-    out = names.mark(out.withColumn(rule_col, rule_for(F.col(host_col), F.col(path_col), list(rules))), F.col(host_col), "_listed")
-    said = F.when(F.col("_listed"), "block").otherwise("allow")
+    out = names.mark(out.withColumn(rule_col, rule_for(F.col(host_col), F.col(path_col), list(rules))), F.col(host_col), mark)
+    said = F.when(F.col(mark), "block").otherwise("allow")
     for rule, verdict in rules.items():
         said = F.when(F.col(rule_col) == rule, verdict).otherwise(said)
-    return out.withColumn(verdict_col, said).drop("_listed")
+    return out.withColumn(verdict_col, said).drop(mark)
