@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 from functools import wraps
@@ -59,8 +60,10 @@ def trimmed(run: Callable) -> Callable:
 
 def release_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner delete the shuffle files of plans that nothing refers to any more; else that waits for the driver's memory to fill."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(3):  # the first round frees Python's references to plans, the next the plans' shuffles
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def exchange_partitions(spark: SparkSession, times: int = 1) -> int:

@@ -26,12 +26,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, exchange_partitions, materialize
+from .common import discard, exchange_partitions, materialize, release_shuffles, trimmed
 from .packed import bucket_of, dump, exchange, load
 from .textblocks import U, mix, text_blocks, word_hashes
 
 ORDER = 3
 BACKOFF = 0.4
+#: Bytes of text in a block, unless a single text is longer.
+BLOCK_BYTES = 6 << 20
 
 
 class Words:
@@ -47,12 +49,16 @@ class Words:
         self.hashes = vocabulary[self.numbers]
 
     def packed(self) -> bytes:
-        return dump([self.vocabulary, self.ends, self.numbers.astype(np.uint32), *(t.astype(np.uint32) for t in self.totals)])
+        # frequent words get small numbers, which take less room
+        often = np.argsort(-np.bincount(self.numbers, minlength=len(self.vocabulary)), kind="stable")
+        rank = np.empty(len(often), np.uint32)
+        rank[often] = np.arange(len(often))
+        return dump([self.vocabulary, self.ends, often.astype(np.uint32), rank[self.numbers], *(t.astype(np.uint32) for t in self.totals)])
 
     @classmethod
     def unpacked(cls, blob: bytes) -> Words:
-        vocabulary, ends, numbers, *totals = load(blob)
-        return cls(vocabulary, ends.astype(np.int64), numbers, [t.astype(np.int64) for t in totals])
+        vocabulary, ends, often, ranks, *totals = load(blob)
+        return cls(vocabulary, ends.astype(np.int64), often[ranks], [t.astype(np.int64) for t in totals])
 
     def at(self, order: int) -> np.ndarray:
         """Positions of the words that end an n-gram of this order."""
@@ -81,7 +87,7 @@ class Words:
         key = index[at] * len(self.sizes) + self.document[at]
         _, inverse, own = np.unique(key, return_inverse=True, return_counts=True)
         out = np.zeros(len(index), np.int64)
-        out[at] = self.totals[order - 1][index[at]] - own[inverse]
+        out[at] = (self.totals[order - 1] + self.counts(order))[index[at]] - own[inverse]
         return out
 
     def worth(self, order: int, others: np.ndarray) -> np.ndarray:
@@ -105,7 +111,7 @@ def _word_scores(words: Words, others: list[np.ndarray], all_words: int) -> np.n
 def _parse(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
-        for block in text_blocks(batches):
+        for block in text_blocks(batches, BLOCK_BYTES):
             hashes, ends = word_hashes(block, lower=False)
             vocabulary, numbers = np.unique(hashes, return_inverse=True)
             blob = Words(vocabulary, ends.astype(np.int64), numbers, []).packed()
@@ -114,7 +120,7 @@ def _parse(docs: DataFrame) -> DataFrame:
             number += 1
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"block bigint, ids array<{kind}>, n bigint, blob binary")
+    return docs.mapInArrow(trimmed(run), f"block bigint, ids array<{kind}>, n bigint, blob binary")
 
 
 def _opened(blob: bytes, orders: int) -> tuple[Words, list[np.ndarray]]:
@@ -143,11 +149,11 @@ def _send(blocks: DataFrame, orders: list[int], buckets: int) -> DataFrame:
                 if used:
                     yield pa.record_batch([pa.array(used, pa.int32()), pa.array([block] * len(used)), pa.array(blobs, pa.binary())], ["bucket", "block", "blob"])
 
-    return blocks.select("block", "blob").mapInArrow(run, "bucket int, block bigint, blob binary")
+    return blocks.select("block", "blob").mapInArrow(trimmed(run), "bucket int, block bigint, blob binary")
 
 
 def _answer(sent: DataFrame, buckets: int) -> DataFrame:
-    """(block, bucket, blob): totals over all blocks, in the order sent."""
+    """(block, bucket, blob): totals over all other blocks, in the order sent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, bucket, parts = [], None, []
@@ -161,12 +167,13 @@ def _answer(sent: DataFrame, buckets: int) -> DataFrame:
         totals = []
         for k in range(half):
             _, inverse = np.unique(np.concatenate([p[k] for p in parts]), return_inverse=True)
-            sums = np.bincount(inverse, weights=np.concatenate([p[half + k] for p in parts])) if len(inverse) else np.zeros(0)
-            totals.append(np.split(np.minimum(sums[inverse], 2**32 - 1).astype(np.uint32), np.cumsum([len(p[k]) for p in parts])[:-1]))
+            own = np.concatenate([p[half + k] for p in parts])
+            sums = np.bincount(inverse, weights=own) if len(inverse) else np.zeros(0)
+            totals.append(np.split(np.minimum(sums[inverse] - own, 2**32 - 1).astype(np.uint32), np.cumsum([len(p[k]) for p in parts])[:-1]))
         for i, name in enumerate(names):
             yield pa.record_batch([pa.array([name]), pa.array([bucket], pa.int32()), pa.array([dump([t[i] for t in totals])], pa.binary())], ["block", "bucket", "blob"])
 
-    return exchange(sent, buckets).mapInArrow(run, "block bigint, bucket int, blob binary")
+    return exchange(sent, buckets).mapInArrow(trimmed(run), "block bigint, bucket int, blob binary")
 
 
 def _joined(blocks: DataFrame, answers: DataFrame) -> DataFrame:
@@ -225,9 +232,11 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", order:
     while True:
         joined = _joined(blocks, _answer(_send(blocks, orders, buckets), buckets))
         if orders[-1] == order:
-            found = joined.mapInArrow(finish, f"id {kind}, n_words bigint, score double")
+            found = joined.mapInArrow(trimmed(finish), f"id {kind}, n_words bigint, score double")
             mean = F.when(F.col("n_words") > 0, F.col("score") / F.col("n_words"))
             return found.select(F.col("id").alias(id_col), "n_words", "score", mean.alias("mean_score"))
-        new = materialize(joined.mapInArrow(keep(len(orders)), f"block bigint, ids array<{kind}>, blob binary"), "words")
+        new = materialize(joined.mapInArrow(trimmed(keep(len(orders))), f"block bigint, ids array<{kind}>, blob binary"), "words")
         discard(blocks)
+        del joined
+        release_shuffles(spark)
         blocks, orders = new, [orders[-1] + 1]
