@@ -18,6 +18,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import trimmed
+
 #: Rank of "no pair".
 NONE = 1 << 40
 #: Pieces of more bytes than this get a tree of their own.
@@ -229,7 +231,7 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
 
     some = df.select(df[id_col].alias("id"), df[text_col].cast("string").alias("text"))
     kind = some.schema["id"].dataType.simpleString()
-    return some.mapInArrow(run, f"id {kind}, ids {'binary' if packed else 'array<int>'}").withColumnRenamed("id", id_col)
+    return some.mapInArrow(trimmed(run), f"id {kind}, ids {'binary' if packed else 'array<int>'}").withColumnRenamed("id", id_col)
 
 
 def decode(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids", keep_ids: bool = True) -> DataFrame:
@@ -246,4 +248,4 @@ def decode(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids
 
     some = df.select(df[id_col].alias("id"), df[ids_col].alias("ids"))
     kinds = [f.dataType.simpleString() for f in some.schema.fields]
-    return some.mapInArrow(run, f"id {kinds[0]}, ids {kinds[1]}, decoded binary").withColumnRenamed("id", id_col)
+    return some.mapInArrow(trimmed(run), f"id {kinds[0]}, ids {kinds[1]}, decoded binary").withColumnRenamed("id", id_col)

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import exchange_partitions
+from .common import exchange_partitions, trimmed
 
 TREES = 32
 #: Symbols of a hash string; a symbol has 2 * AXES values.
@@ -155,6 +155,6 @@ def search(df: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col
             if out:
                 yield pa.record_batch([pa.array([o[0] for o in out], names.type), names.take(pa.array([o[1] for o in out])), pa.array([o[2] for o in out])], ["query_id", "id", "score"])
 
-    found = both.mapInArrow(run, f"query_id {kind}, id {kind}, score double")
+    found = both.mapInArrow(trimmed(run), f"query_id {kind}, id {kind}, score double")
     ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("score", "id"))).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", F.col("id").alias(id_col), "score")

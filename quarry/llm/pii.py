@@ -26,6 +26,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import trimmed
+
 BASE = ("email", "ip", "card", "phone")
 #: Kinds that the random field gives.
 KINDS = (*BASE, "iban")
@@ -421,7 +423,7 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
 
     some = df.select(df[id_col].alias("id"), df[text_col].cast("string").alias("text"))
     kind = some.schema["id"].dataType.simpleString()
-    return some.mapInArrow(run, f"id {kind}, {', '.join(f'{c} bigint' for c in counts)}, base string, spans string").withColumnRenamed("id", id_col)
+    return some.mapInArrow(trimmed(run), f"id {kind}, {', '.join(f'{c} bigint' for c in counts)}, base string, spans string").withColumnRenamed("id", id_col)
 
 
 def masked(text: str, spans: list[tuple[str, int, int]]) -> str:
@@ -449,4 +451,4 @@ def redact(df: DataFrame, text_col: str = "text") -> DataFrame:
                 batch = batch.set_column(batch.schema.get_field_index(text_col), batch.schema.field(text_col), pa.array(fresh, col.type))
             yield batch
 
-    return df.withColumn(text_col, F.col(text_col).cast("string")).mapInArrow(run, df.schema)
+    return df.withColumn(text_col, F.col(text_col).cast("string")).mapInArrow(trimmed(run), df.schema)

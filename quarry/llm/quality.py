@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, trimmed
 
 SYMBOLS = b"#*$%&|<>"
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -91,7 +91,7 @@ def counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
 
     some = df.select(df[id_col].alias("id"), df[lang_col].cast("string").alias("lang"), df[source_col].cast("string").alias("source"), df[text_col].cast("string").alias("text"))
     kind = some.schema["id"].dataType.simpleString()
-    return some.mapInArrow(run, f"id {kind}, lang string, source string, " + ", ".join(f"{c} bigint" for c in COUNTS))
+    return some.mapInArrow(trimmed(run), f"id {kind}, lang string, source string, " + ", ".join(f"{c} bigint" for c in COUNTS))
 
 
 def base_failed() -> Column:
