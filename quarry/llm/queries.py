@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, hash_forest, jaccard, lm_scores, mixing, pii, quality, sharding, suffix_dedup, url_filter
+from . import byte_bpe, hash_forest, jaccard, lm_scores, mixing, pii, quality, sharding, sql, suffix_dedup, url_filter
 from .common import documents, word_count
 
 #: Bytes of text a shard may hold.
@@ -27,7 +27,8 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_scores.score(documents(spark, sf_dir))
+    found = lm_scores.score(documents(spark, sf_dir))
+    return found.select("doc_id", "n_words", F.round("score", 4).alias("score"), F.round("mean_score", 6).alias("mean_score"))
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,4 +93,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_suffix_dedup, op3_lm_scores, op4_url_filter, op5_personal_data, op6_byte_bpe, op7_source_mixing, op8_hash_forest, op9_jaccard_join, op10_sharding)}
 
-SQL: dict[str, str] = {}
+SQL = {
+    "op3_lm_scores": sql.lm_sql(),
+    "op4_url_filter": sql.url_sql(URL_RULES, BAD_HOSTS),
+    "op7_source_mixing": sql.mixing_sql(),
+    "op9_jaccard_join": sql.jaccard_sql(),
+    "op10_sharding": sql.sharding_sql(SHARD_BYTES),
+}
