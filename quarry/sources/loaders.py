@@ -95,14 +95,16 @@ def read_pdf(files: DataFrame, tables: bool = False) -> DataFrame:
     """A text for each page that has any; needs pypdf, or pdfplumber for tables."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        try:
-            if tables:
-                import pdfplumber
-            else:
-                import pypdf
-        except ImportError as missing:
-            raise ImportError(f"install {missing.name} to read PDF files") from missing
         for batch in batches:
+            if not batch.num_rows:
+                continue
+            try:
+                if tables:
+                    import pdfplumber
+                else:
+                    import pypdf
+            except ImportError as missing:
+                raise ImportError(f"install {missing.name} to read PDF files") from missing
             for path, content in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
                 out: list[tuple[str, int]] = []
                 if tables:
