@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read as the next
 one's docs; all but the last return the columns of documents. Nulls, empty texts, repeated rows and empty tables
-pass through every stage as its operator defines them.
+pass through every stage as its operator defines them; rows that share an id, null too, share its verdict, and stay if
+one of them does.
 """
 
 from __future__ import annotations
@@ -19,13 +20,13 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rule or the robust distances reject go."""
     kept = quality.judge(docs).where("kept").select(F.col("doc_id").alias("kept_id"))
-    return docs.join(kept, docs["doc_id"] == kept["kept_id"], "left_semi").select(*COLUMNS)
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one of smallest doc_id stays."""
-    found = jaccard.link(docs).where(F.col("component_id") == F.col("doc_id")).select(F.col("doc_id").alias("kept_id"))
-    return docs.join(found, docs["doc_id"] == found["kept_id"], "left_semi").select(*COLUMNS)
+    found = jaccard.link(docs).where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("kept_id"))
+    return docs.join(found, docs["doc_id"].eqNullSafe(found["kept_id"]), "left_semi").select(*COLUMNS)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +38,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
     times = mixing.mix(queries.weighed(docs, sf_dir)).where("times > 0").groupBy("id").agg(F.max("times").cast("int").alias("times"))
-    joined = docs.join(times, docs["doc_id"] == times["id"])
+    joined = docs.join(times, docs["doc_id"].eqNullSafe(times["id"]))
     return joined.select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("times"))).alias("_copy")).select(*COLUMNS)
 
 

@@ -11,8 +11,9 @@
 4. Links between classes, counts of their members and components give one row a document.
 
 Defined results: null or empty text has an empty set and no links, its component is itself; rows that repeat a
-doc_id and its text give repeated rows and count as one document; an empty table gives no rows; extra columns are
-ignored. Sets hold 64-bit hashes of shingles.
+doc_id and its text give repeated rows and count as one document; rows with a null id are nobody's links and get the
+result of equal texts, or a null component; an empty table gives no rows; extra columns are ignored. Sets hold 64-bit
+hashes of shingles.
 """
 
 from __future__ import annotations
@@ -360,7 +361,7 @@ def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent:
     linked = both.join(members, F.col("c2") == F.col("c")).groupBy(F.col("c1").alias("k")).agg(F.sum("members").alias("others"))
     classed = classes.join(linked, F.col("c") == F.col("k"), "left").join(of.withColumnsRenamed({"id": "i"}), F.col("c") == F.col("i"), "left")
     classed = materialize(
-        classed.select(F.col("f1").alias("k1"), F.col("f2").alias("k2"), (F.col("members") - 1 + F.coalesce("others", F.lit(0))).cast("long").alias("n_similar"), F.coalesce("component", "c").alias("component_id")),
+        classed.select(F.col("f1").alias("k1"), F.col("f2").alias("k2"), F.greatest(F.col("members") - 1 + F.coalesce("others", F.lit(0)), F.lit(0)).cast("long").alias("n_similar"), F.coalesce("component", "c").alias("component_id")),
         "classed",
     )
     out = rows.join(classed, (F.col("f1") == F.col("k1")) & (F.col("f2") == F.col("k2")) & (F.col("n") > 0), "left")

@@ -57,7 +57,10 @@ def test_chains_and_hot_groups(spark):
 
 
 def test_null_ids_do_not_break(docs, odd):
-    assert jaccard.link(docs).count() == len(odd)
+    rows = jaccard.link(docs).collect()
+    assert len(rows) == len(odd)
+    copy, own = sorted((r for r in rows if r.doc_id is None), key=lambda r: r.component_id is None)
+    assert copy.component_id == 6 and own.component_id is None and own.n_similar == 0
 
 
 def test_differing_bounds_the_difference():
