@@ -4,8 +4,8 @@ Texts are cut into blocks of documents: their words as numbers in the block's ow
 order a block sends its distinct hashes with their counts, partitioned by hash; the count table of a partition sums
 them over all blocks and answers each block with the totals, which join the block's exploded n-grams. Scores are summed
 per document. Rows are packed arrays, so a hot n-gram is one entry a block, and each block is joined in one task of
-bounded size. Orders 1 and 2 travel together; a longer n-gram only travels where its two shorter ones were seen in
-another document, as it can have no count otherwise.
+bounded size. The count table of words also numbers them, and pairs of numbers stand for bigrams. A longer n-gram only
+travels where its two shorter ones were seen in another document, as it can have no count otherwise.
 
 The count of an n-gram for a document is its count in the table less that in the document itself: no text is scored
 under its own words. With c these counts and N the words of other documents, a word w after the words h scores
@@ -13,7 +13,8 @@ c(hw) / c(h) if c(hw) > 0, else BACKOFF times its score after h without its firs
 1 / (2 N + 2) if no other document has it. A document's score is the sum of natural logarithms over all its words.
 
 Defined results: null or empty text has no words and score 0; rows that repeat an id are documents of their own; an
-empty table gives no rows; extra columns are ignored. N-grams are told apart by 64-bit hashes.
+empty table gives no rows; extra columns are ignored. Words and n-grams of order 3 and more are
+told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -36,11 +37,23 @@ BACKOFF = 0.4
 BLOCK_BYTES = 6 << 20
 
 
+def _spread(key: np.ndarray, bits: int) -> np.ndarray:
+    """A bijection of numbers below 2 ** bits to the highest bits of 64, which spreads neighbours."""
+    odd = U(0x9E3779B97F4A7C15 >> (64 - bits) | 1)
+    low = key * odd & U((1 << bits) - 1)
+    low ^= low >> U(bits // 2)
+    return (low * odd & U((1 << bits) - 1)) << U(64 - bits)
+
+
 class Words:
-    """A block: hashes of its vocabulary, number of each word, end of each document among them."""
+    """A block: its vocabulary, number of each word, end of each document among them.
+
+    The vocabulary has hashes first; once the count table of words has answered, it has the words' corpus-wide numbers,
+    all below 2 ** bits. Pairs of numbers take less room than hashes and can't be mistaken for each other.
+    """
 
-    def __init__(self, vocabulary: np.ndarray, ends: np.ndarray, numbers: np.ndarray, totals: list[np.ndarray]):
-        self.vocabulary, self.ends, self.numbers, self.totals = vocabulary, ends, numbers.astype(np.int64), totals
+    def __init__(self, vocabulary: np.ndarray, ends: np.ndarray, numbers: np.ndarray, totals: list[np.ndarray], bits: int = 0):
+        self.vocabulary, self.ends, self.numbers, self.totals, self.bits = vocabulary, ends, numbers.astype(np.int64), totals, bits
         self.sizes = np.diff(ends)
         self.document = np.repeat(np.arange(len(self.sizes)), self.sizes)
         self.place = np.arange(len(self.numbers)) - np.repeat(ends[:-1], self.sizes)
@@ -70,7 +83,10 @@ class Words:
         rolled = np.zeros(len(self.hashes), U)
         rolled[1:] = self.hashes[:-1]
         word = self.vocabulary[self.numbers]
-        self.hashes = mix(rolled * U(0x9E3779B97F4A7C15) + word) + U(order)
+        if order == 2 and 0 < self.bits <= 32:
+            self.hashes = _spread(rolled << U(self.bits) | word, 2 * self.bits)
+        else:
+            self.hashes = mix(rolled * U(0x9E3779B97F4A7C15) + word) + U(order)
         known, index = np.unique(self.hashes[at], return_inverse=True)
         full = np.full(len(self.hashes), -1, np.int64)
         full[at] = index
@@ -123,9 +139,10 @@ def _parse(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(trimmed(run), f"block bigint, ids array<{kind}>, n bigint, blob binary")
 
 
-def _opened(blob: bytes, orders: int) -> tuple[Words, list[np.ndarray]]:
+def _opened(blob: bytes, orders: int, bits: int = 0) -> tuple[Words, list[np.ndarray]]:
     """A block with its n-grams of up to this order found, and the counts of others where totals are known."""
     words, others = Words.unpacked(blob), []
+    words.bits = bits
     for n in range(1, orders + 1):
         if n > 1:
             words.grow(n, words.worth(n, others[-1]) if n > 2 else None)
@@ -134,13 +151,13 @@ def _opened(blob: bytes, orders: int) -> tuple[Words, list[np.ndarray]]:
     return words, others
 
 
-def _send(blocks: DataFrame, orders: list[int], buckets: int) -> DataFrame:
+def _send(blocks: DataFrame, orders: list[int], buckets: int, bits: int = 0) -> DataFrame:
     """(bucket, block, blob): distinct hashes and counts of the block's n-grams in the bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words, _ = _opened(blob, orders[-1])
+                words, _ = _opened(blob, orders[-1], bits)
                 known = [words.grams[n - 1][0] for n in orders]
                 counts = [words.counts(n) for n in orders]
                 edges = [np.searchsorted(bucket_of(h, buckets), np.arange(buckets + 1)) for h in known]
@@ -152,8 +169,11 @@ def _send(blocks: DataFrame, orders: list[int], buckets: int) -> DataFrame:
     return blocks.select("block", "blob").mapInArrow(trimmed(run), "bucket int, block bigint, blob binary")
 
 
-def _answer(sent: DataFrame, buckets: int) -> DataFrame:
-    """(block, bucket, blob): totals over all other blocks, in the order sent."""
+def _answer(sent: DataFrame, buckets: int, number: bool = False) -> DataFrame:
+    """(block, bucket, blob): totals over all other blocks, in the order sent; with number, also a number of each n-gram.
+
+    Numbers differ between n-grams and are as small as buckets of like size allow.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, bucket, parts = [], None, []
@@ -169,7 +189,10 @@ def _answer(sent: DataFrame, buckets: int) -> DataFrame:
             _, inverse = np.unique(np.concatenate([p[k] for p in parts]), return_inverse=True)
             own = np.concatenate([p[half + k] for p in parts])
             sums = np.bincount(inverse, weights=own) if len(inverse) else np.zeros(0)
-            totals.append(np.split(np.minimum(sums[inverse] - own, 2**32 - 1).astype(np.uint32), np.cumsum([len(p[k]) for p in parts])[:-1]))
+            cuts = np.cumsum([len(p[k]) for p in parts])[:-1]
+            totals.append(np.split(np.minimum(sums[inverse] - own, 2**32 - 1).astype(np.uint32), cuts))
+            if number:
+                totals.append(np.split(inverse.astype(U) * U(buckets) + U(bucket), cuts))
         for i, name in enumerate(names):
             yield pa.record_batch([pa.array([name]), pa.array([bucket], pa.int32()), pa.array([dump([t[i] for t in totals])], pa.binary())], ["block", "bucket", "blob"])
 
@@ -220,17 +243,30 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", order:
         return run
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, ids, blob, totals in _with_totals(batches, 1 if order > 2 else 2):
+        for _, ids, blob, totals in _with_totals(batches, 1):
             words = Words.unpacked(blob)
             words.totals += [t.astype(np.int64) for t in totals]
-            words, others = _opened(words.packed(), order)
+            words, others = _opened(words.packed(), order, bits)
             scores = _word_scores(words, others, all_words)
             sums = np.array([scores[a:b].sum() for a, b in zip(words.ends[:-1].tolist(), words.ends[1:].tolist())])
             yield pa.record_batch([ids.values, pa.array(words.sizes), pa.array(sums, pa.float64())], ["id", "n_words", "score"])
 
-    orders = [1, 2]
+    def renumber(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, ids, blob, (totals, numbers) in _with_totals(batches, 2):
+            words = Words.unpacked(blob)
+            words.totals.append(totals)
+            words.vocabulary = numbers.astype(U)
+            top = int(numbers.max()) if len(numbers) else 0
+            yield pa.record_batch([pa.array([block]), pa.array([ids.as_py()], ids.type), pa.array([top]), pa.array([words.packed()], pa.binary())], ["block", "ids", "top", "blob"])
+
+    numbered = materialize(_joined(blocks, _answer(_send(blocks, [1], buckets), buckets, True)).mapInArrow(trimmed(renumber), f"block bigint, ids array<{kind}>, top bigint, blob binary"), "words")
+    discard(blocks)
+    release_shuffles(spark)
+    # the width of a number is that of the largest of the corpus
+    bits = int(numbered.agg(F.coalesce(F.max("top"), F.lit(0))).first()[0]).bit_length() or 1
+    blocks, orders = numbered, [2]
     while True:
-        joined = _joined(blocks, _answer(_send(blocks, orders, buckets), buckets))
+        joined = _joined(blocks, _answer(_send(blocks, orders, buckets, bits), buckets))
         if orders[-1] == order:
             found = joined.mapInArrow(trimmed(finish), f"id {kind}, n_words bigint, score double")
             mean = F.when(F.col("n_words") > 0, F.col("score") / F.col("n_words"))
