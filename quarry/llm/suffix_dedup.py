@@ -48,6 +48,8 @@ FILTER_BITS = 24
 
 BEFORE = LENGTH - TRIGGER
 _wide = BEFORE + LENGTH
+#: A string of LENGTH bytes reaches so far to one side of its trigger at least.
+HALF = BEFORE // 2
 
 
 def _slide(x: np.ndarray, width: int, pick) -> np.ndarray:
@@ -328,9 +330,12 @@ def _fetched(rows: DataFrame, kind: str, buckets: int, repeats: bool) -> DataFra
                 padded = np.concatenate([np.zeros(BEFORE, np.uint8), block.raw, np.zeros(LENGTH, np.uint8)])
                 phrase = np.lib.stride_tricks.sliding_window_view(padded, _wide)[need]
                 total, inverse = prefix_hashes(block.raw)
-                keys.append(mix((total[need + TRIGGER] - total[need]) * inverse[need]) | U(1))
-                parts.append([np.full(len(need), o, np.int64), need.astype(np.uint32), np.minimum(need, BEFORE).astype(np.uint8), np.minimum(n - need, LENGTH).astype(np.uint8), phrases if repeats else phrases * U(0), phrase])
-                count += len(need)
+                trigger = mix((total[need + TRIGGER] - total[need]) * inverse[need])
+                left, right = np.minimum(need, BEFORE), np.minimum(n - need, LENGTH)
+                for side, fits in ((0, left >= HALF), (1, right >= LENGTH - HALF)):
+                    keys.append(_side_key(trigger[fits], phrase[fits], side))
+                    parts.append([np.full(int(fits.sum()), o, np.int64), need[fits].astype(np.uint32), left[fits].astype(np.uint8), right[fits].astype(np.uint8), phrases[fits] if repeats else phrases[fits] * U(0), phrase[fits]])
+                    count += int(fits.sum())
                 if count > HELD // 4:
                     yield from flush()
                     keys.clear()
@@ -343,26 +348,36 @@ def _fetched(rows: DataFrame, kind: str, buckets: int, repeats: bool) -> DataFra
     return rows.mapInArrow(trimmed(run), f"bucket int, blob binary, {_row_types(kind)}")
 
 
+def _words(m: np.ndarray) -> np.ndarray:
+    """Rows of bytes as 64-bit numbers of the same order."""
+    return np.ascontiguousarray(np.pad(m, ((0, 0), (0, -m.shape[1] % 8)))).view(">u8").astype(U)
+
+
+def _side_key(trigger: np.ndarray, phrase: np.ndarray, side: int) -> np.ndarray:
+    """Of the trigger with the HALF bytes before it (side 0) or after it (1): a shared string holds one of the two.
+
+    So a trigger with very many phrases is many groups, of which only those with shared strings are large.
+    """
+    h = trigger
+    for w in _words(phrase[:, BEFORE - HALF : BEFORE] if side == 0 else phrase[:, BEFORE + TRIGGER : BEFORE + TRIGGER + HALF]).T:
+        h = mix(h * U(0x9E3779B97F4A7C15) + w)
+    return h & ~U(1) | U(side)
+
+
 def _suffix_matches(key: np.ndarray, document: np.ndarray, left: np.ndarray, right: np.ndarray, phrase: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(rows, left, right): how far the repeated strings around the triggers of these phrases reach."""
-    words = lambda m: np.ascontiguousarray(np.pad(m, ((0, 0), (0, -m.shape[1] % 8)))).view(">u8").astype(U)
-    # a shared string reaches half of BEFORE to one side at least
-    half = BEFORE // 2
+    order = np.lexsort((document, key))
+    new = _first_of_runs(key[order])
+    group, starts, d = np.cumsum(new) - 1, np.flatnonzero(new), document[order]
     may = np.zeros(len(key), bool)
-    for side in (phrase[:, BEFORE - half : BEFORE], phrase[:, BEFORE + TRIGGER : BEFORE + TRIGGER + half]):
-        h = key.copy()
-        for w in words(side).T:
-            h = mix(h * U(0x9E3779B97F4A7C15) + w)
-        order = np.lexsort((document, h))
-        new = _first_of_runs(h[order])
-        group, starts, d = np.cumsum(new) - 1, np.flatnonzero(new), document[order]
-        may[order] |= (np.minimum.reduceat(d, starts) != np.maximum.reduceat(d, starts))[group]
+    may[order] = (np.minimum.reduceat(d, starts) != np.maximum.reduceat(d, starts))[group]
     rows = np.flatnonzero(may)
+    side = key[rows] & U(1)
     # suffixes of the dictionary phrases, LENGTH bytes and more, in order of their first LENGTH bytes
     grams, owner, reach = [], [], []
     for a in range(BEFORE + 1):
-        some = rows[(left[rows] >= a) & (right[rows] >= LENGTH - a)]
-        grams.append(words(phrase[some, BEFORE - a : BEFORE - a + LENGTH]))
+        some = rows[(side == U(a < HALF)) & (left[rows] >= a) & (right[rows] >= LENGTH - a)]
+        grams.append(_words(phrase[some, BEFORE - a : BEFORE - a + LENGTH]))
         owner.append(some)
         reach.append(np.full(len(some), a))
     grams, owner, reach = np.concatenate(grams), np.concatenate(owner), np.concatenate(reach)
