@@ -417,11 +417,11 @@ def query_sub_questions(spark, sf_dir):
     return _every(spark, sf_dir).select("qid", F.posexplode(qt.sub_questions(F.col("query"))).alias("pos", "part"))
 
 
-# ---------------------------------------------------------------- the graph of English documents
+# ---------------------------------------------------------------- the graph of all documents
 
 
-def _english(spark, sf_dir):
-    return _docs(spark, sf_dir).where("lang = 'en'").select(F.col("doc_id").alias("chunk_id"), "text")
+def _texts(spark, sf_dir):
+    return _docs(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), "text")
 
 
 #: Letters beyond ASCII as a word character: DuckDB's word borders know ASCII only.
@@ -436,7 +436,7 @@ named AS (SELECT chunk_id, name, arg_min(type, p) AS type, min(p * 1000000 + pos
 
 @query(f"WITH {NAMES} SELECT chunk_id, name, type FROM named")
 def graph_entities(spark, sf_dir):
-    return graph.extract(_english(spark, sf_dir)).select("chunk_id", "name", "type")
+    return graph.extract(_texts(spark, sf_dir)).select("chunk_id", "name", "type")
 
 
 EDGES = rf"""{NAMES},
@@ -453,13 +453,13 @@ mentions AS (SELECT DISTINCT lower(name) AS entity, chunk_id FROM named)"""
 
 @query(f"WITH {EDGES} SELECT src, pred, dst FROM edges")
 def graph_edges(spark, sf_dir):
-    return graph.build(_english(spark, sf_dir)).edges
+    return graph.build(_texts(spark, sf_dir)).edges
 
 
 @query(f"""WITH {EDGES} SELECT (SELECT count(DISTINCT src) FROM edges) AS num_entities, (SELECT count(*) FROM edges) AS num_edges, (SELECT count(DISTINCT pred) FROM edges WHERE NOT starts_with(pred, 'inv_')) AS num_relation_types,
   (SELECT count(*) FROM c) AS num_chunks, (SELECT count(DISTINCT entity) FROM mentions) AS entities_with_chunks""")
 def graph_stats(spark, sf_dir):
-    return graph.stats(graph.build(_english(spark, sf_dir)))
+    return graph.stats(graph.build(_texts(spark, sf_dir)))
 
 
 START = "start AS (SELECT DISTINCT 1 AS qid, lower(name) AS entity FROM named WHERE type IN ('PROPER_NOUN', 'QUOTED_TERM'))"
@@ -476,7 +476,7 @@ reached AS (SELECT qid, entity, min(h)::INT AS hops FROM (SELECT *, 0 AS h FROM
 
 @query(f"WITH {REACH} SELECT qid, entity, hops FROM reached")
 def graph_bfs(spark, sf_dir):
-    chunks = _english(spark, sf_dir)
+    chunks = _texts(spark, sf_dir)
     g = graph.build(chunks)
     return graph.reach(g, _start(g, chunks))
 
@@ -485,7 +485,7 @@ def graph_bfs(spark, sf_dir):
 scored AS (SELECT 1 AS qid, chunk_id AS id, {_common(_set(_blank("'the meaning of tokens and words'")), _set(_blank('text')))}::DOUBLE AS score, text FROM hit JOIN c USING (chunk_id))
 SELECT qid, rank::INT AS rank, id, score, text FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM scored) WHERE rank <= {K}""")
 def graph_chunks(spark, sf_dir):
-    chunks = _english(spark, sf_dir)
+    chunks = _texts(spark, sf_dir)
     g = graph.build(chunks)
     asked = spark.createDataFrame([(1, "the meaning of tokens and words")], "qid int, query string")
     return graph.search(g, asked, K, start=_start(g, chunks))
@@ -685,8 +685,7 @@ def corrective_rag(spark, sf_dir):
 
 @query()
 def graph_rag(spark, sf_dir):
-    chunks = rag.chunked(_docs(spark, sf_dir).where("lang = 'en'"), rag.Settings())
-    return rag.graph_rag(chunks, _as_questions(spark, sf_dir)).select(*SHOWN)
+    return rag.graph_rag(_chunks(spark, sf_dir), _as_questions(spark, sf_dir)).select(*SHOWN)
 
 
 @query()
