@@ -27,6 +27,12 @@ def test_html(spark):
     assert one(spark, tx.html_to_text(F.col("t")), t=page) == "Hello &amp; world <x>"
 
 
+def test_html_entities(spark):
+    page = "<p>caf&eacute; &#8217;&#xE9;&#X41; 5 &euro;&nbsp;&uuml;ber &notin; ver&amp Erst &copy2 &lt;b&gt; &amp;eacute;&emsp;&unknown; &</p>"
+    assert one(spark, tx.html_to_text(F.col("t")), t=page) == "café ’éA 5 € über ∉ ver& Erst ©2 <b> &eacute; &unknown; &"
+    assert one(spark, tx.html_to_text(F.col("t")), t=None) is None
+
+
 def test_vectors(spark):
     assert one(spark, vx.dot(F.col("a"), F.col("b")), a=[1.0, 2.0], b=[3.0, 4.0]) == 11.0
     assert one(spark, vx.unit(F.col("a")), a=[3.0, 4.0]) == [0.6, 0.8]
