@@ -45,6 +45,11 @@ def _spread(key: np.ndarray, bits: int) -> np.ndarray:
     return (low * odd & U((1 << bits) - 1)) << U(64 - bits)
 
 
+def _narrow(totals: np.ndarray) -> np.ndarray:
+    """Totals as 32-bit numbers, or as 64-bit ones where the largest needs them."""
+    return totals.astype(np.uint32 if totals.max(initial=0) < 2**32 else U)
+
+
 class Words:
     """A block: its vocabulary, number of each word, end of each document among them.
 
@@ -66,7 +71,7 @@ class Words:
         often = np.argsort(-np.bincount(self.numbers, minlength=len(self.vocabulary)), kind="stable")
         rank = np.empty(len(often), np.uint32)
         rank[often] = np.arange(len(often))
-        return dump([self.vocabulary, self.ends, often.astype(np.uint32), rank[self.numbers], *(t.astype(np.uint32) for t in self.totals)])
+        return dump([self.vocabulary, self.ends, often.astype(np.uint32), rank[self.numbers], *(_narrow(t) for t in self.totals)])
 
     @classmethod
     def unpacked(cls, blob: bytes) -> Words:
@@ -190,7 +195,7 @@ def _answer(sent: DataFrame, buckets: int, number: bool = False) -> DataFrame:
             own = np.concatenate([p[half + k] for p in parts])
             sums = np.bincount(inverse, weights=own) if len(inverse) else np.zeros(0)
             cuts = np.cumsum([len(p[k]) for p in parts])[:-1]
-            totals.append(np.split(np.minimum(sums[inverse] - own, 2**32 - 1).astype(np.uint32), cuts))
+            totals.append([_narrow(t) for t in np.split(sums[inverse] - own, cuts)])
             if number:
                 totals.append(np.split(inverse.astype(U) * U(buckets) + U(bucket), cuts))
         for i, name in enumerate(names):

@@ -2,9 +2,11 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from quarry.llm import lm_scores
+from quarry.llm.packed import dump, load
 
 
 def plain(rows, order):
@@ -50,3 +52,14 @@ def test_no_rows_and_wrong_order(none, docs):
     assert lm_scores.score(none).count() == 0
     with pytest.raises(ValueError):
         lm_scores.score(docs, order=1)
+
+
+def test_totals_beyond_32_bits(spark):
+    most = 2**32 - 1
+    rows = [(0, block, dump([np.array([3, 5], np.uint64), np.array([most, block], np.uint32)])) for block in (1, 2, 3)]
+    sent = spark.createDataFrame([(b, n, bytearray(x)) for b, n, x in rows], "bucket int, block bigint, blob binary")
+    found = {r.block: load(bytes(r.blob))[0].tolist() for r in lm_scores._answer(sent, 1).collect()}
+    assert found == {1: [2 * most, 5], 2: [2 * most, 4], 3: [2 * most, 3]}
+    words = lm_scores.Words(np.array([3, 5], np.uint64), np.array([0, 3]), np.array([0, 1, 0]), [np.array([2 * most, 5], np.uint64)])
+    again = lm_scores.Words.unpacked(words.packed())
+    assert again.totals[0].tolist() == [2 * most, 5] and again.others(1).tolist() == [2 * most, 5, 2 * most]
