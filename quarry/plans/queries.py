@@ -244,7 +244,7 @@ def bm25_topk(spark, sf_dir):
 @query(f"WITH {_bm25(ALL_DOCS, ASKED)} {_top('scored', K)}")
 def bm25_add(spark, sf_dir):
     docs = _docs(spark, sf_dir)
-    index = sparse.add(sparse.build(docs.where("lang = 'en'")), docs.where("lang <> 'en'"))
+    index = sparse.add(sparse.build(docs.where("lang = 'en'")), docs.where("NOT (lang <=> 'en')"))
     return sparse.search(index, _asked(spark, sf_dir), K)
 
 

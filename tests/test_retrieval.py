@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from quarry.operators import dense, embed, fusion, late, rerank, sparse
 from quarry.operators import queries as qt
+from quarry.plans import queries
 
 DOCS = [(0, "The cat sat on the mat with another cat"), (1, "Dogs chase the ball"), (2, "Python programming for data work"), (3, ""), (4, None)]
 
@@ -103,3 +104,11 @@ def test_rerank(spark):
     scorer = rerank.model(lambda: lambda q, t: [[0.0, float(len(x))] for x in t])
     assert rerank.rerank(hits, 1, scorer).first()["id"] == 12
     assert rerank.rerank(hits.limit(0)).count() == 0
+
+
+def test_bm25_add_reads_null_languages(spark, tmp_path):
+    rows = [(1, "red apple", "en"), (2, "red pear tree", "de"), (3, "red plum", None)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, "red plum")], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    found = {name: {tuple(r) for r in queries.QUERIES[name](spark, str(tmp_path)).collect()} for name in ("bm25_add", "bm25_topk")}
+    assert found["bm25_add"] == found["bm25_topk"] and {r[2] for r in found["bm25_add"]} == {1, 2, 3}
