@@ -24,9 +24,12 @@ def write(df: DataFrame, path: str, files: int | None = None) -> None:
 
 
 def predict(spark: SparkSession, path: str, out: str, run: Callable[[DataFrame], DataFrame], question_key: str = "question") -> None:
-    """Answers of the questions in path as lines of question, answer, num_sources. run: (qid, question) to answers."""
-    asked = read(spark, path).select(F.xxhash64(question_key).alias("qid"), F.col(question_key).alias("question")).dropDuplicates(["qid"])
-    write(summary(run(asked)), out)
+    """Answers of the questions in path as lines of question, answer, num_sources, one for every line of path. run: (qid, question) to answers."""
+    given = read(spark, path).select(F.col(question_key).alias("question"))
+    # a repeated question is asked once and answered on each of its lines
+    found = summary(run(given.select(F.xxhash64("question").alias("qid"), "question").dropDuplicates(["question"])))
+    answers = found.withColumnRenamed("question", "asked")
+    write(given.join(answers, given["question"].eqNullSafe(answers["asked"]), "left").select("question", "answer", "num_sources"), out)
 
 
 def summary(answers: DataFrame) -> DataFrame:

@@ -92,6 +92,14 @@ def test_records_and_indexes(spark, tmp_path, chunks):
     assert pairs.prompt == "Context:\nc\n\nQuestion: q\n\nAnswer:" and pairs.completion == "a"
 
 
+def test_every_line_is_predicted(spark, tmp_path, chunks):
+    path, out = str(tmp_path / "q"), str(tmp_path / "a")
+    records.write(asks(spark, "fish in rivers", "é", "fish in rivers").select("question"), path)
+    records.predict(spark, path, out, lambda q: rag.basic(chunks, q, citations=False))
+    rows = sorted((r.question, r.answer, r.num_sources) for r in records.read(spark, out).collect())
+    assert [q for q, *_ in rows] == ["fish in rivers", "fish in rivers", "é"] and rows[0] == rows[1] and rows[0][2] > 0
+
+
 def test_settings(tmp_path, monkeypatch):
     pytest.importorskip("yaml")
     (tmp_path / "c.yaml").write_text("retrieval:\n  k: 9\n  hybrid: true\nseed: 3\n")
