@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from quarry.llm import hash_forest
 
@@ -21,16 +22,37 @@ def by_query(df):
 
 def test_few_rows_are_exact_and_odd_vectors_take_no_part(spark):
     rng = np.random.default_rng(2)
-    rows = {i: rng.normal(size=8).tolist() for i in range(300)}
-    rows[7] = rows[3]
-    odd = [(900, None), (1000, [0.0] * 8), (1001, [float("nan")] * 8), (1002, [1.0] * 7 + [None]), (1100, [float("inf")] * 8), (1200, [1.0, 2.0]), (5, rows[5])]
-    df = spark.createDataFrame([*rows.items(), *odd], "vec_id bigint, embedding array<double>").selectExpr("*", "1 as shard", "'x' as id")
-    assert by_query(hash_forest.search(df, df.where("vec_id % 100 = 0"))) == plain(rows, [0, 100, 200])
+    rows = {i * 50: rng.normal(size=8).tolist() for i in range(20)}
+    rows[7] = rows[100]
+    odd = [(900, None), (1000, [0.0] * 8), (1001, [float("nan")] * 8), (1002, [1.0] * 7 + [None]), (1100, [float("inf")] * 8), (5, rows[50]), (5, rows[50])]
+    del rows[900]
+    df = spark.createDataFrame([*rows.items(), *odd], "vec_id bigint, embedding array<double>").selectExpr("*", "1 as shard", "'x' as id", "2 as size", "3 as most")
+    rows[5] = rows[50]
+    assert by_query(hash_forest.search(df, df.where("vec_id % 100 = 0"))) == plain(rows, [i for i in rows if i % 100 == 0])
+
+
+def test_repeated_and_null_ids_and_other_lengths(spark):
+    rows = [(100, [3.0, 0.0]), (100, [1.0, 0.0]), (1, [2.0, 0.0]), (None, [1.0, 0.1]), (None, [1.0, 0.1]), (2, [1.0, 0.2]), (200, [1.0, 0.0, 0.0]), (3, [1.0, 0.0, 1.0])]
+    for parts in (1, 3):
+        df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(parts)
+        found = by_query(hash_forest.search(df, df.where("vec_id % 100 = 0")))
+        # of id 100 the least vector counts; each null id is a candidate; vectors of three components are apart
+        assert found == {100: [(None, 0.1), (None, 0.1), (2, 0.2), (1, 1.0)], 200: [(3, 1.0)]}
+
+
+def test_hot_copies_go_to_the_smallest_ids(spark):
+    rng = np.random.default_rng(6)
+    same = rng.normal(size=16)
+    rows = {i: (same if i % 3 else rng.normal(size=16)).tolist() for i in range(900)}
+    df = spark.createDataFrame(list(rows.items()), "vec_id bigint, embedding array<double>").repartition(5)
+    found = by_query(hash_forest.search(df, df.where("vec_id % 100 = 0")))
+    assert all(found[q] == [(i, 0.0) for i in range(40) if i % 3 and i != q][:10] for q in (100, 200, 400, 500, 700, 800))
 
 
 def test_recall_over_shards(spark, monkeypatch):
     rng = np.random.default_rng(3)
-    x = rng.normal(size=(9000, 32)).astype(np.float32)
+    x = rng.normal(size=(9000, 64)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
     monkeypatch.setattr(hash_forest, "SHARD_ROWS", 3000)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>")
     found = by_query(hash_forest.search(df, df.where("vec_id % 300 = 0")))
@@ -39,12 +61,32 @@ def test_recall_over_shards(spark, monkeypatch):
     assert hits >= 0.9 * 10 * len(want)
 
 
-def test_ascent_holds_enough_and_the_longest_prefixes():
+@pytest.mark.parametrize("rows, share", [(2_000, 0.25), (20_000, 0.08), (200_000, 0.05)])
+def test_recall_and_share_of_rows_measured(rows, share):
+    """Unit vectors without any structure, the hardest case: distances to the nearest differ least from others."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(rows, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    asked = x[:: rows // 40]
+    forest = hash_forest.Forest(x, hash_forest.Rotations(64, hash_forest.TREES, 11))
+    hits = measured = 0
+    for q, near in zip(asked, forest.candidates(asked, int(np.ceil(5 * np.sqrt(rows))))):
+        hits += len(set(np.argsort(np.square(x - q).sum(1))[1:11].tolist()) & set(near.tolist()))
+        measured += len(near)
+    assert hits >= 0.9 * 10 * len(asked) and measured <= share * rows * len(asked)
+
+
+def test_ranges_are_those_of_equal_prefixes():
     rng = np.random.default_rng(4)
-    x = rng.normal(size=(5000, 16))
-    forest = hash_forest.Forest(x, hash_forest._rotations(16, 8, 1), x.mean(0))
-    for near in forest.candidates(x[:20], 200):
-        assert len(near) >= 25
+    x = rng.normal(size=(3000, 16))
+    forest = hash_forest.Forest(x, hash_forest.Rotations(16, 8, 1))
+    codes = forest.rotations.strings(x - forest.mean)
+    for level, shift in enumerate(forest.rotations.below):
+        low, count = forest._ranges(codes[:, :5], level)
+        for t in range(8):
+            for q in range(5):
+                held = set(forest.order[t, low[t, q] : low[t, q] + count[t, q]].tolist())
+                assert held == set(np.flatnonzero(codes[t] >> shift == codes[t, q] >> shift).tolist())
     assert all(q in near for q, near in enumerate(forest.candidates(x[:20], 1)))
 
 
