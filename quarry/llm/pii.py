@@ -5,7 +5,8 @@ random field adds what they miss: spelled-out addresses, national phone numbers,
 numbers. It scores whole candidate segments of at most MOST_TOKENS tokens by features of the span (digit groups,
 check sums, separators, the words before), and a dynamic program over segment ends picks boundaries and kinds of a
 region together. Only regions around trigger tokens (numbers, spelled-out dots, account codes) are decoded: an entity
-must hold a trigger, so the rest of a text has a single reading. An added span never overlaps a base span.
+must hold a trigger, so the rest of a text has a single reading. A region of any length is read in one pass that holds
+a window of tokens. An added span never overlaps a base span.
 
 The weights are trained here, by likelihood, on sentences that a seeded generator writes (TRAIN_SENTENCES of them).
 
@@ -17,8 +18,11 @@ from __future__ import annotations
 
 import random
 import re
+from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +37,8 @@ BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban")
 #: Bound of an entity, in tokens.
 MOST_TOKENS = 14
+#: Tokens that are looked at side by side when a text is read.
+WINDOW = 1024
 #: Bound of the training set, in sentences.
 TRAIN_SENTENCES = 260
 
@@ -42,6 +48,7 @@ _chain = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _card = re.compile(r"[0-9](?:[\x20-]?[0-9])*")
 _phone = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _not_digit = re.compile(r"[^0-9]+")
+_digits = re.compile(r"[0-9]+")
 _token = re.compile(r"[^\W_]+|[^\w\s]|_")
 #: Texts without a match hold neither base nor added spans.
 MAYBE = r"[0-9@]|(?i)[\s(\[{]dot[\s)\]}]"
@@ -76,7 +83,8 @@ def addresses(text: str) -> Iterator[tuple[int, int]]:
         start = m.start()
         for k in range(0, len(parts) - 3, 4):
             end = start + sum(map(len, parts[k : k + 4])) + 3
-            if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in parts[k : k + 4]):
+            # without leading zeros: a number of thousands of digits is no int
+            if all(len(p) <= 3 and int(p or "0") <= 255 for p in (x.lstrip("0") for x in parts[k : k + 4])):
                 yield start, end
             start = end + 1
 
@@ -115,6 +123,7 @@ _before = {
 _endings = frozenset("com org net edu gov info io de fr es uk eu co us".split())
 _iban = re.compile(r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}")
 _codes = re.compile(r"[A-Z]{2}[0-9]{2}")
+_plain = frozenset("- ().")
 _groups = {"3-3-4": 0, "(3)3-4": 1, "3-4": 2, "4-4-4-4": 3, "4-6-5": 4, "2-2-2-2-2": 5, "3-3-3": 6, "4-2-2": 7, "4": 8, "4-4": 9}
 FEATURES = 56
 LABELS = 1 + len(KINDS)  # 0: outside
@@ -131,82 +140,99 @@ def _mod97(code: str) -> bool:
     return int("".join(str(int(c, 36)) for c in turned)) % 97 == 1
 
 
-def _features(text: str, tokens: list[tuple[int, int]], i: int, j: int) -> list[int]:
-    """Active features of the segment of tokens i to j (exclusive)."""
-    words = [text[a:b] for a, b in tokens[i:j]]
-    low = [w.lower() for w in words]
-    span = text[tokens[i][0] : tokens[j - 1][1]]
-    on = [0]
-    digits = _not_digit.sub("", span)
-    n = len(digits)
-    letters = sum(c.isalpha() for c in span)
-    on.append(1 if n == 0 else 2 if n < 7 else 3 if n < 9 else 4 if n == 9 else 5 if n == 10 else 6 if n < 16 else 7 if n < 20 else 8)
-    if letters:
-        on.append(9)
-    seps = set(re.sub(r"[^\W_]", "", span))
-    on.append(10 if not seps else 11 if seps == {"-"} else 12 if seps == {" "} else 13 if seps == {"."} else 14 if seps <= {"-", " ", "(", ")", "."} else 15)
-    if not letters:
-        pattern = re.sub(r"[0-9]+", lambda m: str(len(m.group())), span)
-        pattern = re.sub(r"\)[ ]?", ")", re.sub(r"[ .]", "-", pattern.replace(") ", ")")))
-        if (k := _groups.get(pattern)) is not None:
-            on.append(16 + k)
-        if 16 <= n <= 19:
-            on.append(27 if luhn(digits) else 28)
-    names = [w in ("at", "dot") for w in low]
-    if "dot" in low and "at" in low and low.index("at") < low.index("dot"):
-        at, dot = low.index("at"), len(low) - 1 - low[::-1].index("dot")
-        alnum = [k for k, w in enumerate(words) if w.isalnum()]
-        neat = low.count("at") == 1 and 0 < at and dot < len(low) - 1
-        inner = [k for k in alnum if not names[k]]
-        # words only between the spelled signs: one before at, one between, one after the last dot
-        exact = neat and len([k for k in inner if k < at]) == 1 and len([k for k in inner if k > at]) == low.count("dot") + 1
-        on.append(29 if exact else 30)
-        on.append(31 if low[-1] in _endings else 32)
-        bracketed = at > 0 and words[at - 1] in "([{"
-        on.append(33 if bracketed else 34)
-    elif "dot" in low:
-        on.append(35)
-    compact = "".join(w for w in words if w.isalnum())
-    if _iban.fullmatch(compact) and len(compact) <= 34:
-        on.append(36 if _mod97(compact) else 37)
-    before = [text[a:b].lower() for a, b in tokens[max(0, i - 3) : i]]
-    on += [38 + k for k in {_before[w] for w in before if w in _before}]
-    if words[0] in "(+":
-        on.append(44 if words[0] == "(" else 45)
-    if not words[-1].isalnum():
-        on.append(46)
+def _spelled(words: list[str], low: list[str]) -> list[int]:
+    """Features of spelled-out signs in a segment with a dot among its words."""
+    if "at" not in low or low.index("at") > low.index("dot"):
+        return [35]
+    at, dot = low.index("at"), len(low) - 1 - low[::-1].index("dot")
+    inner = [k for k, x in enumerate(words) if x.isalnum() and low[k] not in ("at", "dot")]
+    neat = low.count("at") == 1 and 0 < at and dot < len(low) - 1
+    # words only between the spelled signs: one before at, one between, one after the last dot
+    exact = neat and len([k for k in inner if k < at]) == 1 and len([k for k in inner if k > at]) == low.count("dot") + 1
+    return [29 if exact else 30, 31 if low[-1] in _endings else 32, 33 if at > 0 and words[at - 1] in "([{" else 34]
+
+
+def _segments(text: str, tokens: list[tuple[int, int]], words: list[str], trigger: list[bool], i: int) -> Iterator[tuple[int, list[int]]]:
+    """(j, active features) of the candidate segments of tokens i to j (exclusive): with a trigger, and a word at the end."""
+    near = [x.lower() for x in words[max(0, i - 3) : i]]
+    fixed = [0, *sorted({38 + _before[x] for x in near if x in _before})]
+    if words[i] in "(+":
+        fixed.append(44 if words[i] == "(" else 45)
     if i and tokens[i - 1][1] == tokens[i][0]:
-        on.append(47)  # glued to what is before
-    if j < len(tokens) and tokens[j][0] == tokens[j - 1][1] and text[tokens[j][0]] not in ".,;:!?)\"'":
-        on.append(48)
-    if j < len(tokens) and text[tokens[j][0] : tokens[j][1]].isdigit() and tokens[j][0] - tokens[j - 1][1] <= 1:
-        on.append(49)  # a number follows at once
-    if i and text[tokens[i - 1][0] : tokens[i - 1][1]].isdigit() and tokens[i][0] - tokens[i - 1][1] <= 1:
-        on.append(50)
-    if "\n" in span:
-        on.append(51)
-    if "  " in span:
-        on.append(52)
-    on.append(53 if j - i <= 3 else 54 if j - i <= 8 else 55)
-    return on
+        fixed.append(47)  # glued to what is before
+    if i and words[i - 1].isdigit() and tokens[i][0] - tokens[i - 1][1] <= 1:
+        fixed.append(50)
+    digits = shape = compact = ""
+    letters = spelled = lines = wide = held = False
+    code = True
+    seps: set[str] = set()
+    for j in range(i + 1, min(len(tokens), i + MOST_TOKENS) + 1):
+        word = words[j - 1]
+        if j - 1 > i and tokens[j - 1][0] > tokens[j - 2][1]:
+            gap = text[tokens[j - 2][1] : tokens[j - 1][0]]
+            seps.update(gap)
+            shape += gap
+            lines, wide = lines or "\n" in gap, wide or "  " in gap
+        alnum = word.isalnum()
+        if not alnum:
+            seps.add(word)
+            shape += word
+        elif word.isascii() and word.isdigit():
+            digits += word
+            shape += str(len(word))
+        else:
+            digits += _not_digit.sub("", word)
+            shape += _digits.sub(lambda m: str(len(m.group())), word)
+            letters = letters or any(map(str.isalpha, word))
+            spelled = spelled or word.lower() == "dot"
+        if code and alnum:
+            compact += word
+            code = "A" <= compact[0] <= "Z"
+        held = held or trigger[j - 1]
+        if not (held and alnum):
+            continue
+        n = len(digits)
+        on = [*fixed, 1 if n == 0 else 2 if n < 7 else 3 if n < 9 else 4 if n == 9 else 5 if n == 10 else 6 if n < 16 else 7 if n < 20 else 8]
+        on.append(10 if not seps else 11 if seps == {"-"} else 12 if seps == {" "} else 13 if seps == {"."} else 14 if seps <= _plain else 15)
+        if letters:
+            on.append(9)
+        else:
+            if len(shape) < 20 and (k := _groups.get(shape.replace(") ", ")").replace(" ", "-").replace(".", "-"))) is not None:
+                on.append(16 + k)
+            if 16 <= n <= 19:
+                on.append(27 if luhn(digits) else 28)
+        if spelled:
+            on += _spelled(words[i:j], [x.lower() for x in words[i:j]])
+        if code and len(compact) <= 34 and _iban.fullmatch(compact):
+            on.append(36 if _mod97(compact) else 37)
+        if j < len(tokens):
+            apart = tokens[j][0] - tokens[j - 1][1]
+            if not apart and words[j][0] not in ".,;:!?)\"'":
+                on.append(48)
+            if apart <= 1 and words[j].isdigit():
+                on.append(49)  # a number follows at once
+        if lines:
+            on.append(51)
+        if wide:
+            on.append(52)
+        on.append(53 if j - i <= 3 else 54 if j - i <= 8 else 55)
+        yield j, on
 
 
 class Region:
-    """Tokens of a stretch of text with all its candidate segments."""
+    """Tokens of a training sentence with all its candidate segments."""
 
     def __init__(self, text: str, tokens: list[tuple[int, int]]):
         self.text, self.tokens = text, tokens
         n = len(tokens)
         words = [text[a:b] for a, b in tokens]
-        trigger = np.array([_trigger(w) for w in words], bool)
-        held = np.r_[0, np.cumsum(trigger)]
-        opens = [w.isalnum() or w in "(+" for w in words]
-        closes = [w.isalnum() for w in words]
-        self.segments = [(i, j) for i in range(n) if opens[i] for j in range(i + 1, min(n, i + MOST_TOKENS) + 1) if closes[j - 1] and held[j] > held[i]]
-        self.matrix = np.zeros((len(self.segments), FEATURES))
-        for k, (i, j) in enumerate(self.segments):
-            self.matrix[k, _features(text, tokens, i, j)] = 1
-        self.outside = trigger.astype(float)
+        trigger = [_trigger(x) for x in words]
+        found = [(i, j, on) for i in range(n) if words[i].isalnum() or words[i] in "(+" for j, on in _segments(text, tokens, words, trigger, i)]
+        self.segments = [(i, j) for i, j, _ in found]
+        self.matrix = np.zeros((len(found), FEATURES))
+        for k, (_, _, on) in enumerate(found):
+            self.matrix[k, on] = 1
+        self.outside = np.array(trigger, float)
         self.ending: list[list[int]] = [[] for _ in range(n + 1)]
         for k, (_, j) in enumerate(self.segments):
             self.ending[j].append(k)
@@ -214,32 +240,6 @@ class Region:
     def scores(self, w: np.ndarray, out: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return self.matrix @ w, out[0] + self.outside * out[1]
 
-    def best(self, w: np.ndarray, out: np.ndarray, trans: np.ndarray) -> list[tuple[int, int, int]]:
-        """Segments (i, j, kind) of the best reading."""
-        if not self.segments:
-            return []
-        seg, single = self.scores(w, out)
-        n = len(self.tokens)
-        value = np.full((n + 1, LABELS), -np.inf)
-        value[0, 0] = 0
-        back: dict[tuple[int, int], tuple[int, int]] = {}
-        for j in range(1, n + 1):
-            into = value[j - 1] + trans[:, 0]
-            value[j, 0], back[j, 0] = into.max() + single[j - 1], (j - 1, int(into.argmax()))
-            for k in self.ending[j]:
-                i = self.segments[k][0]
-                into = value[i][:, None] + trans[:, 1:]
-                top = into.max(0) + seg[k]
-                for y in np.flatnonzero(top > value[j, 1:]).tolist():
-                    value[j, y + 1], back[j, y + 1] = top[y], (i, int(into[:, y].argmax()))
-        found, at = [], (n, int(value[n].argmax()))
-        while at[0]:
-            before = back[at]
-            if at[1]:
-                found.append((before[0], at[0], at[1] - 1))
-            at = before
-        return found[::-1]
-
     def gradient(self, truth: list[tuple[int, int, int]], w: np.ndarray, out: np.ndarray, trans: np.ndarray):
         """Of the log-likelihood of the true segments: observed less expected features."""
         seg, single = self.scores(w, out)
@@ -376,22 +376,68 @@ def train(count: int = TRAIN_SENTENCES, seed: int = 7, rounds: int = 12) -> tupl
     return w, out, trans
 
 
+def reading(text: str, starts: np.ndarray, ends: np.ndarray, weights: tuple[np.ndarray, np.ndarray, np.ndarray]) -> list[tuple[int, int, int]]:
+    """Segments (i, j, kind) of the best reading of a stretch of tokens of any length.
+
+    Values reach MOST_TOKENS ahead, so only that many are held; a token leaves the steps back to it, some bytes.
+    """
+    w, out, trans = weights
+    rows, bias, plain, cross = w.tolist(), out.tolist(), trans[:, 0], trans[:, 1:]
+    n, ring = len(starts), MOST_TOKENS + 1
+    came, label = np.zeros((n + 1, LABELS), np.int8), np.zeros((n + 1, LABELS), np.int8)
+    value = [[-np.inf] * LABELS for _ in range(ring)]
+    value[0][0] = 0.0
+    for first in range(0, n, WINDOW):
+        a, b = max(0, first - 3), min(n, first + WINDOW + ring)
+        tokens = list(zip(starts[a:b].tolist(), ends[a:b].tolist()))
+        words = [text[x:y] for x, y in tokens]
+        trigger = [_trigger(x) for x in words]
+        for i in range(first - a, min(n, first + WINDOW) - a):
+            at = i + a
+            now = np.array(value[at % ring])
+            value[at % ring] = [-np.inf] * LABELS
+            into = now + plain
+            best, ahead = int(into.argmax()), value[(at + 1) % ring]
+            if (step := float(into[best]) + bias[0] + bias[1] * trigger[i]) > ahead[0]:
+                ahead[0], came[at + 1, 0], label[at + 1, 0] = step, 1, best
+            if not (words[i].isalnum() or words[i] in "(+"):
+                continue
+            every = now[:, None] + cross
+            top, of = every.max(0).tolist(), every.argmax(0)
+            for j, on in _segments(text, tokens, words, trigger, i):
+                some, ahead = [rows[k] for k in on], value[(j + a) % ring]
+                for y, start in enumerate(top):
+                    if (step := start + sum([r[y] for r in some])) > ahead[y + 1]:
+                        ahead[y + 1], came[j + a, y + 1], label[j + a, y + 1] = step, j - i, of[y]
+    found, at, now = [], n, int(np.argmax(value[n % ring]))
+    while at:
+        step, before = int(came[at, now]), int(label[at, now])
+        if now:
+            found.append((at - step, at, now - 1))
+        at, now = at - step, before
+    return found[::-1]
+
+
 def added_spans(text: str, weights: tuple[np.ndarray, np.ndarray, np.ndarray], taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """Spans of the best reading that overlap no taken one."""
-    tokens = [m.span() for m in _token.finditer(text)]
-    hits = [k for k, (a, b) in enumerate(tokens) if b - a > 1 and _trigger(text[a:b])]
-    found, k = [], 0
-    while k < len(hits):
-        low, high = hits[k] - MOST_TOKENS, hits[k] + MOST_TOKENS
-        k += 1
-        while k < len(hits) and hits[k] - MOST_TOKENS <= high:
-            high = hits[k] + MOST_TOKENS
-            k += 1
-        some = tokens[max(0, low) : high + 1]
-        for i, j, y in Region(text, some).best(*weights):
-            found.append((KINDS[y], some[i][0], some[j - 1][1]))
+    starts, ends, hits = array("q"), array("q"), array("q")
+    for k, m in enumerate(_token.finditer(text)):
+        starts.append(m.start())
+        ends.append(m.end())
+        if m.end() - m.start() > 1 and _trigger(m.group()):
+            hits.append(k)
+    starts, ends, hits = (np.array(x, np.int64) for x in (starts, ends, hits))
+    # stretches of tokens within reach of a trigger
+    breaks = np.flatnonzero(np.diff(hits) > 2 * MOST_TOKENS)
+    found = []
+    for low, high in zip(hits[np.r_[0, breaks + 1]].tolist(), hits[np.r_[breaks, len(hits) - 1]].tolist()) if len(hits) else ():
+        s = slice(max(0, low - MOST_TOKENS), high + MOST_TOKENS + 1)
+        some, until = starts[s], ends[s]
+        found += [(KINDS[y], int(some[i]), int(until[j - 1])) for i, j, y in reading(text, some, until, weights)]
     held = sorted((a, b) for _, a, b in taken)
-    return [s for s in found if not any(a < s[2] and s[1] < b for a, b in held)]
+    before, reach = [a for a, _ in held], list(accumulate((b for _, b in held), max))
+    # of the taken spans that start before its end, none reaches beyond its start
+    return [s for s in found if not (k := bisect_left(before, s[2])) or reach[k - 1] <= s[1]]
 
 
 def all_spans(text: str, weights) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:

@@ -1,5 +1,9 @@
+import random
 import re
+import time
+import tracemalloc
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -44,6 +48,57 @@ def test_plain_texts_stay_alone():
         assert [s for s in pii.all_spans(text, weights)[1] if s not in plain(text)] == []
 
 
+def best(region, w, out, trans):
+    """Segments (i, j, kind) of the best reading, by a table of all segments."""
+    seg, single = region.scores(w, out)
+    n, labels = len(region.tokens), len(pii.KINDS) + 1
+    value = {(0, 0): (0.0, None)}
+    for j in range(1, n + 1):
+        steps = [(value[p, y][0] + trans[y, 0] + single[j - 1], (p, y), (j, 0)) for p in (j - 1,) for y in range(labels) if (p, y) in value]
+        for k in region.ending[j]:
+            i = region.segments[k][0]
+            steps += [(value[i, y][0] + trans[y, z] + seg[k][z - 1], (i, y), (j, z)) for y in range(labels) if (i, y) in value for z in range(1, labels)]
+        for score, before, here in steps:
+            if here not in value or score > value[here][0] + 1e-9:
+                value[here] = (score, before)
+    at, found = max((y for y in range(labels) if (n, y) in value), key=lambda y: value[n, y][0]), []
+    at = (n, at)
+    while at[0]:
+        before = value[at][1]
+        if at[1]:
+            found.append((before[0], at[0], at[1] - 1))
+        at = before
+    return found[::-1]
+
+
+def test_readings_are_the_best_of_all(monkeypatch):
+    weights, rng = pii.train(), random.Random(3)
+    monkeypatch.setattr(pii, "WINDOW", 16)
+    for text, _ in pii.sentences(60, 99):
+        text = " ".join([text, *(str(rng.randint(0, 10**rng.randint(1, 6))) for _ in range(rng.randint(0, 30)))])
+        spans = [m.span() for m in pii._token.finditer(text)]
+        assert pii.reading(text, *np.array(spans).T, weights) == best(pii.Region(text, spans), *weights)
+
+
+def test_texts_of_numbers_take_linear_time_and_little_memory():
+    weights, took = pii.train(), []
+    for n in (500, 2_000):
+        text = " ".join(str(k * 7919 % 100_000) for k in range(n))
+        began = time.process_time()
+        tracemalloc.start()
+        pii.all_spans(text, weights)
+        assert tracemalloc.get_traced_memory()[1] < 20 << 20
+        tracemalloc.stop()
+        took.append(time.process_time() - began)
+    assert took[1] < 8 * took[0]
+
+
+def test_numbers_of_thousands_of_digits():
+    text = "0" * 5000 + ".1.2.3 and " + "9" * 5000 + ".1.2.3, " + "00300.1.1.1 " + "1" * 6000 + "@" + "2" * 6000 + ".de"
+    assert [s for s in pii.base_spans(text) if s[0] == "ip"] == [("ip", 0, 5006)]
+    pii.all_spans(text, pii.train())
+
+
 def test_rows(spark, docs, odd, none):
     more = [(1, "mail a.b@c.de or ab at cd dot de, call +1 (017) 555-7713"), (2, None), (3, ""), (3, ""), (4, "1" * 50_000 + " 10.0.0.1"), (5, "4111 1111 1111 1111 é 1.2.3.4.5.6.7.8")]
     df = spark.createDataFrame([(i, t, "n") for i, t in more], "doc_id bigint, text string, base string")
