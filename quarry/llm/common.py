@@ -7,7 +7,7 @@ import gc
 import tempfile
 import time
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import wraps
 
 import pyarrow as pa
@@ -19,9 +19,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; where it is unset (tests), a new local one is set and used."""
+    """The shared folder the cluster names; where it is unset in local mode (tests), a new local one is set and used."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="quarry-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -71,6 +73,19 @@ def exchange_partitions(spark: SparkSession, times: int = 1) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))) * times
 
 
+def aside(df: DataFrame, added: Iterable[str]) -> tuple[DataFrame, dict[str, str]]:
+    """df with columns that an added name would clash with, in any case, under their name with _ appended; new names by old."""
+    taken = {c.lower() for c in (*df.columns, *added)}
+    clash, moved = {c.lower() for c in added}, {}
+    for c in df.columns:
+        new = c
+        while new.lower() in clash or (new != c and new.lower() in taken):
+            new += "_"
+        taken.add(new.lower())
+        moved[c] = new
+    return df.toDF(*moved.values()), moved
+
+
 def word_count(text: Column) -> Column:
     """Words of a text as BIGINT; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

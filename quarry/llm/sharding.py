@@ -7,7 +7,7 @@ while it holds more than the limit. Prefixes that are still too large after `ste
 
 Defined results: a null key is hashed as the empty string, null content counts 0 bytes; rows with one key share a
 shard, so a single key beyond the limit ends in a shard of its own at 64 bits (fits = false), never dropped; an
-empty table gives no rows; extra columns stay, and the added names are parameters.
+empty table gives no rows; extra columns stay, those of an added name (a parameter) with _ appended to theirs.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import aside, discard, materialize
 
 BITS = 64
 
@@ -28,12 +28,13 @@ def hash_bits(key: Column) -> Column:
 
 def directory(keyed: DataFrame, limit: int, step: int = 12) -> DataFrame:
     """(prefix, shard_bytes) of all buckets, from rows (bits, bytes); prefixes are disjoint and cover all rows."""
-    done, rest, depth = None, keyed, 0
+    done, rest, depth, held = None, keyed, 0, []
     while True:
         # sums of every prefix of depth .. depth + step bits, from those of the longest
         deep = min(depth + step, BITS)
         leaves = rest.groupBy(F.substring("bits", 1, deep).alias("leaf")).agg(F.sum("bytes").alias("bytes"))
         leaves = materialize(leaves, "leaves")
+        held.append(leaves)
         prefixes = leaves.select(F.explode(F.transform(F.sequence(F.lit(depth), F.lit(deep)), lambda d: F.substring("leaf", F.lit(1), d))).alias("prefix"), "bytes")
         sums = prefixes.groupBy("prefix").agg(F.sum("bytes").alias("shard_bytes"))
         # a prefix is a bucket if it fits (or has no more bits) and its parent doesn't
@@ -44,11 +45,16 @@ def directory(keyed: DataFrame, limit: int, step: int = 12) -> DataFrame:
         top = F.col("parent").isNull()
         found = buckets.join(over, buckets["parent"] == over["over_prefix"], "left").where(top | F.col("over_prefix").isNotNull())
         found = materialize(found.select("prefix", "shard_bytes"), "buckets")
+        held.append(found)
         done = found if done is None else done.unionByName(found)
         large = sums.where((F.length("prefix") == deep) & (F.col("shard_bytes") > limit)).select(F.col("prefix").alias("large"))
         if deep == BITS or large.isEmpty():
+            done = materialize(done, "shards")
+            for table in held:
+                discard(table)
             return done
         rest = materialize(rest.join(large, F.substring("bits", 1, deep) == F.col("large"), "left_semi"), "oversized")
+        held.append(rest)
         depth = deep
         # the deeper rounds start below prefixes known to be too large
         # (their own sum is in no bucket, as it exceeds the limit)
@@ -58,16 +64,23 @@ def assign_shards(df: DataFrame, limit: int, key_col: str = "doc_id", content_co
     """df with the shard (hash prefix) of each row, that shard's bytes and whether they are within the limit."""
     if limit < 1:
         raise ValueError("limit must be positive")
-    marked = df.withColumns({"_bits": hash_bits(df[key_col]), "_bytes": F.coalesce(F.octet_length(df[content_col]), F.lit(0)).cast("long")})
-    keyed = materialize(marked.select(F.col("_bits").alias("bits"), F.col("_bytes").alias("bytes")).groupBy("bits").agg(F.sum("bytes").alias("bytes")), "keyed")
+    df, moved = aside(df, (shard_col, bytes_col, fits_col))
+    size = F.coalesce(F.octet_length(df[moved.get(content_col, content_col)]), F.lit(0)).cast("long")
+    # the row stays whole in a column of its own, so that no name within can be taken for another
+    marked = df.select(F.struct("*").alias("row"), hash_bits(df[moved.get(key_col, key_col)]).alias("bits"), size.alias("bytes"))
+    keyed = materialize(marked.groupBy("bits").agg(F.sum("bytes").alias("bytes")), "keyed")
     shards = directory(keyed, limit, step)
-    # one equi-join on the directory's first bits; the exact prefix is a residual of it
-    slot = shards.agg(F.min(F.length("prefix"))).first()[0] or 0
-    shards = shards.select(F.col("prefix").alias("_prefix"), F.substring("prefix", 1, slot).alias("_slot"), F.col("shard_bytes").alias("_shard_bytes"))
-    joined = marked.withColumn("_at", F.substring("_bits", 1, slot)).join(shards, (F.col("_at") == F.col("_slot")) & F.col("_bits").startswith(F.col("_prefix")))
-    added = {shard_col: F.col("_prefix"), bytes_col: F.col("_shard_bytes"), fits_col: F.col("_shard_bytes") <= limit}
-    keep = [F.col(c) for c in df.columns if c not in added]
-    return joined.select(*keep, *(c.alias(n) for n, c in added.items()))
+    discard(keyed)
+    # the directory: slots of some bits, of which a shallower bucket has several and a deeper one shares one
+    count, deepest = shards.agg(F.count(F.lit(1)), F.coalesce(F.max(F.length("prefix")), F.lit(0))).first()
+    slots = min(deepest, max(1, count).bit_length() + 2)
+    free = F.lit(slots) - F.length("prefix")
+    tails = F.transform(F.sequence(F.lit(0), F.pow(F.lit(2), free).cast("int") - 1), lambda i: F.lpad(F.bin(i), free, "0"))
+    tails = F.when(free > 0, tails).otherwise(F.array(F.lit("")))
+    shards = shards.select(F.col("prefix"), "shard_bytes", F.explode(tails).alias("tail"))
+    shards = shards.select("prefix", "shard_bytes", F.substring(F.concat("prefix", "tail"), 1, slots).alias("slot"))
+    joined = marked.withColumn("at", F.substring("bits", 1, slots)).join(shards, (F.col("at") == F.col("slot")) & F.col("bits").startswith(F.col("prefix")))
+    return joined.select("row.*", F.col("prefix").alias(shard_col), F.col("shard_bytes").alias(bytes_col), (F.col("shard_bytes") <= limit).alias(fits_col))
 
 
 def write_shards(df: DataFrame, path: str, limit: int, **columns: str) -> None:

@@ -11,8 +11,8 @@ sent to every executor; a larger one stays in the shared folder, rows are ranged
 and every task reads the shards it meets.
 
 Defined results: a null url, or one without ://, has empty host and path; null keys are in no list; repeated rows give
-repeated results; empty tables and empty lists give no rows and no blocks; extra columns stay, added names are
-parameters.
+repeated results; empty tables and empty lists give no rows and no blocks; extra columns stay, those of an added name
+(a parameter), in any case, with _ appended to theirs.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import exchange_partitions, materialize, trimmed
+from .common import aside, exchange_partitions, materialize, trimmed
 
 U = np.uint64
 PER_SHARD = 200_000
@@ -184,10 +184,11 @@ class Filter:
             self.sent = spark.sparkContext.broadcast({k: _opened(v) for k, v in by_shard.items()})
 
     def mark(self, df: DataFrame, key: Column, name: str) -> DataFrame:
-        """df with a boolean column: whether the key is listed; false for null."""
+        """df with a boolean column: whether the key is listed; false for null. A column that name clashes with gets _ appended."""
         shards, sent = self.shards, self.sent
         folder = None if sent is not None else self.table.inputFiles()[0].rsplit("/", 1)[0]
         salt = [F.col(f"`{c}`") for c, kind in df.dtypes if kind in ("bigint", "int", "string")]
+        df, _ = aside(df, [name])
         marked = df.select(F.struct("*").alias("row"), key.alias("key"), F.xxhash64(*salt, F.lit(0)).alias("salt"))
         marked = marked.select("row", "salt", "key", *_hashes(F.col("key"))).withColumn("shard", _shard(shards))
         if sent is None:
@@ -278,11 +279,13 @@ def judge(df: DataFrame, rules: dict[str, str], listed: DataFrame, url_col: str
         rules: verdict (allow or block) by host/path prefix; the longest that fits decides. A short list, kept in the plan.
         listed: one column of host names; its size has no bound.
     """
-    host, mark = host_of(F.col(url_col)), "_listed"
-    while mark in df.columns:
+    mark = "_listed"
+    while mark.lower() in [c.lower() for c in (*df.columns, host_col, path_col, rule_col, verdict_col)]:
         mark += "_"
-    names = cascade(df.select(host.alias("k")), listed, **sizes)
-    out = df.withColumns({host_col: host, path_col: path_of(F.col(url_col))})
+    df, moved = aside(df, (host_col, path_col, rule_col, verdict_col))
+    url = F.col(moved.get(url_col, url_col))
+    names = cascade(df.select(host_of(url).alias("k")), listed, **sizes)
+    out = df.withColumns({host_col: host_of(url), path_col: path_of(url)})
     out = names.mark(out.withColumn(rule_col, rule_for(F.col(host_col), F.col(path_col), list(rules))), F.col(host_col), mark)
     said = F.when(F.col(mark), "block").otherwise("allow")
     for rule, verdict in rules.items():

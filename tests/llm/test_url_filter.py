@@ -36,6 +36,20 @@ def test_verdicts(spark, sizes):
     assert all(r.a == "h" and r._b for r in found)
 
 
+def test_clashing_names_stay(spark):
+    names = ["_Listed", "_listed_", "host", "Path", "rule", "verdict", "key", "a", "b", "shard", "salt", "row"]
+    df = spark.createDataFrame([(i, u, *[f"{n}{i}" for n in names]) for i, u in enumerate(URLS)], ", ".join(["page_id bigint", "url string", *(f"{n} string" for n in names)]))
+    hosts = spark.createDataFrame([("bad.test",)], "host string")
+    found = url_filter.judge(df, URL_RULES, hosts).toPandas()
+    kept = [{"host": "host_", "Path": "Path_", "rule": "rule_", "verdict": "verdict_"}.get(n, n) for n in names]
+    assert list(found.columns) == ["page_id", "url", *kept, "host", "path", "rule", "verdict"]
+    assert all(found[c].tolist() == [f"{n}{i}" for i in found["page_id"]] for n, c in zip(names, kept))
+    assert found["verdict"].tolist() == [plain(URLS[i], ["bad.test"])[3] for i in found["page_id"]]
+    # the url itself may have the name of an added column
+    again = url_filter.judge(df.select("page_id", F.col("url").alias("HOST")), URL_RULES, hosts, url_col="HOST").toPandas()
+    assert again["verdict"].tolist() == [plain(URLS[i], ["bad.test"])[3] for i in again["page_id"]]
+
+
 @pytest.mark.parametrize("sizes", [{}, {"per_shard": 50}, {"per_shard": 50, "broadcast_bytes": 0}])
 def test_cascade_is_exact_over_its_universe(spark, sizes):
     keys = spark.range(4000).select(F.concat(F.lit("k"), "id").alias("k"), "id")
