@@ -168,6 +168,8 @@ def search(df: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col
     # candidates grow with a power of the rows, as for any such hash; each shard gives its share
     lengths = lengths.select(F.col("size").alias("length"), "shards", "offset", F.ceil(F.sqrt("n") * k / 2 / F.col("shards")).cast("int").alias("most"))
     asked = pick(queries).where(usable(F.col("v")) & F.col("id").isNotNull()).groupBy("id").agg(F.min("v").alias("v")).withColumn("size", F.size("v"))
+    # L different lengths take more than 4 L^2 bytes of input: the table has at most the root of a quarter of these
+    lengths = F.broadcast(lengths)
     stored = rows.join(lengths, F.col("size") == F.col("length"))
     salt = F.when(F.col("id").isNull(), F.xxhash64("v")).otherwise(F.xxhash64("id"))
     stored = stored.withColumn("shard", F.col("offset") + F.pmod(salt, F.col("shards")).cast("int"))

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import discard, exchange_partitions, materialize, release_shuffles, trimmed
 from .components import components
+from .members import perhaps
 from .packed import SCHEMA, dump, exchange, load, receive, send
 from .textblocks import U, mix, shingle_sets, text_blocks
 
@@ -39,8 +40,6 @@ PAIRS_A_TASK = 100_000
 PAIRS_AT_ONCE = 250_000
 #: Prefix entries that a map task holds before it sends them.
 HELD = 500_000
-#: Bits of the filter that spares most documents the exchange of texts; its size is fixed, beyond it more pass.
-FILTER_BITS = 24
 
 
 def _slot(h: np.ndarray) -> np.ndarray:
@@ -250,41 +249,16 @@ def _group_pairs(sent: DataFrame, percent: int, buckets: int) -> DataFrame:
     return exchange(sent, buckets).mapInArrow(trimmed(run), "g1 bigint, g2 bigint").distinct()
 
 
-def _filter(ids: DataFrame) -> tuple[np.ndarray, int]:
-    """A Bloom filter of fixed size over (id): 2 ** FILTER_BITS bits, two hashes."""
-    bits = FILTER_BITS
-    spots = ids.select(F.explode(F.array(*(F.shiftrightunsigned(F.xxhash64("id", F.lit(s)), 64 - bits) for s in (1, 2)))).alias("spot"))
-    words = spots.select(F.shiftright("spot", 6).alias("w"), F.expr("shiftleft(1L, cast(spot % 64 AS int))").alias("b"))
-    words = words.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()  # at most 2 ** (FILTER_BITS - 6) rows
-    table = np.zeros(1 << (bits - 6), np.int64)
-    table[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64)
-    return table.view(U), bits
-
-
 def _candidate_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """(c, s): packed shingle sets of the documents in wanted (c)."""
-    table, bits = _filter(wanted.select(F.col("c").alias("id")))
-    shared = docs.sparkSession.sparkContext.broadcast(table)
-
-    def passes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filled = shared.value
-        for batch in batches:
-            ok = np.ones(batch.num_rows, bool)
-            for k in (2, 3):
-                spot = batch.column(k).to_numpy()
-                ok &= (filled[spot >> 6] >> (spot & 63).astype(U) & U(1)).astype(bool)
-            if ok.any():
-                yield pa.record_batch(batch.columns[:2], ["id", "text"]).filter(pa.array(ok))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in text_blocks(batches):
             yield pa.record_batch([block.ids, pa.array([s.tobytes() for s in shingle_sets(block, width)], pa.binary())], ["c", "s"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    spots = [F.shiftrightunsigned(F.xxhash64("id", F.lit(s)), 64 - bits).alias(f"spot{s}") for s in (1, 2)]
-    near = docs.select("id", "text", *spots).mapInArrow(trimmed(passes), f"id {kind}, text string")
-    exact = near.join(wanted.select("c", "cf"), (F.col("id") == F.col("c")), "left_semi")
-    return exact.mapInArrow(trimmed(sets), f"c {kind}, s binary")
+    near = perhaps(docs.select("id", "text"), wanted.select(F.col("c").alias("id")))
+    return near.join(wanted, F.col("id") == F.col("c"), "left_semi").mapInArrow(trimmed(sets), f"c {kind}, s binary")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -351,7 +325,7 @@ def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent:
     inner = classes.join(several, "g", "left_semi")
     within = inner.select(F.col("c").alias("c1"), "g").join(inner.select(F.col("c").alias("c2"), "g"), "g").where("c1 < c2").select("c1", "c2")
     expanded = materialize(_may_link(across.union(within), classes, percent), "expanded")
-    wanted = materialize(expanded.select(F.col("c1").alias("c")).union(expanded.select(F.col("c2").alias("c"))).distinct().withColumn("cf", F.lit(1)), "wanted")
+    wanted = materialize(expanded.select(F.col("c1").alias("c")).union(expanded.select(F.col("c2").alias("c"))).distinct(), "wanted")
     sets = materialize(_candidate_sets(docs, wanted, width), "candidates")
     links = materialize(_verified(expanded, sets, percent), "links")
     discard(sets)

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import exchange_partitions, materialize, trimmed
-from .members import member_filter, member_spots
+from .members import perhaps
 from .packed import bucket_of, dump, exchange, load
 from .textblocks import U, Block, mix, prefix_hashes, text_blocks
 
@@ -43,8 +43,6 @@ HELD = 400_000
 #: Dictionary phrases whose suffixes are sorted at once.
 SORTED_AT_ONCE = 8_000
 LAST = np.iinfo(np.int64).max
-#: Bits of the filter that spares texts without step-2 positions a second exchange; beyond it more pass.
-FILTER_BITS = 24
 
 BEFORE = LENGTH - TRIGGER
 _wide = BEFORE + LENGTH
@@ -462,22 +460,6 @@ def _late_documents(late: DataFrame) -> DataFrame:
     return late.select("blob").mapInArrow(trimmed(run), "o bigint").distinct()
 
 
-def _perhaps(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose o is in ids, and few others: a Bloom filter of fixed size."""
-    table, bits = member_filter(ids.select(F.col("o").alias("id")))
-    shared = docs.sparkSession.sparkContext.broadcast(table)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = np.ones(batch.num_rows, bool)
-            for k in (-2, -1):
-                spot = batch.column(batch.num_columns + k).to_numpy()
-                ok &= (shared.value[spot >> 6] >> (spot & 63).astype(U) & U(1)).astype(bool)
-            yield batch.select(range(batch.num_columns - 2)).filter(pa.array(ok))
-
-    return docs.select("*", *member_spots(F.col("o"), bits)).mapInArrow(trimmed(run), docs.schema)
-
-
 def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
     """(id_col, n_bytes, n_removed, n_spans, kept_sha256) of every row; keep adds kept, the bytes that stay."""
     spark = df.sparkSession
@@ -497,5 +479,5 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: b
         return _applied(_with_entries(docs, entries, parts), f"{_row_types(kind)}, kept binary", repeats, True, True).select(*names, "kept")
     early = second.where("part is null").select(*ROW)
     changed = materialize(_late_documents(late), "late")
-    again = _applied(_with_entries(_perhaps(docs, changed), entries, parts), _row_types(kind), repeats, False, False)
+    again = _applied(_with_entries(perhaps(docs, changed.select(F.col("o").alias("id")), "o"), entries, parts), _row_types(kind), repeats, False, False)
     return early.join(changed, "o", "left_anti").select(*ROW).unionByName(again).select(*names)
