@@ -2,9 +2,12 @@
 
 Every text gives counts, these a vector of transformed statistics. For each (language, source), concentration steps
 look for the mean and covariance of the closest part of its rows: distances under the last estimate, the border
-that leaves this part inside, moments of the rows inside. All rows count in every step. Borders come from histograms
-of the logarithm of distance and moments from sums, so rows are pre-aggregated before each exchange and a source
-with a third of all rows is no task of its own. Estimates of few rows lean on those of their language.
+that leaves this part inside, moments of the rows inside. They begin at three deterministic starts (medians and
+quartiles, all rows, spatial signs about the medians), and the estimate of least determinant stays. All rows count in
+every step. Borders come from histograms of the logarithm of distance (to 1/64) and moments from sums, so rows are
+pre-aggregated before each exchange and a source with a third of all rows is no task of its own. Estimates of few rows
+lean on those of their language, and FLOORS, squared, are added to each variance: a ridge below which spread means
+nothing.
 
 Defined results: null or empty text has no words and fails the base rule; null language or source is a group of its
 own; groups of any size get estimates; equal rows get equal verdicts; an empty table gives no rows.
@@ -19,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, trimmed
+from .common import discard, materialize, trimmed
 
 SYMBOLS = b"#*$%&|<>"
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -114,6 +117,7 @@ def vector() -> list[Column]:
 X = [f"x{i}" for i in range(DIM)]
 PAIRS = [(i, j) for i in range(DIM) for j in range(i, DIM)]
 GROUP = ["lang", "source"]
+RUN = [*GROUP, "start"]
 
 
 def _moments(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -125,11 +129,11 @@ def _moments(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _estimates(moments: DataFrame) -> DataFrame:
-    """Mean and inverse covariance of each group, leaning on its language. moments: of groups."""
+    """Mean, inverse covariance and logarithm of its determinant of each run, leaning on its language. moments: of runs."""
     own = moments
-    total = own.groupBy("lang").agg(*(F.sum(c).alias(f"l_{c}") for c in own.columns if c not in GROUP))
-    total = total.withColumnRenamed("lang", "l_lang")
-    both = own.join(total, own["lang"].eqNullSafe(total["l_lang"])).drop("l_lang")
+    total = own.groupBy("lang", "start").agg(*(F.sum(c).alias(f"l_{c}") for c in own.columns if c not in RUN))
+    total = total.withColumnsRenamed({"lang": "l_lang", "start": "l_start"})
+    both = own.join(total, own["lang"].eqNullSafe(total["l_lang"]) & (own["start"] == total["l_start"])).drop("l_lang", "l_start")
     names = ["n", *(f"s_{x}" for x in X), *(f"q_{i}_{j}" for i, j in PAIRS)]
 
     def cov(frame, prefix):
@@ -155,15 +159,16 @@ def _estimates(moments: DataFrame) -> DataFrame:
             s = s * CONSISTENCY
             s += np.diag(np.square(FLOORS))
             inverse = np.linalg.inv(s)
-            out = f[GROUP].copy()
+            out = f[RUN].copy()
             for i in range(DIM):
                 out[f"m{i}"] = center[:, i]
             for i, j in PAIRS:
                 out[f"p_{i}_{j}"] = inverse[:, i, j] * (1 if i == j else 2)
+            out["logdet"] = np.linalg.slogdet(s)[1]
             yield out
 
-    fields = ", ".join(["lang string", "source string", *(f"m{i} double" for i in range(DIM)), *(f"p_{i}_{j} double" for i, j in PAIRS)])
-    return both.select(*GROUP, *names, *(f"l_{c}" for c in names)).mapInPandas(run, fields)
+    fields = ", ".join(["lang string", "source string", "start int", *(f"m{i} double" for i in range(DIM)), *(f"p_{i}_{j} double" for i, j in PAIRS), "logdet double"])
+    return both.select(*RUN, *names, *(f"l_{c}" for c in names)).mapInPandas(run, fields)
 
 
 def _consistency() -> float:
@@ -194,19 +199,21 @@ def _distance() -> Column:
 
 
 def _inside(rows: DataFrame, distance: Column) -> DataFrame:
-    """Rows with d2 of which COVER of the group is closest; borders by 1/64 of the distance's logarithm."""
+    """Rows with d2 of which COVER of the run is closest; borders by 1/64 of the distance's logarithm."""
     from pyspark.sql import Window as W
 
     near = rows.withColumn("bin", F.floor(F.log(distance + 1e-6) * 64).cast("int"))
-    by_bin = near.groupBy(*GROUP, "bin").agg(F.count(F.lit(1)).alias("rows"))
-    w = W.partitionBy(*GROUP)  # some hundred bins a group
+    by_bin = near.groupBy(*RUN, "bin").agg(F.count(F.lit(1)).alias("rows"))
+    w = W.partitionBy(*RUN)  # some hundred bins a run
     bins = by_bin.withColumns({"upto": F.sum("rows").over(w.orderBy("bin")), "all": F.sum("rows").over(w)})
-    border = bins.where(F.col("upto") >= F.col("all") * COVER).groupBy(*GROUP).agg(F.min("bin").alias("border"))
-    return _with(near, border).where(F.col("bin") <= F.col("border"))
+    border = bins.where(F.col("upto") >= F.col("all") * COVER).groupBy(*RUN).agg(F.min("bin").alias("border"))
+    border = border.withColumnsRenamed({"lang": "b_lang", "source": "b_source", "start": "b_start"})
+    same = near["lang"].eqNullSafe(border["b_lang"]) & near["source"].eqNullSafe(border["b_source"]) & (near["start"] == border["b_start"])
+    return near.join(border, same).where(F.col("bin") <= F.col("border"))
 
 
 def robust(rows: DataFrame, steps: int = STEPS) -> DataFrame:
-    """Estimates per group of rows (lang, source, x0 ...) by concentration steps from the group's central part."""
+    """Estimates per group of rows (lang, source, x0 ...): of least determinant after concentration steps from each start."""
     from pyspark.sql import Window as W
 
     # start: medians and median deviations per statistic, from histograms
@@ -218,11 +225,22 @@ def robust(rows: DataFrame, steps: int = STEPS) -> DataFrame:
     spots = parts.groupBy(*GROUP, "k").agg(quantile(0.5).alias("mid"), ((quantile(0.75) - quantile(0.25)) / 1.349).alias("sd"))
     wide = spots.groupBy(*GROUP).agg(*(F.max(F.when(F.col("k") == i, F.col(c))).alias(f"{c}{i}") for i in range(DIM) for c in ("mid", "sd")))
     start = wide.select(*GROUP, *(F.col(f"mid{i}").alias(f"m{i}") for i in range(DIM)), *((1 / (F.col(f"sd{i}") * F.col(f"sd{i}") + FLOORS[i] ** 2) if i == j else F.lit(0.0)).alias(f"p_{i}_{j}") for i, j in PAIRS))
-    params = materialize(start, "mcd0")
-    for step in range(steps):
-        kept = _inside(_with(rows, params).withColumn("d2", _distance()).select(*GROUP, *X, "d2"), F.col("d2"))
-        params = materialize(_estimates(_moments(kept, GROUP)), f"mcd{step + 1}")
-    return params
+    start = materialize(start.withColumns({"start": F.lit(0), "logdet": F.lit(float("inf"))}), "mcd")
+    # two more starts: moments of all rows, and of their spatial signs in units of the quartiles
+    gap = [(F.col(x) - F.col(f"m{i}")) * F.sqrt(f"p_{i}_{i}") for i, x in enumerate(X)]
+    length = F.greatest(F.sqrt(sum(g * g for g in gap)), F.lit(1e-12))
+    signs = [(F.col(f"m{i}") + g / length / F.sqrt(f"p_{i}_{i}")).alias(X[i]) for i, g in enumerate(gap)]
+    forms = F.explode(F.array(F.struct(F.lit(1).alias("start"), *X), F.struct(F.lit(2).alias("start"), *signs))).alias("form")
+    more = _estimates(_moments(_with(rows, start.drop("start")).select(*GROUP, forms).select(*GROUP, "form.*"), RUN))
+    params, old = materialize(start.unionByName(more.withColumn("logdet", F.lit(float("inf")))), "mcd"), [start]
+    for _ in range(steps):
+        kept = _inside(_with(rows, params).withColumn("d2", _distance()).select(*RUN, *X, "d2"), F.col("d2"))
+        old.append(params)
+        params = materialize(_estimates(_moments(kept, RUN)), "mcd")
+    for table in old:
+        discard(table)
+    best = F.row_number().over(W.partitionBy(*GROUP).orderBy("logdet", "start"))  # a row a start
+    return params.withColumn("place", best).where("place = 1").drop("place", "start", "logdet")
 
 
 def judge(df: DataFrame, id_col: str = "doc_id", limit: float = LIMIT, steps: int = STEPS, **columns: str) -> DataFrame:
