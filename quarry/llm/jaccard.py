@@ -4,7 +4,9 @@
    (count class, hash), rare shingles first. Any fixed order is right; this one keeps common passages out of prefixes.
 2. Two sets of similarity t share a shingle among their first n - ceil(t n) + 1. Documents of identical prefix and
    size form a group, which sends its prefix once; documents with equal sets are one class and compared once.
-3. In a posting list, groups pair only with groups of fitting size. Group pairs are expanded to pairs of classes.
+3. In a posting list, groups pair only with groups of fitting size, and where what follows the shingle in both sets is
+   enough for the similarity; a long list is cut into blocks, and each two blocks meet in a task of their own. Group
+   pairs are expanded to pairs of classes.
    Each set has a parity bitmap of about as many bits as members; the bits in which two bitmaps differ are at most
    the members in which the sets differ, so pairs with too many are dropped without error. The others are verified on
    the whole sets, in tasks of bounded pairs that receive each set once.
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import discard, exchange_partitions, materialize, release_shuffles, trimmed
+from .common import discard, exchange_partitions, materialize, trimmed
 from .components import components
 from .members import perhaps
 from .packed import SCHEMA, dump, exchange, load, receive, send
@@ -38,6 +40,8 @@ SLOT_BITS = 22
 PAIRS_A_TASK = 100_000
 #: Pairs that a task makes out of posting lists at once.
 PAIRS_AT_ONCE = 250_000
+#: Pairs beyond which a posting list is cut into blocks, and entries of a block; blocks are paired in tasks of their own.
+PAIRS_A_LIST, LIST_BLOCK = 2_000_000, 4096
 #: Prefix entries that a map task holds before it sends them.
 HELD = 500_000
 
@@ -117,7 +121,6 @@ def shingle_classes(docs: DataFrame, width: int, buckets: int) -> np.ndarray:
     for row in exchange(known.mapInArrow(trimmed(table), SCHEMA), parts).mapInArrow(trimmed(most), SCHEMA).collect():  # 4 MB at any size
         full[row.bucket * each : (row.bucket + 1) * each] = np.frombuffer(row.blob, np.uint8)
     discard(known)
-    release_shuffles(docs.sparkSession)
     return full
 
 
@@ -174,14 +177,14 @@ def _sets(docs: DataFrame, shared, percent: int, width: int, buckets: int, prefi
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: set[int] = set()
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
         count = 0
         names = ["id", "n", "f1", "f2", "g", "sig"]
 
         def flush() -> Iterator[pa.RecordBatch]:
             if held:
-                h, g, n = (np.concatenate(x) for x in zip(*held))
-                yield from send(h, [g, n], buckets)
+                h, *others = (np.concatenate(x) for x in zip(*held))
+                yield from send(h, others, buckets)
 
         for block in text_blocks(batches):
             rows = np.zeros((len(block.ids), 4), np.int64)
@@ -199,7 +202,7 @@ def _sets(docs: DataFrame, shared, percent: int, width: int, buckets: int, prefi
                     rows[i] = [n, f1.view(np.int64), f2.view(np.int64), g.view(np.int64)[0]]
                 elif int(g[0]) not in known:
                     known.add(int(g[0]))
-                    held.append((prefix, np.broadcast_to(g, len(prefix)), np.full(len(prefix), n, np.int32)))
+                    held.append((prefix, np.broadcast_to(g, len(prefix)), np.full(len(prefix), n, np.int32), np.arange(len(prefix), dtype=np.uint32)))
                     count += len(prefix)
                     if count > HELD:
                         yield from flush()
@@ -213,26 +216,54 @@ def _sets(docs: DataFrame, shared, percent: int, width: int, buckets: int, prefi
     return docs.mapInArrow(trimmed(run), SCHEMA if prefixes else f"id {kind}, n bigint, f1 bigint, f2 bigint, g bigint, sig binary")
 
 
-def _group_pairs(sent: DataFrame, percent: int, buckets: int) -> DataFrame:
-    """(g1, g2): pairs of different groups that share a prefix shingle and fit in size."""
+def _met(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> np.ndarray:
+    """Distinct pairs of groups that fit, of entries (group, size, place in the prefix) of one list, side by side.
+
+    If the shingle is the first that two sets share, no more than what follows it can be shared; a pair for which that
+    is too little is found in another list or is none.
+    """
+    (ga, na, pa_), (gb, nb, pb) = left, right
+    least = percent * (na + nb)
+    fits = ((100 + percent) * (na - pa_) >= least) & ((100 + percent) * (nb - pb) >= least)
+    x, y = ga[fits].view(np.int64), gb[fits].view(np.int64)
+    return np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
+
+
+def _reach(n: np.ndarray, p: np.ndarray, percent: int) -> np.ndarray:
+    """The largest size that an entry can pair with, itself the smaller; less than its own if with none."""
+    return np.minimum(100 * n // percent, (100 + percent) * (n - p) // percent - n)
+
+
+def _listed(sent: DataFrame, percent: int, buckets: int) -> DataFrame:
+    """(g1, g2, job): pairs of groups that share a prefix shingle and fit, or a job: two blocks of a long list to pair."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = receive(batches)
         if not got:
             return
-        h, g, n = got
+        h, g, n, p = got
         order = np.lexsort((g, n, h))
-        h, g, n = h[order], g[order], n[order].astype(np.int64)
+        h, g, n, p = h[order], g[order], n[order].astype(np.int64), p[order].astype(np.int64)
         new = np.ones(len(h), bool)
         new[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1]) | (n[1:] != n[:-1])
-        h, g, n = h[new], g[new], n[new]
-        # a list's entries ascend in size: those that entry i can pair with end where sizes exceed n / t
+        h, g, n, p = h[new], g[new], n[new], p[new]
+        # a list's entries ascend in size: those that entry i can pair with, as the smaller, end where sizes are too large
         edges = np.flatnonzero(np.r_[True, h[1:] != h[:-1], True])
         list_of = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
-        stop = edges[list_of + 1]
-        span = int(n.max()) * 100 // percent + 2 if len(n) else 2
-        stop = np.minimum(stop, np.searchsorted(list_of * span + n, list_of * span + np.minimum(100 * n // percent, span - 1), side="right"))
-        many = stop - np.arange(len(h)) - 1
+        span = int(n.max()) + 2
+        top = np.clip(_reach(n, p, percent), 0, span - 1)
+        stop = np.minimum(edges[list_of + 1], np.searchsorted(list_of * span + n, list_of * span + top, side="right"))
+        many = np.maximum(stop - np.arange(len(h)) - 1, 0)
+        for k in np.flatnonzero(np.add.reduceat(many, edges[:-1]) > PAIRS_A_LIST).tolist():
+            own = np.arange(edges[k], edges[k + 1])
+            live, last = own[many[own] > 0], int(stop[own].max())
+            many[own] = 0
+            for i in range(0, len(live), LIST_BLOCK):
+                some = live[i : i + LIST_BLOCK]
+                for j in range(int(some[0]) + 1, min(last, int(stop[some].max())), LIST_BLOCK):
+                    other = np.arange(j, min(j + LIST_BLOCK, last))
+                    blob = dump([x[at] for at in (some, other) for x in (g, n, p, np.arange(len(h)))])
+                    yield pa.record_batch([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([blob], pa.binary())], ["g1", "g2", "job"])
         live = np.flatnonzero(many > 0)
         at = 0
         while at < len(live):
@@ -241,12 +272,34 @@ def _group_pairs(sent: DataFrame, percent: int, buckets: int) -> DataFrame:
             some = live[at : at + take]
             left = np.repeat(some, many[some])
             right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(many[some]) - many[some], many[some])
-            a, b = g[left].view(np.int64), g[right].view(np.int64)
-            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-            yield pa.record_batch([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["g1", "g2"])
+            pairs = _met([x[left] for x in (g, n, p)], [x[right] for x in (g, n, p)], percent)
+            yield pa.record_batch([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy()), pa.nulls(len(pairs), pa.binary())], ["g1", "g2", "job"])
             at += take
 
-    return exchange(sent, buckets).mapInArrow(trimmed(run), "g1 bigint, g2 bigint").distinct()
+    return exchange(sent, buckets).mapInArrow(trimmed(run), "g1 bigint, g2 bigint, job binary")
+
+
+def _group_pairs(sent: DataFrame, percent: int, buckets: int) -> DataFrame:
+    """(g1, g2): pairs of different groups that share a prefix shingle and fit in size and place. Long lists are many tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for blob in batch.column(0).to_pylist():
+                g, n, p, i, gr, nr, pr, ir = load(blob)
+                each = max(1, PAIRS_AT_ONCE // len(gr))
+                for a in range(0, len(g), each):
+                    s = slice(a, a + each)
+                    x, y = np.nonzero((ir[None] > i[s, None]) & (nr[None] <= _reach(n[s], p[s], percent)[:, None]))
+                    pairs = _met([c[s][x] for c in (g, n, p)], [c[y] for c in (gr, nr, pr)], percent)
+                    if len(pairs):
+                        yield pa.record_batch([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["g1", "g2"])
+
+    listed = materialize(_listed(sent, percent, buckets), "lists")
+    jobs = listed.where("job is not null").select("job").repartition(exchange_partitions(sent.sparkSession, 4))
+    pairs = listed.where("job is null").select("g1", "g2").union(jobs.mapInArrow(trimmed(run), "g1 bigint, g2 bigint"))
+    pairs = materialize(pairs.distinct(), "grouppairs")
+    discard(listed)
+    return pairs
 
 
 def _candidate_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -317,7 +370,7 @@ def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent:
     # a class: documents of equal sets, named by the least id
     classes = filled.groupBy("f1", "f2").agg(F.countDistinct("id").alias("members"), F.min("id").alias("c"), F.min("n").alias("n"), F.min("g").alias("g"), F.first("sig").alias("sig"))
     classes = materialize(classes, "classes")
-    pairs = materialize(_group_pairs(_sets(docs, shared, percent, width, buckets, True), percent, buckets), "grouppairs")
+    pairs = _group_pairs(_sets(docs, shared, percent, width, buckets, True), percent, buckets)
     left = classes.select(F.col("c").alias("c1"), F.col("g").alias("g1"))
     right = classes.select(F.col("c").alias("c2"), F.col("g").alias("g2"))
     across = pairs.join(left, "g1").join(right, "g2").select(F.least("c1", "c2").alias("c1"), F.greatest("c1", "c2").alias("c2"))
@@ -328,7 +381,8 @@ def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent:
     wanted = materialize(expanded.select(F.col("c1").alias("c")).union(expanded.select(F.col("c2").alias("c"))).distinct(), "wanted")
     sets = materialize(_candidate_sets(docs, wanted, width), "candidates")
     links = materialize(_verified(expanded, sets, percent), "links")
-    discard(sets)
+    for table in (sets, wanted, expanded, pairs):
+        discard(table)
     of = components(links.select(F.col("c1").alias("a"), F.col("c2").alias("b")))
     members = classes.select("c", "members")
     both = links.select("c1", "c2").union(links.select(F.col("c2").alias("c1"), F.col("c1").alias("c2")))

@@ -56,6 +56,30 @@ def test_chains_and_hot_groups(spark):
     assert found(jaccard.link(spark.createDataFrame(rows, "doc_id bigint, text string"))) == plain(rows)
 
 
+def test_long_lists_in_blocks(spark, monkeypatch):
+    import random
+
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(150):  # many sizes, all with shingles in common
+        words = base[: rng.randint(30, 60)]
+        words[rng.randrange(len(words))] = f"u{i}"
+        rows.append((i, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    monkeypatch.setattr(jaccard, "PAIRS_A_LIST", 20)
+    monkeypatch.setattr(jaccard, "LIST_BLOCK", 16)
+    for percent in (70, 50):
+        assert found(jaccard.link(df, percent=percent)) == plain(rows, percent)
+
+
+def test_repeated_ids_with_other_texts(spark):
+    rows = [(1, "a b c d e f g"), (1, "h i j k l m n"), (2, "a b c d e f g"), (3, "h i j k l m n"), (4, "o p q r")]
+    got = sorted((r.doc_id, r.n_shingles, r.n_similar, r.component_id) for r in jaccard.link(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    # each row links as its text does; rows of one id are one document of a text's copies
+    assert got == [(1, 5, 1, 1), (1, 5, 1, 1), (2, 5, 1, 1), (3, 5, 1, 1), (4, 2, 0, 4)]
+
+
 def test_null_ids_do_not_break(docs, odd):
     rows = jaccard.link(docs).collect()
     assert len(rows) == len(odd)
