@@ -7,7 +7,7 @@ key while their prefix sum stays within it; the row that crosses the border is t
 Prefix sums never put a source into one task: keys are cut into bins of equal probability, sizes are summed by bin
 (pre-aggregated), the border bin of each source is found from these sums, and only border bins are sorted.
 
-Defined results: null text has size 0 and is taken 0 times; a null source is a source of its own, last; weights
+Defined results: null text has size 0 and is taken 0 times; a null id draws by size; a null source is a source of its own, last; weights
 that are null, not positive or not finite count as 1; sources without words have target 0; ties of the key are
 ordered by id, then size; equal rows are interchangeable; an empty table gives no rows.
 """
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 #: Bins of the keys of a source.
 BINS = 1 << 14
@@ -49,9 +49,7 @@ def targets(sizes: DataFrame, cap: int = MOST_EPOCHS) -> DataFrame:
     })
     # the first source that needs no cap, and with it all after it
     free = F.max(F.when(F.col("level") <= F.col("ratio"), F.lit(1)).otherwise(0)).over(by_ratio.rowsBetween(W.unboundedPreceding, 0))
-    level = F.min(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(every.partitionBy(F.lit(1)))
     marked = steps.withColumns({"free": free, "least": F.first(F.when(F.col("level") <= F.col("ratio"), F.col("level")), ignorenulls=True).over(by_ratio.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))})
-    del level
     return marked.select("source", "source_size", F.when(F.col("free") == 1, F.col("least") * F.col("weight")).otherwise(F.col("most").cast("double")).alias("target"))
 
 
@@ -61,7 +59,9 @@ def mix(rows: DataFrame, seed: str = "mix", bins: int = BINS, cap: int = MOST_EP
     A row is used epochs + chosen times; taken is its size times that.
     """
     weight = F.when((F.col("weight") > 0) & (F.col("weight") < float("inf")), F.col("weight").cast("double")).otherwise(1.0)
-    energy = -F.log(uniform(F.col("id"), seed)) / weight
+    # rows without an id have keys by size, so that they aren't all one key
+    key = F.coalesce(F.col("id").cast("string"), F.concat(F.lit("size "), "size"))
+    energy = -F.log(uniform(key, seed)) / weight
     # a monotone map of the key to [0, 1) under which keys of weight 1 are uniform
     place = F.least(F.floor((1 - F.exp(-F.col("energy"))) * bins), F.lit(bins - 1)).cast("int")
     keyed = rows.select("id", "source", "size", energy.alias("energy")).withColumn("bin", place)
@@ -70,7 +70,6 @@ def mix(rows: DataFrame, seed: str = "mix", bins: int = BINS, cap: int = MOST_EP
     plan = targets(by_bin.groupBy("source").agg(F.sum("bin_size").alias("source_size")), cap)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     plan = materialize(plan.withColumn("epochs", epochs).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")), "plan")
-    same = lambda a, b: a["source"].eqNullSafe(b["source"])
     # bins are at most BINS a source: a window over them is bounded
     sums = F.sum("bin_size").over(W.partitionBy("source").orderBy("bin"))
     bins_of = by_bin.withColumn("upto", sums)
@@ -80,7 +79,10 @@ def mix(rows: DataFrame, seed: str = "mix", bins: int = BINS, cap: int = MOST_EP
     border = bins_of.withColumn("start", F.col("upto") - F.col("bin_size")).where((F.col("upto") > F.col("rest")) & (F.col("start") <= F.col("rest")))
     border = border.groupBy("source").agg(F.min(F.struct("bin", "start")).alias("b"))
     plan = plan.join(border.select(F.col("source").alias("b_source"), "b"), plan["source"].eqNullSafe(F.col("b_source")), "left")
+    old = [by_bin, p]
     plan = materialize(plan.select("source", "source_size", "target", "epochs", "rest", F.col("b.bin").alias("border"), F.col("b.start").alias("start")), "borders")
+    for table in old:
+        discard(table)
     q = plan.withColumnRenamed("source", "p_source")
     # one row a source: broadcast by Spark itself if it is small, else a join that adaptive execution splits
     joined = keyed.join(q, keyed["source"].eqNullSafe(q["p_source"])).drop("p_source")
@@ -92,5 +94,4 @@ def mix(rows: DataFrame, seed: str = "mix", bins: int = BINS, cap: int = MOST_EP
     inside = inside.withColumn("chosen", near & (F.col("rest") > 0)).drop("end")
     both = plain.unionByName(inside)
     times = F.col("epochs") + F.when(F.col("chosen") & (F.col("epochs") < cap), 1).otherwise(0)
-    del same
     return both.select("id", "size", "source", "source_size", "target", "epochs", "chosen", times.alias("times"), (F.col("size") * times).alias("taken"))
