@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import byte_bpe, jaccard, mixing, pii, quality, queries
-from quarry.llm.common import documents, materialize
+from quarry.llm.common import discard, documents, materialize
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -64,7 +64,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each one's result written and read again."""
-    docs = documents(spark, sf_dir)
+    docs, before = documents(spark, sf_dir), None
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if before is not None:
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)

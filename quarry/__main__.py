@@ -46,18 +46,15 @@ def _chat(given) -> None:
 
 
 def _benchmark(given) -> None:
-    """Ranking metrics of the questions in a file of question and relevant_docs (chunk ids)."""
-    from pyspark.sql import functions as F
-
-    from quarry.operators import metrics
-    from quarry.plans import rag
+    """Ranking, answers and latency of the questions in a file of question, answer and relevant_docs (chunk ids)."""
+    from quarry.plans import benchmark, rag
     from quarry.sources import records
 
     qa = _qa(given.index)
-    items = records.read(qa.spark, given.path, records.EVALUATION).select(F.xxhash64("question").alias("qid"), "question", "relevant_docs")
-    hits = rag.dense_hits(qa.chunks, items.select("qid", "question"), max(given.k), qa.settings)
-    relevant = items.select("qid", F.explode("relevant_docs").alias("id"))
-    for row in metrics.retrieval(items, hits.select("qid", "rank", "id"), relevant, given.k).orderBy("k").collect():
+    qa.settings.k = max(given.k)
+    items = records.read(qa.spark, given.path, records.EVALUATION)
+    found = benchmark.run(items, lambda q: rag.basic(qa.chunks, q, qa.settings, citations=False), given.k, given.timed, given.out)
+    for row in found.collect():
         print(json.dumps(row.asDict()))
 
 
@@ -78,6 +75,8 @@ def main(args: list[str] | None = None) -> None:
     bench = add("benchmark", _benchmark)
     bench.add_argument("path")
     bench.add_argument("--index", required=True)
+    bench.add_argument("--timed", type=int, default=0)
+    bench.add_argument("--out")
     bench.add_argument("-k", type=int, nargs="+", default=[1, 3, 5, 10])
     given = parser.parse_args(args)
     given.run(given)

@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter
 from collections.abc import Sequence
+from itertools import accumulate, chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quarry.functions.text import blank_set, clean, sentences, strip
+from quarry.functions.text import clean, sentences, strip
 
 SIZE, OVERLAP, LEAST = 512, 64, 20
+#: White space as the JVM's patterns know it.
+_blanks = re.compile(r"[ \t\n\x0b\f\r]+")
 SEPARATORS = ("\n\n", "\n", ". ", " ", "")
 
 
@@ -108,50 +115,59 @@ def by_sentence(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 # ---------------------------------------------------------------- semantic chunks
 
 
-def sentence_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, idx, sentence)."""
-    return df.select(id_col, F.posexplode(sentences(F.col(text_col))).alias("idx", "sentence"))
-
-
-def sentence_similarity(rows: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(id, idx, sim): cosine of each sentence but the first with the one before it.
+def similarities(parts: Sequence[str]) -> list[float]:
+    """Cosine of each sentence but the first with the one before it.
 
     A sentence's vector has ln((n + 1) / (df + 1)) + 1 for each word in it; n and df are of the text's own sentences.
     """
-    words = rows.select(id_col, "idx", F.explode(blank_set(F.col("sentence"))).alias("word"))
-    counts = rows.groupBy(id_col).agg(F.count(F.lit(1)).alias("n"))
-    idf = words.groupBy(id_col, "word").agg(F.count(F.lit(1)).alias("df")).join(counts, id_col)
-    idf = idf.select(id_col, "word", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
-    weighed = words.join(idf, [id_col, "word"])
-    # each word meets the same word one sentence earlier
-    earlier = F.lag("idx").over(W.partitionBy(id_col, "word").orderBy("idx"))
-    shared = F.when(earlier == F.col("idx") - 1, F.col("idf") * F.col("idf")).otherwise(0.0)
-    sums = weighed.withColumn("shared", shared).groupBy(id_col, "idx").agg(F.sum("shared").alias("shared"), F.sqrt(F.sum(F.col("idf") * F.col("idf"))).alias("norm"))
-    every = rows.select(id_col, "idx").join(sums, [id_col, "idx"], "left").withColumn("norm", F.when(F.col("norm") > 0, F.col("norm")).otherwise(1.0))
-    before = F.lag("norm").over(W.partitionBy(id_col).orderBy("idx"))
-    return every.withColumn("sim", F.coalesce("shared", F.lit(0.0)) / (F.col("norm") * before)).where("idx > 0").select(id_col, "idx", "sim")
-
-
-def breakpoints(similarity: DataFrame, id_col: str = "doc_id", percentile: float | None = 90, threshold: float = 0.5) -> DataFrame:
-    """(id, idx): sentences that start a new group; below the text's own percentile of similarity, or a threshold."""
-    if percentile is None:
-        return similarity.where(F.col("sim") < threshold).select(id_col, "idx")
-    limit = similarity.groupBy(id_col).agg(F.percentile("sim", 1 - percentile / 100).alias("limit"))
-    return similarity.join(limit, id_col).where(F.col("sim") < F.col("limit") - 1e-12).select(id_col, "idx")
-
-
-def grouped(rows: DataFrame, starts: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(id, grp, text): sentences joined between the starts of groups."""
-    marked = rows.join(starts.withColumn("new", F.lit(1)), [id_col, "idx"], "left")
-    marked = marked.withColumn("grp", F.sum(F.coalesce("new", F.lit(0))).over(W.partitionBy(id_col).orderBy("idx")).cast("int"))
-    found = marked.groupBy(id_col, "grp").agg(F.sort_array(F.collect_list(F.struct("idx", "sentence"))).alias("_s"))
-    return found.select(id_col, "grp", F.array_join(F.transform("_s", lambda s: s["sentence"]), " ").alias("text"))
+    words = [{w for w in _blanks.split(p.lower()) if w} for p in parts]
+    often = Counter(chain.from_iterable(words))
+    square = {w: (math.log((len(parts) + 1) / (k + 1)) + 1) ** 2 for w, k in often.items()}
+    norms = [math.sqrt(sum(square[w] for w in s)) or 1.0 for s in words]
+    return [sum(square[w] for w in a & b) / (m * n) for a, b, m, n in zip(words, words[1:], norms, norms[1:])]
+
+
+def group_numbers(sims: Sequence[float], percentile: float | None = 90, threshold: float = 0.5) -> list[int]:
+    """The group of each sentence: a new one starts below the text's own percentile of similarity, or a threshold."""
+    if not sims:
+        return [0]
+    limit = threshold if percentile is None else float(np.percentile(sims, 100 - percentile)) - 1e-12
+    return [0, *accumulate(int(s < limit) for s in sims)]
+
+
+def _with_sentences(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return df.select(id_col, sentences(F.col(text_col)).alias("_s"))
+
+
+def sentence_similarity(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, idx, sim) of texts, see similarities. Each text is one row throughout: nothing travels."""
+
+    def run(parts: pa.Array) -> pa.Array:
+        return pa.array([similarities(p) if p else [] for p in parts.to_pylist()], pa.list_(pa.float64()))
+
+    run.__annotations__ = {"parts": pa.Array, "return": pa.Array}
+    sims = F.arrow_udf(run, "array<double>")("_s")
+    return _with_sentences(df, id_col, text_col).select(id_col, F.posexplode(sims).alias("idx", "sim")).select(id_col, (F.col("idx") + 1).alias("idx"), "sim")
+
+
+def semantic_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percentile: float | None = 90, threshold: float = 0.5) -> DataFrame:
+    """(id, groups): an array of the texts between drops of similarity."""
+
+    def run(parts: pa.Array) -> pa.Array:
+        out = []
+        for p in parts.to_pylist():
+            groups: dict[int, list[str]] = {}
+            for s, g in zip(p or [], group_numbers(similarities(p), percentile, threshold) if p else []):
+                groups.setdefault(g, []).append(s)
+            out.append([" ".join(g) for g in groups.values()])
+        return pa.array(out, pa.list_(pa.string()))
+
+    run.__annotations__ = {"parts": pa.Array, "return": pa.Array}
+    return _with_sentences(df, id_col, text_col).select(id_col, F.arrow_udf(run, "array<string>")("_s").alias("groups"))
 
 
 def settle_sizes(groups: Sequence[str], least: int, most: int) -> list[str]:
     """Short groups join their neighbours, long ones are split between sentences."""
-    import re
-
     merged: list[str] = []
     for g in groups:
         if merged and len(merged[-1]) < least:
@@ -180,15 +196,13 @@ def settle_sizes(groups: Sequence[str], least: int, most: int) -> list[str]:
 
 def semantic(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percentile: float | None = 90, threshold: float = 0.5, least: int = 100, most: int = 1000) -> DataFrame:
     """Groups of sentences between drops of similarity, of settled sizes."""
-    rows = sentence_rows(df, id_col, text_col)
-    groups = grouped(rows, breakpoints(sentence_similarity(rows, id_col), id_col, percentile, threshold), id_col)
-    folded = groups.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("grp", "text"))).alias("_g"))
+    folded = semantic_groups(df, id_col, text_col, percentile, threshold)
 
     def settle(parts: pa.Array) -> pa.Array:
         return pa.array([settle_sizes(p or [], least, most) for p in parts.to_pylist()], pa.list_(pa.string()))
 
     settle.__annotations__ = {"parts": pa.Array, "return": pa.Array}
-    settled = F.arrow_udf(settle, "array<string>")(F.transform("_g", lambda g: g["text"]))
+    settled = F.arrow_udf(settle, "array<string>")("groups")
     return _exploded(folded, settled, id_col).where(strip(F.col("text")) != "")
 
 

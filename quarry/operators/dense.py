@@ -1,15 +1,15 @@
 """Exact nearest vectors of a set of queries, in blocks.
 
-The queries are a stated set: a block of at most QUERY_BYTES of them travels to the executors, and every batch of rows
-meets the block in one matrix product, of which the batch's k best of each query stay. A larger set takes as many
-blocks as it needs. Nothing is paired by a cross join.
+A stated set of at most QUERY_BYTES of queries travels to the executors, and every batch of rows meets it there. A larger
+set meets the rows on a grid: rows are split into parts of some ROW_BYTES, each of which one task holds while all queries
+pass by as a stream. Either way the rows are scanned once, a block of queries meets a block of rows in one matrix
+product, and of that each query's k best stay. Nothing is paired by a cross join.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-from functools import reduce
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +19,12 @@ from pyspark.sql import functions as F
 from quarry.functions.vectors import unit
 from quarry.operators.sparse import best
 
-#: Bytes of query vectors in a block.
+#: Bytes of query vectors that are broadcast, at most.
 QUERY_BYTES = 32 << 20
+#: Bytes of vectors in a part of the grid.
+ROW_BYTES = 64 << 20
+#: Products that are held at once.
+CELLS = 4 << 20
 METRICS = ("cosine", "l2", "chunk_cosine")
 
 
@@ -29,8 +33,8 @@ def _check(metric: str) -> None:
         raise ValueError(f"unknown metric {metric!r}; one of {METRICS}")
 
 
-def search(rows: DataFrame, queries: DataFrame, k: int = 5, metric: str = "cosine", id_col: str = "vec_id", vector_col: str = "embedding", qid_col: str = "qid", query_col: str = "embedding", digits: int = 6) -> DataFrame:
-    """(qid, rank, id, score): cosine descending, or squared distance ascending; ties to the smaller id.
+def search(rows: DataFrame, queries: DataFrame, k: int | None = 5, metric: str = "cosine", id_col: str = "vec_id", vector_col: str = "embedding", qid_col: str = "qid", query_col: str = "embedding", digits: int = 6) -> DataFrame:
+    """(qid, rank, id, score): cosine descending, or squared distance ascending; ties to the smaller id. Without k all pairs, unranked.
 
     Null vectors have no result; another length than the queries' raises. A zero vector has cosine 0 with all.
     """
@@ -40,55 +44,86 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 5, metric: str = "cosin
     if shape["n"] and shape["d"] != shape["e"]:
         raise ValueError("query vectors differ in length")
     size = shape["d"] or 1
-    blocks = max(1, math.ceil(shape["n"] * size * 8 / QUERY_BYTES))
+    if metric == "chunk_cosine":
+        asked = asked.where(F.exists("v", lambda x: x != 0))
     stored = rows.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("v is not null")
     stored = stored.withColumn("v", F.when(F.size("v") == size, F.col("v")).otherwise(F.raise_error(F.lit(f"vectors must have {size} components")).cast("array<double>")))
-    found = []
-    for block in range(blocks):
-        some = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == block)
-        found.append(_block(stored, some, k, metric, size, digits))
-    return best(reduce(DataFrame.unionByName, found), k, None, descending=metric != "l2")
-
-
-def _block(stored: DataFrame, asked: DataFrame, k: int, metric: str, size: int, digits: int) -> DataFrame:
-    held = asked.toArrow()  # QUERY_BYTES on average
-    matrix = np.array(held["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False)).reshape(-1, size)
-    if metric == "chunk_cosine":
-        matrix = matrix[(np.square(matrix).sum(1) > 0)]
-        held = held.filter(pa.array([any(v) for v in held["v"].to_pylist()], pa.bool_())) if held.num_rows else held
-    shared = stored.sparkSession.sparkContext.broadcast((held["qid"].to_pylist(), matrix))
-    qtype = held.schema.field("qid").type
 
-    def lengths(m: np.ndarray) -> np.ndarray:
-        n = np.sqrt(np.square(m).sum(1))
-        return n + 1e-10 if metric == "chunk_cosine" else np.maximum(n, 1e-12)
+    def meet(given: pa.RecordBatch, held: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        asked_for, v = matrix(given.column("v")), matrix(held.column("v"))
+        ids, names = held.column("id"), given.column("qid")
+        order = np.argsort(np.argsort(np.array(ids.to_pylist(), object), kind="stable"), kind="stable") if k is not None else None
+        each = max(1, CELLS // len(v))
+        for a in range(0, len(asked_for), each):
+            value = _values(asked_for[a : a + each], v, metric, digits)
+            picked = [_best(row, order, k) for row in value]
+            q = np.repeat(np.arange(a, a + len(picked)), [len(p) for p in picked])
+            n = np.concatenate(picked) if picked else np.zeros(0, np.int64)
+            score = value[q - a, n] * (-1.0 if metric == "l2" else 1.0) + 0.0
+            yield pa.record_batch([names.take(pa.array(q)), ids.take(pa.array(n)), pa.array(score)], ["qid", "id", "score"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, asked_for = shared.value
+    kinds = (asked.schema["qid"].dataType.simpleString(), stored.schema["id"].dataType.simpleString())
+    found = in_blocks(stored, asked, shape["n"] * size * 8, f"qid {kinds[0]}, id {kinds[1]}, score double", meet)
+    return found if k is None else best(found, k, None, descending=metric != "l2")
+
+
+def matrix(vectors: pa.Array) -> np.ndarray:
+    return vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1)
+
+
+def _values(asked_for: np.ndarray, v: np.ndarray, metric: str, digits: int) -> np.ndarray:
+    """Scores of all pairs, the larger the nearer."""
+    lengths = lambda m: np.sqrt(np.square(m).sum(1))
+    if metric == "l2":
+        value = -np.maximum(np.square(asked_for).sum(1)[:, None] + np.square(v).sum(1)[None] - 2 * asked_for @ v.T, 0)
+    elif metric == "cosine":
+        value = (asked_for / np.maximum(lengths(asked_for), 1e-12)[:, None]) @ (v / np.maximum(lengths(v), 1e-12)[:, None]).T
+    else:
+        value = (asked_for @ v.T) / (lengths(asked_for)[:, None] * lengths(v)[None] + 1e-10)
+    return np.round(value, digits)
+
+
+def _best(value: np.ndarray, order: np.ndarray | None, k: int | None) -> np.ndarray:
+    """The k rows of largest value, ties by order; all without k."""
+    near = np.arange(len(value))
+    if k is None:
+        return near
+    if len(near) > k:
+        near = np.flatnonzero(value >= np.partition(value, len(near) - k)[len(near) - k])
+    return near[np.lexsort((order[near], -value[near]))[:k]]
+
+
+def in_blocks(stored: DataFrame, asked: DataFrame, size: int, fields: str, meet: Callable[[pa.RecordBatch, pa.RecordBatch], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """What meet gives for all blocks of asked and of stored (id, v), each pair of rows being in one. size: bytes of asked."""
+    spark, names = stored.sparkSession, asked.columns
+    if size <= QUERY_BYTES:
+        table = asked.toArrow().combine_chunks()
+        given = table.to_batches()[0] if table.num_rows else None
+        shared = spark.sparkContext.broadcast(given)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows and shared.value is not None:
+                    yield from meet(shared.value, batch)
+
+        return stored.mapInArrow(run, fields)
+    total = stored.agg(F.coalesce(F.sum(F.size("v").cast("long") * 8), F.lit(0))).first()[0]
+    parts = max(1, math.ceil(total / ROW_BYTES))
+    left = stored.select(F.pmod(F.xxhash64("id", "v"), F.lit(parts)).cast("int").alias("part"), F.lit(0).alias("side"), F.struct("id", "v").alias("held"))
+    right = asked.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(1).alias("side"), F.struct(*names).alias("given"))
+    both = left.unionByName(right, allowMissingColumns=True).repartitionById(parts, F.col("part")).sortWithinPartitions("side")
+
+    def pass_by(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held = [], None
         for batch in batches:
-            if not batch.num_rows or not names:
-                continue
-            v = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
-            if metric == "l2":
-                value = -np.maximum(np.square(asked_for).sum(1)[:, None] + np.square(v).sum(1)[None] - 2 * asked_for @ v.T, 0)
-            elif metric == "cosine":
-                value = (asked_for / lengths(asked_for)[:, None]) @ (v / lengths(v)[:, None]).T
-            else:
-                value = (asked_for @ v.T) / (np.sqrt(np.square(asked_for).sum(1))[:, None] * np.sqrt(np.square(v).sum(1))[None] + 1e-10)
-            value = np.round(value, digits)
-            ids, out = batch.column(0), []
-            order = np.argsort(np.argsort(np.array(ids.to_pylist(), object), kind="stable"), kind="stable")
-            for q in range(len(names)):
-                near = np.arange(len(order))
-                if len(near) > k:
-                    near = np.flatnonzero(value[q] >= np.partition(value[q], len(near) - k)[len(near) - k])
-                near = near[np.lexsort((order[near], -value[q][near]))[:k]]
-                out += [(names[q], n, s) for n, s in zip(near.tolist(), value[q][near].tolist())]
-            sign = -1.0 if metric == "l2" else 1.0
-            yield pa.record_batch([pa.array([o[0] for o in out], qtype), ids.take(pa.array([o[1] for o in out])), pa.array([sign * o[2] + 0.0 for o in out])], ["qid", "id", "score"])
+            cut = int((batch.column(1).to_numpy() == 0).sum())
+            if cut:
+                rows.append(pa.RecordBatch.from_struct_array(batch.column(2).slice(0, cut)))
+            if cut < batch.num_rows and rows:
+                held = held or pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
+                yield from meet(pa.RecordBatch.from_struct_array(batch.column(3).slice(cut)), held)
 
-    kinds = (asked.schema["qid"].dataType.simpleString(), stored.schema["id"].dataType.simpleString())
-    return stored.mapInArrow(run, f"qid {kinds[0]}, id {kinds[1]}, score double")
+    return both.mapInArrow(pass_by, fields)
 
 
 def add(rows: DataFrame, more: DataFrame, metric: str = "cosine", vector_col: str = "embedding") -> DataFrame:
@@ -108,6 +143,6 @@ def size(rows: DataFrame) -> DataFrame:
 
 
 def pair_similarity(rows: DataFrame, others: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", digits: int = 6) -> DataFrame:
-    """(a, b, sim): cosine of every row with each of a stated set of others."""
-    count = others.count()
-    return search(rows, others, k=max(rows.count(), 1), metric="cosine", id_col=id_col, vector_col=vector_col, qid_col=id_col, query_col=vector_col, digits=digits).select(F.col("id").alias("a"), F.col("qid").alias("b"), F.col("score").alias("sim")) if count else rows.select(F.col(id_col).alias("a"), F.col(id_col).alias("b"), F.lit(0.0).alias("sim")).limit(0)
+    """(a, b, sim): cosine of every row with each of a stated set of others, as they come: nothing is ranked."""
+    found = search(rows, others, None, "cosine", id_col, vector_col, id_col, vector_col, digits)
+    return found.select(F.col("id").alias("a"), F.col("qid").alias("b"), F.col("score").alias("sim"))

@@ -73,6 +73,98 @@ class ModelEncoder:
         return F.arrow_udf(run, "array<double>")(text)
 
 
+def _library(name: str, use: str):
+    from importlib import import_module
+
+    try:
+        return import_module(name)
+    except ImportError as missing:
+        raise ImportError(f"{use} needs the package {name}: install it on every executor") from missing
+
+
+def sentence_model(name: str, dimension: int, device: str = "cpu") -> ModelEncoder:
+    """Vectors of a sentence-transformers model."""
+
+    def load() -> Callable[[list[str]], np.ndarray]:
+        model = _library("sentence_transformers", "sentence_model").SentenceTransformer(name, device=device)
+        return lambda texts: model.encode(texts, show_progress_bar=False)
+
+    return ModelEncoder(load, dimension)
+
+
+#: Components of the hosted models' vectors.
+HOSTED = {"text-embedding-3-small": 1536, "text-embedding-3-large": 3072, "text-embedding-ada-002": 1536}
+
+
+def hosted(name: str = "text-embedding-3-small", batch: int = 100, dimension: int | None = None, connect: Callable[[], object] | None = None) -> ModelEncoder:
+    """Vectors of a hosted model, with a key from the executors' environment. connect: another client of the same form."""
+
+    def load() -> Callable[[list[str]], np.ndarray]:
+        client = connect() if connect else _library("openai", "hosted").OpenAI()
+
+        def encode(texts: list[str]) -> np.ndarray:
+            plain = [t.replace("\n", " ") or " " for t in texts]
+            parts = [client.embeddings.create(input=plain[i : i + batch], model=name).data for i in range(0, len(plain), batch)]
+            return np.array([d.embedding for part in parts for d in part])
+
+        return encode
+
+    return ModelEncoder(load, dimension or HOSTED[name])
+
+
+def clip_texts(name: str = "openai/clip-vit-base-patch32", dimension: int = 512) -> ModelEncoder:
+    """The text tower of a two-tower model of texts and images."""
+
+    def load() -> Callable[[list[str]], np.ndarray]:
+        lib, torch = _library("transformers", "clip_texts"), _library("torch", "clip_texts")
+        model, prepare = lib.CLIPModel.from_pretrained(name).eval(), lib.CLIPProcessor.from_pretrained(name)
+
+        def encode(texts: list[str]) -> np.ndarray:
+            with torch.no_grad():
+                return model.get_text_features(**prepare(text=texts, return_tensors="pt", padding=True, truncation=True)).numpy()
+
+        return encode
+
+    return ModelEncoder(load, dimension)
+
+
+def clip_images(name: str = "openai/clip-vit-base-patch32", dimension: int = 512) -> ModelEncoder:
+    """The image tower, over a column of paths that executors can read; its vectors share the space of clip_texts."""
+
+    def load() -> Callable[[list[str]], np.ndarray]:
+        lib, torch = _library("transformers", "clip_images"), _library("torch", "clip_images")
+        pictures = _library("PIL.Image", "clip_images")
+        model, prepare = lib.CLIPModel.from_pretrained(name).eval(), lib.CLIPProcessor.from_pretrained(name)
+
+        def encode(paths: list[str]) -> np.ndarray:
+            with torch.no_grad():
+                return model.get_image_features(**prepare(images=[pictures.open(p).convert("RGB") for p in paths], return_tensors="pt")).numpy()
+
+        return encode
+
+    return ModelEncoder(load, dimension)
+
+
+class Fallback:
+    """An encoder whose model may be missing: its vectors, or those of another encoder of like dimension where it fails to load."""
+
+    def __init__(self, first: ModelEncoder, second: ModelEncoder):
+        if first.dimension != second.dimension:
+            raise ValueError("both encoders must have one dimension")
+        self.dimension = first.dimension
+
+        def load() -> Callable[[list[str]], np.ndarray]:
+            try:
+                return first.load()
+            except Exception:  # whatever a model's loader raises
+                return second.load()
+
+        self.own = ModelEncoder(load, self.dimension)
+
+    def encode(self, text: Column) -> Column:
+        return self.own.encode(text)
+
+
 def embed(df: DataFrame, encoder: Encoder, text_col: str = "text", out_col: str = "embedding") -> DataFrame:
     return df.withColumn(out_col, encoder.encode(F.col(text_col)))
 

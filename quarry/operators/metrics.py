@@ -161,7 +161,7 @@ def evaluate_all(samples: DataFrame, wanted: Sequence[str] = SAMPLE_METRICS) ->
     return evaluate(samples, wanted).agg(*(_mean(m).alias(m) for m in wanted))
 
 
-def latency(times: DataFrame, column: str = "seconds") -> DataFrame:
-    """One row: n, avg, p95 (between the nearest ranks), total and queries per second."""
+def latency(times: DataFrame, column: str = "seconds", by: Sequence[str] = ()) -> DataFrame:
+    """One row, or one for each value of by: n, avg, p95 (between the nearest ranks), total and queries per second."""
     t = F.col(column).cast("double")
-    return times.agg(F.count(t).alias("n"), F.avg(t).alias("avg_latency"), F.percentile(t, 0.95).alias("p95_latency"), F.sum(t).alias("total_time"), (F.count(t) / F.sum(t)).alias("queries_per_second"))
+    return times.groupBy(*by).agg(F.count(t).alias("n"), F.avg(t).alias("avg_latency"), F.percentile(t, 0.95).alias("p95_latency"), F.sum(t).alias("total_time"), (F.count(t) / F.sum(t)).alias("queries_per_second"))

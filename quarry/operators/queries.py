@@ -14,31 +14,13 @@ from quarry.operators.embed import Encoder
 
 CONJUNCTIONS = r"(?i)\b(?:and also|and then|and|as well as|in addition to)\b"
 ASKING = "are can could did do does how is should was were what when where which who why will would".split()
-#: First choice for each word, of a longer list of choices.
-SYNONYMS = {
-    word: choices.split("|")
-    for word, choices in (
-        row.split("=")
-        for row in """bad=poor|ineffective|suboptimal
-best=top|optimal|most effective
-big=large|significant|substantial
-change=modify|alter|adjust
-different=various|distinct|diverse
-example=instance|case|illustration
-fast=quick|rapid|speedy
-find=discover|locate|identify
-good=effective|excellent|high-quality
-help=assist|support|aid
-important=critical|essential|crucial
-improve=enhance|optimize|boost
-make=create|build|construct
-problem=issue|challenge|difficulty
-show=demonstrate|illustrate|display
-small=tiny|minor|compact
-use=utilize|employ|apply
-way=method|approach|technique""".splitlines()
-    )
-}
+#: The word that stands for each word.
+SYNONYMS = dict(
+    pair.split("=")
+    for pair in """bad=poor best=top big=large change=modify different=various example=instance fast=quick find=discover
+good=effective help=assist important=critical improve=enhance make=create problem=issue show=demonstrate
+small=tiny use=utilize way=method""".split()
+)
 
 
 def decompose(query: Column) -> Column:
@@ -82,7 +64,7 @@ def _bare(query: Column) -> Column:
 def synonym(query: Column) -> Column:
     """The first word with a synonym replaced by it; capitals and closing signs stay."""
     words = F.filter(F.split(query, r"\s+"), lambda w: w != "")
-    known = F.create_map(*(F.lit(x) for word, choices in SYNONYMS.items() for x in (word, choices[0])))
+    known = F.create_map(*(F.lit(x) for pair in SYNONYMS.items() for x in pair))
     key = lambda w: F.regexp_replace(F.lower(w), r"[.,?!;:]+$", "")
     at = F.array_position(F.transform(words, lambda w: key(w).isin(*SYNONYMS)), True).cast("int")
     word = F.element_at(words, F.when(at > 0, at))
@@ -195,6 +177,27 @@ def hypotheses(queries: DataFrame, count: int = 3, qid_col: str = "qid", query_c
     return queries.select(F.col(qid_col).alias("qid"), F.posexplode(made).alias("h", "hypothesis"))
 
 
+def imagined(load: Callable[[], Callable[[str], str]], count: int = 3, templates: tuple[str, ...] = HYPOTHESES) -> Callable[[DataFrame], DataFrame]:
+    """A maker of (qid, h, hypothesis) by a model from prompt to text, loaded once a worker; a call that fails falls back to the template."""
+    from collections.abc import Iterator
+
+    import pyarrow as pa
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        model = load()
+        for prompts in batches:
+            out = []
+            for p in prompts.to_pylist():
+                try:
+                    out.append(model(p) or p)
+                except Exception:  # whatever a model raises
+                    out.append(p)
+            yield pa.array(out, pa.string())
+
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return lambda queries: hypotheses(queries, count, templates=templates).withColumn("hypothesis", F.arrow_udf(run, "string")("hypothesis"))
+
+
 def mean_vectors(rows: DataFrame, qid_col: str = "qid", vector_col: str = "vec") -> DataFrame:
     """(qid, embedding): the mean of each query's vectors."""
     parts = rows.select(F.col(qid_col).alias("qid"), F.posexplode(vector_col).alias("i", "x"))

@@ -9,13 +9,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarry.functions.text import INDEX_STOP, tokens
+from quarry.scratch import kept
 
 K1, B = 1.5, 0.75
 
 
 @dataclass
 class SparseIndex:
-    """postings (token, id, tf), lengths (id, dl), terms (token, df), stats (n_docs, avg_dl)."""
+    """postings (token, id, tf, dl), lengths (id, dl), terms (token, df), stats (n_docs, avg_dl)."""
 
     postings: DataFrame
     lengths: DataFrame
@@ -24,11 +25,11 @@ class SparseIndex:
 
 
 def build(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", stop: frozenset[str] | None = INDEX_STOP) -> SparseIndex:
-    """Texts without tokens count in n_docs and avg_dl."""
+    """Texts without tokens count in n_docs and avg_dl. Texts are cut into words once, whatever reads the index."""
     words = df.select(F.col(id_col).alias("id"), tokens(F.coalesce(F.col(text_col), F.lit("")), stop).alias("words"))
-    lengths = words.select("id", F.size("words").alias("dl"))
-    postings = words.select("id", F.explode("words").alias("token")).groupBy("token", "id").agg(F.count(F.lit(1)).alias("tf"))
-    return _of(postings, lengths)
+    words = kept(words.select("id", F.size("words").alias("dl"), "words"), "words")
+    postings = words.select("id", "dl", F.explode("words").alias("token")).groupBy("token", "id", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    return _of(postings.select("token", "id", "tf", "dl"), words.select("id", "dl"))
 
 
 def _of(postings: DataFrame, lengths: DataFrame) -> SparseIndex:
@@ -56,14 +57,13 @@ def scores(index: SparseIndex, queries: DataFrame, qid_col: str = "qid", query_c
     """(qid, id, score) of every pair that shares a token; a token that the query repeats counts as often."""
     asked = queries.select(F.col(qid_col).alias("qid"), F.explode(tokens(F.col(query_col), stop)).alias("token"))
     asked = asked.groupBy("qid", "token").agg(F.count(F.lit(1)).alias("qtf"))
-    # document frequencies of the asked tokens only: the postings are read once, filtered by token
+    # postings of the asked tokens only: the filter reaches below the count, and both uses share its exchange
     hits = index.postings.join(asked.select("token").distinct(), "token", "left_semi")
     df = hits.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     idf = asked.join(df, "token").join(F.broadcast(index.stats))  # stats has one row
     idf = idf.select("qid", "token", (F.col("qtf") * F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)).alias("weight"), "avg_dl")
     share = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avg_dl")))
-    rows = hits.join(idf, "token").join(index.lengths, "id")
-    return rows.groupBy("qid", "id").agg(F.sum(F.col("weight") * share).alias("score"))
+    return hits.join(idf, "token").groupBy("qid", "id").agg(F.sum(F.col("weight") * share).alias("score"))
 
 
 def best(scored: DataFrame, k: int, digits: int | None = 6, descending: bool = True) -> DataFrame:

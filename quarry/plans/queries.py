@@ -6,16 +6,19 @@ Questions are the texts of `benchmark`, all of them, and the texts of QUESTIONS;
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quarry import scratch
 from quarry.functions import text as tx
 from quarry.functions import vectors as vx
 from quarry.operators import chunking, cite, dense, embed, fusion, graph, late, metrics, prompt, rerank, sparse
 from quarry.operators import queries as qt
 from quarry.plans import rag
-from quarry.sources import loaders, records
+from quarry.sources import indexes, loaders, records
 
 K = 5
 QUESTIONS = (
@@ -171,6 +174,21 @@ def csv_rows(spark, sf_dir):
     return rows.unionByName(part.select(F.lit("part").alias("source"), loaders.row_text(part, ["p_name", "p_brand", "p_type"]).alias("text")))
 
 
+@query("SELECT conv_id, turn, role, text FROM conversations")
+def json_lines(spark, sf_dir):
+    path = f"{scratch.folder(spark)}/quarry-lines-{uuid.uuid4().hex}"
+    rows = _t(spark, sf_dir, "conversations")
+    records.write(rows, path)
+    return records.read(spark, path, rows.schema.simpleString()[7:-1].replace(":", " ")).select("conv_id", "turn", "role", "text")
+
+
+@query("""SELECT n_nationkey, unnest([n_name, 'Region ' || n_regionkey]) AS header, unnest(['1', '2']) AS level, unnest(['key ' || n_nationkey, 'lies in' || chr(10) || n_regionkey]) AS text FROM nation""")
+def markdown_sections(spark, sf_dir):
+    head = F.concat(F.lit("skipped lead\n# "), "n_name", F.lit("\nkey "), "n_nationkey", F.lit("\n## Region "), "n_regionkey", F.lit("\nlies in\n"), "n_regionkey")
+    found = loaders.markdown_sections(_t(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("path"), head.alias("text")))
+    return found.select(F.col("path").cast("int").alias("n_nationkey"), F.col("metadata")["header"].alias("header"), F.col("metadata")["level"].alias("level"), "text")
+
+
 def _fixed_sql(size: int, overlap: int) -> str:
     step = max(size - overlap, 1)
     return f"""SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INT AS chunk_index, c AS text FROM (
@@ -187,7 +205,14 @@ def chunk_overlap(spark, sf_dir):
     return chunking.with_overlap(chunking.fixed(_docs(spark, sf_dir), overlap=0))
 
 
-@query()
+PACKED = f"""RECURSIVE s AS (SELECT doc_id, x, list_transform(x, lambda v: length(v)) AS n FROM (SELECT doc_id, {_sent('text')} AS x FROM documents)),
+w AS (SELECT doc_id, 0 AS i, 0 AS start, 0::BIGINT AS used, NULL::INT AS first, NULL::INT AS last FROM s WHERE len(x) > 0
+  UNION ALL SELECT doc_id, i + 1, CASE WHEN cut THEN i - 1 ELSE start END, CASE WHEN cut THEN n[i] ELSE used END + n[i + 1] + 1, CASE WHEN cut THEN start END, CASE WHEN cut THEN i - 1 END
+  FROM (SELECT w.*, n, used + n[i + 1] > 512 AND i > start AS cut FROM w JOIN s USING (doc_id) WHERE i < len(n)) t),
+r AS (SELECT doc_id, i AS o, first, last FROM w WHERE first IS NOT NULL UNION ALL SELECT doc_id, i + 1, start, i - 1 FROM w JOIN s USING (doc_id) WHERE i = len(n))"""
+
+
+@query(f"WITH {PACKED} SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY o) - 1)::INT AS chunk_index, array_to_string(x[first + 1 : last + 1], ' ') AS text FROM r JOIN s USING (doc_id)")
 def chunk_sentence(spark, sf_dir):
     return chunking.by_sentence(_docs(spark, sf_dir))
 
@@ -217,14 +242,13 @@ brk AS (SELECT doc_id, idx FROM sims JOIN lim USING (doc_id) WHERE sim < lim - 1
 
 @query(f"WITH {SIMILAR} SELECT doc_id, idx, round(sim, 6) AS sim FROM sims")
 def semantic_similarity(spark, sf_dir):
-    return chunking.sentence_similarity(chunking.sentence_rows(_docs(spark, sf_dir))).withColumn("sim", F.round("sim", 6))
+    return chunking.sentence_similarity(_docs(spark, sf_dir)).withColumn("sim", F.round("sim", 6))
 
 
 @query(f"""WITH {SIMILAR} SELECT doc_id, grp::INT AS grp, string_agg(sentence, ' ' ORDER BY idx) AS text FROM (
   SELECT s.doc_id, s.idx, sentence, sum(CASE WHEN brk.idx IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY s.doc_id ORDER BY s.idx) AS grp FROM s LEFT JOIN brk USING (doc_id, idx)) GROUP BY doc_id, grp""")
 def semantic_groups(spark, sf_dir):
-    rows = chunking.sentence_rows(_docs(spark, sf_dir))
-    return chunking.grouped(rows, chunking.breakpoints(chunking.sentence_similarity(rows)))
+    return chunking.semantic_groups(_docs(spark, sf_dir)).select("doc_id", F.posexplode("groups").alias("grp", "text"))
 
 
 # ---------------------------------------------------------------- sparse and dense search
@@ -248,6 +272,13 @@ def bm25_add(spark, sf_dir):
     return sparse.search(index, _asked(spark, sf_dir), K)
 
 
+@query(f"WITH {_bm25(ALL_DOCS, ASKED)} SELECT qid, rank::INT AS rank, printf('[%d] %.4f  %s', rank, score, left({_strip('text')}, 200)) AS line FROM ({_top('scored', K)}) t JOIN documents d ON d.doc_id = t.id")
+def formatted_hits(spark, sf_dir):
+    docs = _docs(spark, sf_dir)
+    hits = sparse.search(sparse.build(docs), _asked(spark, sf_dir), K)
+    return rag.formatted(hits.join(docs.select(F.col("doc_id").alias("id"), "text"), "id"), keep=["rank"])
+
+
 VQ = "SELECT vec_id AS qid, embedding::DOUBLE[] AS q, label FROM embeddings WHERE vec_id % 100 = 0"
 VR = "SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings"
 COS = f"SELECT qid, id, round(list_cosine_similarity(q, v), 6) AS score FROM ({VQ}), ({VR})"
@@ -275,6 +306,39 @@ def dense_remove(spark, sf_dir):
     return dense.search(kept, _vector_queries(spark, sf_dir), K)
 
 
+@query(_top(f"({COS})", K))
+def dense_add(spark, sf_dir):
+    rows = _vectors(spark, sf_dir).select("vec_id", "embedding", "label")
+    return dense.search(dense.add(rows.where("label < 5"), rows.where("label >= 5")), _vector_queries(spark, sf_dir), K)
+
+
+@query(_top(f"(SELECT qid, id, round(list_cosine_similarity(q, v), 6) AS score FROM (SELECT vec_id AS qid, embedding::DOUBLE[] AS q FROM embeddings), ({VR}))", K))
+def dense_batch(spark, sf_dir):
+    rows = _vectors(spark, sf_dir)
+    return dense.search(rows, rows.select(F.col("vec_id").alias("qid"), "embedding"), K)
+
+
+@query("SELECT count(*) AS size FROM embeddings WHERE label <> 0")
+def dense_size(spark, sf_dir):
+    rows = _vectors(spark, sf_dir)
+    return dense.size(dense.remove(rows, rows.where("label = 0").select("vec_id")))
+
+
+@query("SELECT vec_id, label, round(list_sum(embedding::DOUBLE[]), 6) AS total, 'cosine' AS metric, 64 AS dimension FROM embeddings")
+def index_saved(spark, sf_dir):
+    path = f"{scratch.folder(spark)}/quarry-index-{uuid.uuid4().hex}"
+    indexes.save(_vectors(spark, sf_dir), path, "cosine", 64)
+    rows, manifest = indexes.load(spark, path)
+    total = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double"))
+    return rows.select("vec_id", "label", F.round(total, 6).alias("total"), F.lit(manifest["metric"]).alias("metric"), F.lit(int(manifest["dimension"])).alias("dimension"))
+
+
+@query(f"SELECT id, n, n::DOUBLE AS squares FROM (SELECT doc_id AS id, greatest(least(len({_blank('text')}), 512), 1) AS n FROM documents)")
+def token_vectors(spark, sf_dir):
+    found = embed.token_vectors(_docs(spark, sf_dir).select(F.col("doc_id").alias("id"), "text"))
+    return found.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(vx.dot(F.col("vec"), F.col("vec"))), 6).alias("squares"))
+
+
 @query(f"SELECT id AS a, qid AS b, score AS sim FROM ({COS})")
 def sim_matrix(spark, sf_dir):
     rows = _vectors(spark, sf_dir)
@@ -391,7 +455,21 @@ def query_stepback(spark, sf_dir):
     return _every(spark, sf_dir).select("qid", qt.step_back(F.col("query")).alias("broader"))
 
 
-@query()
+BARE = rf"regexp_replace({_strip('query')}, '[?]+$', '')"
+_key = lambda w: f"regexp_replace(lower({w}), '[.,?!;:]+$', '')"
+_choice = "CASE " + _key("word") + " " + " ".join(f"WHEN '{w}' THEN '{c}'" for w, c in qt.SYNONYMS.items()) + " END"
+_first_of_each = lambda items: f"list_filter({items}, lambda v, i: list_position(list_transform({items}, lambda x: lower({_strip('x')})), lower({_strip('v')})) = i)"
+VARIANTS = rf"""b AS (SELECT qid, query, {BARE} AS bare, list_filter(string_split_regex(query, '\s+'), lambda w: w <> '') AS words, list_filter({_tok('query', tx.KEYWORD_STOP)}, lambda t: length(t) > 2) AS keys FROM {EVERY} e),
+p AS (SELECT *, list_position(list_transform(words, lambda w: {_key('w')} IN {_in(qt.SYNONYMS)}), true) AS spot FROM b),
+c AS (SELECT *, words[spot] AS word FROM p), d AS (SELECT *, {_choice} AS said FROM c),
+v AS (SELECT qid, [query,
+  CASE WHEN spot > 0 THEN array_to_string(list_transform(words, lambda w, i: CASE WHEN i = spot THEN CASE WHEN regexp_matches(left(word, 1), '\p{{Lu}}') THEN upper(left(said, 1)) || substring(said, 2) ELSE said END || substring(word, length({_key('word')}) + 1) ELSE w END), ' ') ELSE query END,
+  CASE {' '.join(f"WHEN regexp_matches(bare, '{p}') THEN {_strip(f"regexp_replace(bare, '{p}', '" + r.replace('$', chr(92)) + "')")} || '?'" for p, r in qt.REPHRASE)} ELSE query END,
+  CASE WHEN regexp_matches(bare, '(?i)^(what|how|why|when|where|who)\b') THEN 'Describe the key aspects of ' || CASE WHEN regexp_matches(bare, '^\S+\s+\S') THEN regexp_replace(bare, '^\S+\s+', '') ELSE bare END || '?' ELSE 'What should someone know about ' || bare || '?' END,
+  CASE WHEN len(keys) >= 2 THEN array_to_string(keys, ' ') ELSE query END] AS items FROM d)"""
+
+
+@query(f"WITH {VARIANTS} SELECT qid, unnest(f) AS variant, unnest(range(len(f)))::INT AS pos FROM (SELECT qid, {_first_of_each('items')}[1:5] AS f FROM v)")
 def query_variants(spark, sf_dir):
     return _every(spark, sf_dir).select("qid", F.posexplode(qt.variants(F.col("query"), 5)).alias("pos", "variant"))
 
@@ -412,11 +490,27 @@ def query_keywords(spark, sf_dir):
     return _every(spark, sf_dir).select("qid", qt.keywords(F.col("query")).alias("keywords"))
 
 
-@query()
+def _parts_sql(word: str) -> str:
+    marked = rf"list_transform(string_split_regex(query, '(?i) {word} '), lambda p: {_strip(f"regexp_replace({_strip('p')}, '[?]+$', '')")} || '?')"
+    return f"CASE WHEN contains(lower(query), ' {word} ') THEN list_filter({marked}, lambda p: length(p) > 10) ELSE [] END"
+
+
+_sides = "".join((r"(?i)(?:compare|difference|versus|vs\.?)", r"\s+(.+?)\s+", r"(?:and|with|vs\.?)", r"\s+(.+)"))
+SUB_QUESTIONS = f"""flatten([[query], {', '.join(_parts_sql(w) for w in ('and', 'also', 'additionally', 'furthermore'))}, CASE WHEN regexp_matches(query, '{_sides}') THEN
+  ['What is ' || {_strip(f"regexp_extract(query, '{_sides}', 1)")} || '?', 'What is ' || regexp_replace({_strip(f"regexp_extract(query, '{_sides}', 2)")}, '[?]+$', '') || '?'] ELSE [] END])"""
+
+
+@query(f"SELECT qid, unnest(f) AS part, unnest(range(len(f)))::INT AS pos FROM (SELECT qid, {_first_of_each('items')} AS f FROM (SELECT qid, {SUB_QUESTIONS} AS items FROM {EVERY} e))")
 def query_sub_questions(spark, sf_dir):
     return _every(spark, sf_dir).select("qid", F.posexplode(qt.sub_questions(F.col("query"))).alias("pos", "part"))
 
 
+@query("SELECT qid, type, CASE type WHEN 'factual' THEN 'bm25' WHEN 'causal' THEN 'graph' ELSE 'dense' END AS retriever FROM (SELECT qid, CASE " + " ".join(f"WHEN regexp_matches(query, '{p}') THEN '{n}'" for n, p in qt.TYPES) + f" ELSE 'general' END AS type FROM {EVERY} e)")
+def query_dispatch(spark, sf_dir):
+    router = qt.Router(dict.fromkeys(("dense", "bm25", "graph")), {"factual": "bm25", "causal": "graph"})
+    return router.assign(_every(spark, sf_dir)).select("qid", "type", "retriever")
+
+
 # ---------------------------------------------------------------- the graph of all documents
 
 
@@ -426,7 +520,7 @@ def _texts(spark, sf_dir):
 
 #: Letters beyond ASCII as a word character: DuckDB's word borders know ASCII only.
 _ascii = lambda x: rf"regexp_replace({x}, '[^\P{{L}}\x00-\x7F]', '0', 'g')"
-NAMES = rf"""c AS (SELECT doc_id AS chunk_id, text, {_ascii('text')} AS plain FROM documents WHERE lang = 'en'),
+NAMES = rf"""c AS (SELECT doc_id AS chunk_id, text, {_ascii('text')} AS plain FROM documents),
 named AS (SELECT chunk_id, name, arg_min(type, p) AS type, min(p * 1000000 + pos) AS ord FROM (
   SELECT chunk_id, {_strip('unnest(x)')} AS name, unnest(range(len(x))) AS pos, 1 AS p, 'PROPER_NOUN' AS type FROM (SELECT chunk_id, regexp_extract_all(plain, '\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+)+)\b', 1) AS x FROM c)
   UNION ALL SELECT chunk_id, {_strip('unnest(x)')}, unnest(range(len(x))), 2, 'QUOTED_TERM' FROM (SELECT chunk_id, regexp_extract_all(text, '"([^"]{{2,50}})"', 1) AS x FROM c)
@@ -491,6 +585,17 @@ def graph_chunks(spark, sf_dir):
     return graph.search(g, asked, K, start=_start(g, chunks))
 
 
+@query(f"""WITH {EDGES}, asked AS (SELECT DISTINCT name FROM named WHERE type = 'ACRONYM'),
+shown AS (SELECT src, '  ' || CASE WHEN starts_with(pred, 'inv_') THEN '(inverse) ' || substring(pred, 5) ELSE pred END || ' -> ' || string_agg(DISTINCT dst, ', ' ORDER BY dst) AS line FROM edges GROUP BY src, pred),
+lines AS (SELECT src, string_agg(line, chr(10) ORDER BY line) AS lines FROM shown GROUP BY src), counts AS (SELECT entity, count(*) AS n FROM mentions GROUP BY entity)
+SELECT name AS entity, CASE WHEN lines IS NULL THEN 'No relations known for ' || name ELSE 'Entity: ' || name || chr(10) || lines || chr(10) || '  Mentioned in ' || n || ' chunk(s)' END AS summary
+FROM asked LEFT JOIN lines ON src = lower(name) LEFT JOIN counts ON entity = lower(name)""")
+def graph_summaries(spark, sf_dir):
+    chunks = _texts(spark, sf_dir)
+    names = graph.extract(chunks).where("type = 'ACRONYM'").select(F.col("name").alias("entity")).distinct()
+    return graph.summaries(graph.build(chunks), names)
+
+
 # ---------------------------------------------------------------- prompts, citations
 
 
@@ -522,6 +627,12 @@ def prompt_messages(spark, sf_dir):
     return rows.select("qid", "pos", "m.role", "m.content")
 
 
+@query(f"""WITH {DIALOGUES} SELECT qid, 'Context:' || chr(10) || array_to_string(contexts, chr(10)) || chr(10) || chr(10) || 'Question: ' || question || chr(10) || chr(10) || 'Answer:' AS prompt, answer AS completion FROM d""")
+def training_prompts(spark, sf_dir):
+    rows = _dialogues(spark, sf_dir)
+    return records.as_prompts(rows.select("qid", "question", F.array_join("contexts", "\n").alias("context"), "answer"), ["qid"])
+
+
 def _marked(spark, sf_dir):
     """Answers with marks: one in range, one pair, one beyond."""
     return _dialogues(spark, sf_dir).withColumn("answer", F.concat(F.col("answer"), F.lit(" [1] more [1, 2] far [99]")))
@@ -650,8 +761,8 @@ def sample_report(spark, sf_dir):
 
 @query("SELECT event_type, count(*) AS n, round(avg(value), 4) AS avg_latency, round(quantile_cont(value, 0.95), 4) AS p95_latency, round(sum(value), 2) AS total_time FROM events GROUP BY event_type")
 def latency_summary(spark, sf_dir):
-    rows = _t(spark, sf_dir, "events")
-    return rows.groupBy("event_type").agg(F.count("value").alias("n"), F.round(F.avg("value"), 4).alias("avg_latency"), F.round(F.percentile("value", 0.95), 4).alias("p95_latency"), F.round(F.sum("value"), 2).alias("total_time"))
+    found = metrics.latency(_t(spark, sf_dir, "events"), "value", ["event_type"])
+    return found.select("event_type", "n", *(F.round(c, d).alias(c) for c, d in (("avg_latency", 4), ("p95_latency", 4), ("total_time", 2))))
 
 
 # ---------------------------------------------------------------- whole plans

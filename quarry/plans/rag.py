@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.text import strip
 from quarry.operators import chunking, cite, dense, embed, fusion, generate, graph, prompt, queries, rerank, sparse
+from quarry.scratch import kept
 
 Generator = Callable[[Column, Column], Column]
 
@@ -33,7 +34,8 @@ def chunked(docs: DataFrame, settings: Settings, id_col: str = "doc_id", text_co
     """(chunk_id, doc_id, chunk_index, text, embedding): chunk_id is doc_id and index, so it never moves."""
     chunks = chunking.preprocess(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), settings.strategy, size=settings.chunk_size, overlap=settings.chunk_overlap)
     named = chunks.select(F.format_string("%s:%06d", F.col("doc_id").cast("string"), "chunk_index").alias("chunk_id"), "doc_id", "chunk_index", "text")
-    return embed.embed(named, settings.encoder)
+    # every plan reads chunks several times: they are cut and encoded once
+    return kept(embed.embed(named, settings.encoder), "chunks")
 
 
 def _embedded(questions: DataFrame, settings: Settings, text: str = "question") -> DataFrame:
@@ -134,8 +136,8 @@ def graph_rag(chunks: DataFrame, questions: DataFrame, settings: Settings | None
     return answer(questions, graph_hits(chunks, questions, s, depth).select("qid", "rank", "id", "score", "text"), s)
 
 
-def hybrid_hits(docs: DataFrame, questions: DataFrame, settings: Settings, alpha: float = 0.5, id_col: str = "chunk_id") -> DataFrame:
-    index = sparse.build(docs, id_col)
+def hybrid_hits(docs: DataFrame, questions: DataFrame, settings: Settings, alpha: float = 0.5, id_col: str = "chunk_id", index: sparse.SparseIndex | None = None) -> DataFrame:
+    index = index or sparse.build(docs, id_col)
     return fusion.hybrid(docs, index, _embedded(questions, settings), settings.k, alpha, id_col=id_col, query_col="question")
 
 
@@ -158,6 +160,6 @@ def create(name: str) -> Callable[..., DataFrame]:
     return PLANS[name]
 
 
-def formatted(hits: DataFrame, chars: int = 200) -> DataFrame:
-    """(qid, line): a readable line for each hit."""
-    return hits.select("qid", F.format_string("[%d] %.4f  %s", "rank", "score", F.left(strip(F.col("text")), F.lit(chars))).alias("line"))
+def formatted(hits: DataFrame, chars: int = 200, keep: Sequence[str] = ()) -> DataFrame:
+    """(qid, columns in keep, line): a readable line for each hit."""
+    return hits.select("qid", *keep, F.format_string("[%d] %.4f  %s", "rank", "score", F.left(strip(F.col("text")), F.lit(chars))).alias("line"))

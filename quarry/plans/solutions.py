@@ -24,7 +24,7 @@ class _Indexed:
     def add_texts(self, docs: DataFrame) -> None:
         """docs: (doc_id, text)."""
         more = rag.chunked(docs.withColumn("doc_id", F.col("doc_id").cast("string")), self.settings)
-        self.chunks = more if self.chunks is None else self.chunks.unionByName(more)
+        self.chunks, self.added = more if self.chunks is None else self.chunks.unionByName(more), more
 
     def _known(self) -> DataFrame:
         if self.chunks is None:
@@ -51,14 +51,21 @@ class DocumentQA(_Indexed):
 
 
 class KnowledgeBase(_Indexed):
-    """Hybrid search over what was added so far."""
+    """Hybrid search over what was added so far; each addition is cut, encoded and indexed once."""
 
     def __init__(self, spark: SparkSession, settings: rag.Settings | None = None, alpha: float = 0.5):
         super().__init__(spark, settings)
         self.alpha = alpha
+        self.words: sparse.SparseIndex | None = None
+
+    def add_texts(self, docs: DataFrame) -> None:
+        before = self.chunks
+        super().add_texts(docs)
+        more = self.added
+        self.words = sparse.build(more, "chunk_id") if before is None else sparse.add(self.index(), more, "chunk_id")
 
     def search(self, questions: str | list[str]) -> DataFrame:
-        return rag.hybrid_hits(self._known(), self.questions(questions), self.settings, self.alpha)
+        return rag.hybrid_hits(self._known(), self.questions(questions), self.settings, self.alpha, index=self.index())
 
     def ask(self, questions: str | list[str]) -> DataFrame:
         return rag.answer(self.questions(questions), self.search(questions), self.settings)
@@ -67,7 +74,24 @@ class KnowledgeBase(_Indexed):
         return 0 if self.chunks is None else self.chunks.count()
 
     def index(self) -> sparse.SparseIndex:
-        return sparse.build(self._known(), "chunk_id")
+        self._known()
+        return self.words
+
+    def save(self, path: str) -> None:
+        """Chunks, words and the state of the base, all that load needs."""
+        self.save_index(f"{path}/chunks")
+        sparse.write(self.index(), f"{path}/words")
+        state = [(self.chunks.select("doc_id").distinct().count(), self.size(), self.alpha)]
+        self.spark.createDataFrame(state, "doc_count bigint, chunk_count bigint, alpha double").coalesce(1).write.mode("overwrite").json(f"{path}/state")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, settings: rag.Settings | None = None) -> KnowledgeBase:
+        """FileNotFoundError where nothing was saved."""
+        base = cls(spark, settings)
+        base.load_index(f"{path}/chunks")
+        base.words = sparse.read(spark, f"{path}/words")
+        base.alpha = spark.read.json(f"{path}/state").first()["alpha"]
+        return base
 
 
 class ResearchAssistant(_Indexed):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,6 +36,17 @@ def summary(answers: DataFrame) -> DataFrame:
     return answers.select("question", "answer", F.size("sources").alias("num_sources"))
 
 
-def as_prompts(rows: DataFrame) -> DataFrame:
-    """(prompt, completion) from (question, context, answer): data for fitting a generator."""
-    return rows.select(F.concat_ws("\n\n", F.concat(F.lit("Context:\n"), "context"), F.concat(F.lit("Question: "), "question"), F.lit("Answer:")).alias("prompt"), F.col("answer").alias("completion"))
+def judgements(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(qid, query) and (qid, id) of lines of query and relevant; lines of one query are judged together."""
+    rows = read(spark, path, JUDGEMENTS).where("query is not null").withColumn("qid", F.xxhash64("query"))
+    return rows.select("qid", "query").distinct(), rows.select("qid", F.explode("relevant").alias("id")).distinct()
+
+
+def pairs(spark: SparkSession, path: str) -> DataFrame:
+    """(query, positive, negative) of lines for contrastive training; lines without a query or positive are left out."""
+    return read(spark, path, PAIRS).where("query is not null and positive is not null")
+
+
+def as_prompts(rows: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """(columns in keep, prompt, completion) from (question, context, answer): data for fitting a generator."""
+    return rows.select(*keep, F.concat_ws("\n\n", F.concat(F.lit("Context:\n"), "context"), F.concat(F.lit("Question: "), "question"), F.lit("Answer:")).alias("prompt"), F.col("answer").alias("completion"))

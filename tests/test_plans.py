@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.plans import rag, registry, solutions
+from quarry.plans import benchmark, rag, registry, solutions
 from quarry.sources import indexes, loaders, records, settings
 from quarry.streaming import incremental
 
@@ -57,6 +57,48 @@ def test_solutions(spark, tmp_path):
     assert "attribution" in solutions.ResearchAssistant.research.__doc__ or base.ask("rivers").count() == 1
 
 
+def test_knowledge_base_persists_and_grows(spark, tmp_path):
+    base = solutions.KnowledgeBase(spark, alpha=0.3)
+    for row in TEXTS:
+        base.add_texts(spark.createDataFrame([row], "doc_id int, text string"))
+    rows = lambda b: [tuple(r) for r in b.search("flour and water").orderBy("qid", "rank").collect()]
+    whole = solutions.KnowledgeBase(spark, alpha=0.3)
+    whole.add_texts(spark.createDataFrame(TEXTS, "doc_id int, text string"))
+    assert rows(base) == rows(whole)
+    base.save(str(tmp_path / "base"))
+    again = solutions.KnowledgeBase.load(spark, str(tmp_path / "base"))
+    assert again.alpha == 0.3 and again.size() == base.size() and rows(again) == rows(base)
+    assert spark.read.json(str(tmp_path / "base" / "state")).first()["doc_count"] == 3
+    again.add_texts(spark.createDataFrame([(9, "Flour and water make a simple dough for flat bread.")], "doc_id int, text string"))
+    assert "Flour and water make a simple dough for flat bread." in {r.text for r in again.search("flour and water").collect()}
+    with pytest.raises(FileNotFoundError):
+        solutions.KnowledgeBase.load(spark, str(tmp_path / "none"))
+
+
+def test_benchmark(spark, chunks, tmp_path):
+    sources = {r.doc_id: r.chunk_id for r in chunks.where("chunk_index = 0").collect()}
+    items = spark.createDataFrame([("what do neural networks learn", "layered features", [sources[1]]), ("fish in rivers", None, [sources[2], "none"])], records.EVALUATION)
+    found = {r.metric: r.value for r in benchmark.run(items, lambda q: rag.basic(chunks, q, citations=False), (1, 3), 1, str(tmp_path / "out")).collect()}
+    assert found["recall@1"] == 0.75 and found["mrr"] == 1 and 0 < found["f1"] <= 1 and found["avg_latency"] == found["p95_latency"] > 0
+    assert {r["metric"] for r in records.read(spark, str(tmp_path / "out")).collect()} == set(found)
+
+
+def test_judgements_and_pairs(spark, tmp_path):
+    (tmp_path / "j").write_text('{"query": "a", "relevant": ["x", "y"]}\n\n{"query": "b", "relevant": []}\n{"query": "a", "relevant": ["x"]}\n')
+    asked, relevant = records.judgements(spark, str(tmp_path / "j"))
+    assert sorted(r["query"] for r in asked.collect()) == ["a", "b"] and sorted(r.id for r in relevant.collect()) == ["x", "y"]
+    (tmp_path / "p").write_text('{"query": "a", "positive": "b", "negative": "c"}\n{"query": "a"}\n')
+    assert [tuple(r) for r in records.pairs(spark, str(tmp_path / "p")).collect()] == [("a", "b", "c")]
+
+
+def test_exported_model(spark, tmp_path, chunks):
+    (tmp_path / "m").mkdir()
+    (tmp_path / "m" / "weights").write_text("w")
+    indexes.export(chunks, str(tmp_path / "x"), "cosine", 256, None, str(tmp_path / "m"))
+    assert (tmp_path / "x" / "model" / "weights").read_text() == "w"
+    assert spark.read.json(str(tmp_path / "x" / "manifest")).first()["parts"] == ["index", "settings", "model"]
+
+
 def test_loaders(spark, tmp_path):
     (tmp_path / "a.html").write_text("<p>Hello &amp; world</p>")
     (tmp_path / "b.MD").write_text("intro\n# One\nbody\n## Two\nmore")

@@ -87,6 +87,49 @@ def test_encoders(spark, docs):
     assert {tuple(r.embedding) for r in embed.embed(docs, custom).collect()} >= {(19.0, 1.0), (0.0, 1.0)}
 
 
+def test_late_on_a_grid(spark, monkeypatch):
+    import random
+
+    rng = random.Random(1)
+    vec = lambda: [rng.choice([-1.0, 0.0, 1.0, 2.0]) for _ in range(3)]
+    tokens = spark.createDataFrame([(i % 7, vec()) for i in range(60)], "id int, vec array<double>").repartition(3)
+    asks = spark.createDataFrame([(q, p, vec()) for q in range(5) for p in range(3)], "qid int, qpos int, qvec array<double>")
+    whole = sorted(map(tuple, late.search(tokens, asks).collect()))
+    for limit in ("QUERY_BYTES", "ROW_BYTES", "CELLS"):
+        monkeypatch.setattr(dense, limit, 100)
+    assert sorted(map(tuple, late.search(tokens, asks).collect())) == whole
+    rows = tokens.selectExpr("monotonically_increasing_id() as vec_id", "vec as embedding")
+    pairs = dense.pair_similarity(rows, rows).collect()
+    assert len(pairs) == 3600 and all(r.sim <= 1 for r in pairs)
+
+
+def test_missing_models_and_fallbacks(spark, docs):
+    with pytest.raises(Exception, match="sentence_transformers"):
+        embed.embed(docs, embed.sentence_model("any", 3)).collect()
+    plain = embed.ModelEncoder(lambda: lambda texts: [[len(t), 1.0, 0.0] for t in texts], 3, normalize=False)
+    assert embed.embed(docs, embed.Fallback(embed.sentence_model("any", 3), plain)).where("doc_id = 0").first()["embedding"][2] == 0
+
+    class Client:
+        class embeddings:
+            @staticmethod
+            def create(input, model):
+                from types import SimpleNamespace as N
+
+                assert len(input) <= 2 and not any("\n" in t for t in input)
+                return N(data=[N(embedding=[float(len(t)), 1.0]) for t in input])
+
+    far = embed.hosted(batch=2, dimension=2, connect=Client)
+    assert len(embed.embed(docs, far).where("doc_id = 0").first()["embedding"]) == 2
+
+    def model(prompt):
+        if "passage" in prompt:
+            raise RuntimeError
+        return prompt.upper()
+
+    made = [r.hypothesis for r in qt.imagined(lambda: model)(asked(spark, "cat")).orderBy("h").collect()]
+    assert made[0] == "CAT" and made[2] == "A passage about the following topic: cat"
+
+
 def test_hybrid_and_hyde(spark, docs):
     encoder = embed.HashingEncoder()
     stored = embed.embed(docs.where("text is not null"), encoder)
