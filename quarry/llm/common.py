@@ -4,9 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
 import time
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 from functools import wraps
 
@@ -14,39 +12,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.scratch import discard, materialize
+
+__all__ = ["WORD", "aside", "discard", "documents", "exchange_partitions", "materialize", "release_shuffles", "trimmed", "word_count"]
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; where it is unset in local mode (tests), a new local one is set and used."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="quarry-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it again: cuts lineage and outlives executors."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/quarry-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(df: DataFrame) -> None:
-    """Delete a scratch table that nothing will read again."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for file in df.inputFiles()[:1]:
-        folder = jvm.org.apache.hadoop.fs.Path(file).getParent()
-        if folder.getName().startswith("quarry-"):
-            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
-
-
 def trimmed(run: Callable) -> Callable:
     """run, a function of a partition's batches, giving freed memory back to the system in the end: idle workers stay small."""
 
