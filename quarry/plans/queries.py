@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from quarry import scratch
 from quarry.functions import text as tx
 from quarry.functions import vectors as vx
-from quarry.operators import chunking, cite, dense, embed, fusion, graph, late, metrics, prompt, rerank, sparse
+from quarry.operators import chunking, cite, dense, embed, fusion, generate, graph, late, metrics, prompt, rerank, sparse
 from quarry.operators import queries as qt
 from quarry.plans import rag
 from quarry.sources import indexes, loaders, records
@@ -217,14 +217,33 @@ def chunk_sentence(spark, sf_dir):
     return chunking.by_sentence(_docs(spark, sf_dir))
 
 
-@query()
-def chunk_recursive(spark, sf_dir):
-    return chunking.recursive(_docs(spark, sf_dir))
+def _packed(parts: str, join: str, size: int, deeper, n: int) -> str:
+    """Parts packed one after the other: an array of texts of at most size, of a too long part what deeper makes of it."""
+    a, x, longer = f"a{n}", f"x{n}", f"(CASE WHEN a{n}.o <> '' THEN a{n}.o || {join} || x{n}.o ELSE x{n}.o END)"
+    closed = f"(CASE WHEN {a}.o <> '' THEN list_append({a}.d, {a}.o) ELSE {a}.d END)"
+    step = f"CASE WHEN length({longer}) <= {size} THEN {{'d': {a}.d, 'o': {longer}}} WHEN length({x}.o) > {size} THEN {{'d': list_concat({closed}, {deeper(x + '.o')}), 'o': ''}} ELSE {{'d': {closed}, 'o': {x}.o}} END"
+    rows = f"list_prepend({{'d': []::VARCHAR[], 'o': ''}}, list_transform({parts}, lambda p{n}: {{'d': []::VARCHAR[], 'o': p{n}}}))"
+    return f"list_transform([list_reduce({rows}, lambda {a}, {x}: {step})], lambda z{n}: CASE WHEN z{n}.o <> '' THEN list_append(z{n}.d, z{n}.o) ELSE z{n}.d END)[1]"
 
 
-@query()
-def chunk_semantic(spark, sf_dir):
-    return chunking.semantic(_docs(spark, sf_dir))
+def _split(t: str, size: int, level: int = 0) -> str:
+    marks = ["chr(10) || chr(10)", "chr(10)", "'. '", "' '"]
+    if level == len(marks):
+        more = f"list_transform(range(0, length({t}), {size}), lambda i: substring({t}, i + 1, {size}))"
+    else:
+        more = _packed(f"string_split({t}, {marks[level]})", marks[level], size, lambda x: _split(x, size, level + 1), level)
+    return f"(CASE WHEN {t} = '' THEN []::VARCHAR[] WHEN length({t}) <= {size} THEN [{t}] ELSE {more} END)"
+
+
+def _recursive_sql(docs: str) -> str:
+    parts = f"SELECT doc_id, unnest(p) AS text, unnest(range(len(p)))::INT AS chunk_index FROM (SELECT doc_id, {_split('text', 512)} AS p FROM ({docs}))"
+    led = f"SELECT doc_id, chunk_index, coalesce(right(lag(text) OVER (PARTITION BY doc_id ORDER BY chunk_index), 64), '') || text AS text FROM ({parts})"
+    return f"SELECT * FROM ({led}) WHERE {_strip('text')} <> ''"
+
+
+@query(_recursive_sql(ALL_DOCS))
+def chunk_recursive(spark, sf_dir):
+    return chunking.recursive(_docs(spark, sf_dir))
 
 
 SENTENCES = f"s AS (SELECT doc_id, unnest(x) AS sentence, unnest(range(len(x)))::INT AS idx FROM (SELECT doc_id, {_sent('text')} AS x FROM documents))"
@@ -251,6 +270,18 @@ def semantic_groups(spark, sf_dir):
     return chunking.semantic_groups(_docs(spark, sf_dir)).select("doc_id", F.posexplode("groups").alias("grp", "text"))
 
 
+GROUPS = f"""{SIMILAR}, grouped AS (SELECT doc_id, grp, string_agg(sentence, ' ' ORDER BY idx) AS text FROM (
+  SELECT s.doc_id, s.idx, sentence, sum(CASE WHEN brk.idx IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY s.doc_id ORDER BY s.idx) AS grp FROM s LEFT JOIN brk USING (doc_id, idx)) GROUP BY doc_id, grp),
+folded AS (SELECT doc_id, list_reduce(list({{'d': []::VARCHAR[], 'o': text}} ORDER BY grp), lambda a, x: CASE WHEN length(a.o) < 100 THEN {{'d': a.d, 'o': a.o || ' ' || x.o}} ELSE {{'d': list_append(a.d, a.o), 'o': x.o}} END) AS m FROM grouped GROUP BY doc_id),
+merged AS (SELECT doc_id, CASE WHEN len(m.d) > 0 AND length(m.o) < 100 THEN list_append(m.d[:len(m.d) - 1], m.d[len(m.d)] || ' ' || m.o) ELSE list_append(m.d, m.o) END AS g FROM folded),
+settled AS (SELECT doc_id, flatten(list_transform(g, lambda t: CASE WHEN length(t) <= 1000 THEN [t] ELSE {_packed(_sent('t'), "' '", 1000, lambda x: f'[{x}]', 9)} END)) AS c FROM merged)"""
+
+
+@query(f"WITH {GROUPS} SELECT * FROM (SELECT doc_id, unnest(c) AS text, unnest(range(len(c)))::INT AS chunk_index FROM settled) WHERE {_strip('text')} <> ''")
+def chunk_semantic(spark, sf_dir):
+    return chunking.semantic(_docs(spark, sf_dir))
+
+
 # ---------------------------------------------------------------- sparse and dense search
 
 
@@ -272,7 +303,7 @@ def bm25_add(spark, sf_dir):
     return sparse.search(index, _asked(spark, sf_dir), K)
 
 
-@query(f"WITH {_bm25(ALL_DOCS, ASKED)} SELECT qid, rank::INT AS rank, printf('[%d] %.4f  %s', rank, score, left({_strip('text')}, 200)) AS line FROM ({_top('scored', K)}) t JOIN documents d ON d.doc_id = t.id")
+@query(f"WITH {_bm25(ALL_DOCS, ASKED)} SELECT qid, rank::INT AS rank, printf('[%d] %.4f  %s', rank, round(score::DECIMAL(18, 6), 4)::DOUBLE, left({_strip('text')}, 200)) AS line FROM ({_top('scored', K)}) t JOIN documents d ON d.doc_id = t.id")
 def formatted_hits(spark, sf_dir):
     docs = _docs(spark, sf_dir)
     hits = sparse.search(sparse.build(docs), _asked(spark, sf_dir), K)
@@ -779,17 +810,46 @@ def _as_questions(spark, sf_dir):
 SHOWN = ["qid", "question", "answer", "contexts", "sources"]
 
 
-@query()
+def _hits(asked: str) -> str:
+    """CTEs up to hit (qid, rank, id, score, text): chunks near the rows (qid, query) of asked."""
+    texts = f"SELECT doc_id, c AS text FROM (SELECT doc_id, {_cleaned('text')} AS c FROM documents) WHERE length(c) >= {chunking.LEAST}"
+    return f"""ch AS (SELECT printf('%s:%06d', doc_id::VARCHAR, chunk_index) AS id, text FROM ({_recursive_sql(texts)}) WHERE length({_strip('text')}) >= {chunking.LEAST}),
+dv AS (SELECT * FROM {_hashed("SELECT id, text FROM ch", "id")}), asked AS ({asked}), qv AS (SELECT * FROM {_hashed("SELECT qid, query AS text FROM asked", "qid")}),
+near AS (SELECT qid, id, round(sum(dv.x * qv.x), 6) AS score FROM dv JOIN qv USING (dim) GROUP BY ALL),
+hit AS (SELECT t.*, text FROM ({_top('near', K)}) t JOIN ch USING (id))"""
+
+
+def _answered(hits: str, first: int) -> str:
+    """CTEs up to said (qid, question, answer, contexts, sources) from a relation of (qid, rank, id, text)."""
+    rows = f"flatten(list_transform(contexts[:{first}], lambda c, i: list_transform({_sent('c')}, lambda s, j: {{'n': {_common(_set(_blank('question')), _set(_blank('s')))}, 'i': -i, 'j': -j, 's': s}})))"
+    return f"""held AS (SELECT qid, list(text ORDER BY rank) AS contexts, list(id ORDER BY rank) AS sources FROM {hits} GROUP BY qid),
+given AS (SELECT item_id AS qid, text AS question, coalesce(contexts, []) AS contexts, coalesce(sources, []) AS sources FROM benchmark LEFT JOIN held ON qid = item_id),
+said AS (SELECT qid, question, coalesce(best.s || ' [' || (-best.i) || ']', '{generate.NOTHING_FOUND}') AS answer, contexts, sources FROM (SELECT *, list_reverse_sort({rows})[1] AS best FROM given))"""
+
+
+@query(f"WITH {_hits(ASKED)}, {_answered('hit', K)} SELECT *, {_ratio(f'len({CITED})', 'len(contexts)')} AS attribution FROM said")
 def basic_rag(spark, sf_dir):
     return rag.basic(_chunks(spark, sf_dir), _as_questions(spark, sf_dir)).select(*SHOWN, "attribution")
 
 
-@query()
+PARTED = f"SELECT item_id * 10 + step AS qid, part AS query FROM (SELECT item_id, unnest(f) AS part, unnest(range(len(f))) AS step FROM (SELECT item_id, {_first_of_each('items')}[1:3] AS f FROM (SELECT item_id, text AS query, {SUB_QUESTIONS} AS items FROM (SELECT item_id, text, text AS query FROM benchmark))))"
+
+
+@query(f"""WITH {_hits(PARTED)}, own AS (SELECT qid // 10 AS qid, qid % 10 AS step, rank, id, text FROM hit WHERE score >= 0.3),
+kept AS (SELECT qid, id, text, row_number() OVER (PARTITION BY qid ORDER BY step, rank) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid, left(text, 100) ORDER BY step, rank) AS n FROM own) WHERE n = 1), {_answered('kept', 2 * K)} SELECT * FROM said""")
 def agentic_rag(spark, sf_dir):
     return rag.agentic(_chunks(spark, sf_dir), _as_questions(spark, sf_dir)).select(*SHOWN)
 
 
-@query()
+TURNS = "SELECT item_id * 10 + unnest([0, 1, 2]) AS qid, unnest([text, 'specifically about ' || text || ' key concepts', text || ' comprehensive overview']) AS query FROM benchmark"
+
+
+@query(f"""WITH {_hits(TURNS)}, graded AS (SELECT hit.qid // 10 AS qid, hit.qid % 10 AS turn, rank, id, hit.text, round(sum(dv.x * qv.x), 6) AS grade
+  FROM hit JOIN dv USING (id) JOIN qv ON qv.qid = hit.qid // 10 * 10 AND qv.dim = dv.dim GROUP BY ALL HAVING round(sum(dv.x * qv.x), 6) >= 0.35),
+one AS (SELECT *, row_number() OVER (PARTITION BY qid, left(text, 100) ORDER BY turn, rank) AS n FROM graded),
+counted AS (SELECT *, count(*) OVER (PARTITION BY qid ORDER BY turn RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM one WHERE n = 1),
+kept AS (SELECT qid, id, text, row_number() OVER (PARTITION BY qid ORDER BY turn, rank) AS rank FROM counted WHERE turn = 0 OR before < 2), {_answered('kept', K)}
+SELECT *, CASE WHEN len(contexts) > 0 THEN 'success' ELSE 'insufficient_evidence' END AS status FROM said""")
 def corrective_rag(spark, sf_dir):
     return rag.corrective(_chunks(spark, sf_dir), _as_questions(spark, sf_dir)).select(*SHOWN, "status")
 
@@ -799,7 +859,7 @@ def graph_rag(spark, sf_dir):
     return rag.graph_rag(_chunks(spark, sf_dir), _as_questions(spark, sf_dir)).select(*SHOWN)
 
 
-@query()
+@query(f"WITH {_hits(ASKED)}, {_answered('hit', K)} SELECT question, answer, len(sources) AS num_sources FROM said")
 def predictions(spark, sf_dir):
     return records.summary(rag.basic(_chunks(spark, sf_dir), _as_questions(spark, sf_dir), citations=False))
 
