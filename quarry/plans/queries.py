@@ -551,21 +551,22 @@ def _texts(spark, sf_dir):
 
 #: Letters beyond ASCII as a word character: DuckDB's word borders know ASCII only.
 _ascii = lambda x: rf"regexp_replace({x}, '[^\P{{L}}\x00-\x7F]', '0', 'g')"
-NAMES = rf"""c AS (SELECT doc_id AS chunk_id, text, {_ascii('text')} AS plain FROM documents),
-named AS (SELECT chunk_id, name, arg_min(type, p) AS type, min(p * 1000000 + pos) AS ord FROM (
+NAMED = rf"""named AS (SELECT chunk_id, name, arg_min(type, p) AS type, min(p * 1000000 + pos) AS ord FROM (
   SELECT chunk_id, {_strip('unnest(x)')} AS name, unnest(range(len(x))) AS pos, 1 AS p, 'PROPER_NOUN' AS type FROM (SELECT chunk_id, regexp_extract_all(plain, '\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+)+)\b', 1) AS x FROM c)
   UNION ALL SELECT chunk_id, {_strip('unnest(x)')}, unnest(range(len(x))), 2, 'QUOTED_TERM' FROM (SELECT chunk_id, regexp_extract_all(text, '"([^"]{{2,50}})"', 1) AS x FROM c)
   UNION ALL SELECT chunk_id, unnest(x), unnest(range(len(x))), 3, 'ACRONYM' FROM (SELECT chunk_id, list_filter(regexp_extract_all(plain, '\b([A-Z]{{2,6}})\b', 1), lambda n: n NOT IN {_in(graph.NOT_ACRONYMS)}) AS x FROM c)
   UNION ALL SELECT chunk_id, unnest(x), unnest(range(len(x))), 4, 'NOUN' FROM (SELECT chunk_id, list_filter(regexp_extract_all(plain, '\b([A-Z][a-z]{{2,}})\b', 1), lambda n: NOT starts_with(text, n)) AS x FROM c)) GROUP BY chunk_id, name)"""
 
 
+NAMES = f"c AS (SELECT doc_id AS chunk_id, text, {_ascii('text')} AS plain FROM documents), {NAMED}"
+
+
 @query(f"WITH {NAMES} SELECT chunk_id, name, type FROM named")
 def graph_entities(spark, sf_dir):
     return graph.extract(_texts(spark, sf_dir)).select("chunk_id", "name", "type")
 
 
-EDGES = rf"""{NAMES},
-many AS (SELECT chunk_id FROM named GROUP BY chunk_id HAVING count(*) >= 2),
+RELATED = rf"""many AS (SELECT chunk_id FROM named GROUP BY chunk_id HAVING count(*) >= 2),
 sent AS (SELECT chunk_id, row_number() OVER () AS sid, s FROM (SELECT chunk_id, unnest(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))) AS s FROM c JOIN many USING (chunk_id))),
 present AS (SELECT chunk_id, sid, s, name, ord, instr(s, name) AS at FROM sent JOIN named USING (chunk_id) WHERE contains(s, name)),
 pairs AS (SELECT a.s, CASE WHEN a.at > b.at THEN b.name ELSE a.name END AS subj, CASE WHEN a.at > b.at THEN a.name ELSE b.name END AS obj, least(a.at, b.at) AS i, greatest(a.at, b.at) AS j
@@ -576,6 +577,9 @@ edges AS (SELECT * FROM fwd UNION ALL SELECT dst, 'inv_' || pred, src FROM fwd),
 mentions AS (SELECT DISTINCT lower(name) AS entity, chunk_id FROM named)"""
 
 
+EDGES = f"{NAMES}, {RELATED}"
+
+
 @query(f"WITH {EDGES} SELECT src, pred, dst FROM edges")
 def graph_edges(spark, sf_dir):
     return graph.build(_texts(spark, sf_dir)).edges
@@ -594,9 +598,10 @@ def _start(g: graph.Graph, chunks: DataFrame) -> DataFrame:
     return graph.extract(chunks).where("type in ('PROPER_NOUN', 'QUOTED_TERM')").select(F.lit(1).alias("qid"), F.lower("name").alias("entity")).distinct()
 
 
-REACH = f"""{EDGES}, {START}, e AS (SELECT DISTINCT src, dst FROM edges),
+REACHED = """e AS (SELECT DISTINCT src, dst FROM edges),
 h1 AS (SELECT DISTINCT qid, dst AS entity FROM start JOIN e ON entity = src), h2 AS (SELECT DISTINCT qid, dst AS entity FROM h1 JOIN e ON entity = src),
 reached AS (SELECT qid, entity, min(h)::INT AS hops FROM (SELECT *, 0 AS h FROM start UNION ALL SELECT *, 1 FROM h1 UNION ALL SELECT *, 2 FROM h2) GROUP BY ALL)"""
+REACH = f"{EDGES}, {START}, {REACHED}"
 
 
 @query(f"WITH {REACH} SELECT qid, entity, hops FROM reached")
@@ -854,7 +859,20 @@ def corrective_rag(spark, sf_dir):
     return rag.corrective(_chunks(spark, sf_dir), _as_questions(spark, sf_dir)).select(*SHOWN, "status")
 
 
-@query()
+_asked_names = f"qc AS (SELECT qid AS chunk_id, query AS text, {_ascii('query')} AS plain FROM asked), q{NAMED.replace('FROM c)', 'FROM qc)')}"
+SEEDS = f"""known AS (SELECT entity FROM mentions UNION SELECT src FROM edges),
+own AS (SELECT DISTINCT chunk_id AS qid, lower(name) AS entity FROM qnamed JOIN known ON entity = lower(name)),
+words AS (SELECT qid, unnest(w) AS word, unnest(range(len(w))) AS pos FROM (SELECT qid, list_filter({_blank('query')}, lambda t: length(t) > 3) AS w FROM asked WHERE qid NOT IN (SELECT qid FROM own))),
+met AS (SELECT qid, pos, min(entity) AS entity FROM words JOIN known ON length(entity) >= 3 AND (contains(entity, word) OR contains(word, entity)) GROUP BY ALL),
+start AS (SELECT qid, entity FROM own UNION ALL SELECT qid, entity FROM (SELECT qid, entity, row_number() OVER (PARTITION BY qid ORDER BY min(pos), entity) AS n FROM met GROUP BY qid, entity) WHERE n <= 3)"""
+
+
+@query(f"""WITH {_hits(ASKED)}, c AS (SELECT id AS chunk_id, text, {_ascii('text')} AS plain FROM ch), {NAMED}, {RELATED}, {_asked_names}, {SEEDS}, {REACHED},
+met_chunks AS (SELECT DISTINCT qid, chunk_id FROM reached JOIN mentions USING (entity)),
+walked AS (SELECT qid, chunk_id AS id, c.text, row_number() OVER (PARTITION BY qid ORDER BY {_common(_set(_blank('query')), _set(_blank('c.text')))} DESC, chunk_id) AS rank FROM met_chunks JOIN c USING (chunk_id) JOIN asked USING (qid)),
+merged AS (SELECT qid, rank, id, text, 0 AS later FROM walked WHERE rank <= {K} UNION ALL SELECT qid, rank, id, text, 1 FROM hit),
+one AS (SELECT *, row_number() OVER (PARTITION BY qid, left({_strip('text')}, 200) ORDER BY later, rank, id) AS n FROM merged),
+kept AS (SELECT qid, id, text, rank FROM (SELECT qid, id, text, row_number() OVER (PARTITION BY qid ORDER BY later, rank, id) AS rank FROM one WHERE n = 1) WHERE rank <= {K}), {_answered('kept', K)} SELECT * FROM said""")
 def graph_rag(spark, sf_dir):
     return rag.graph_rag(_chunks(spark, sf_dir), _as_questions(spark, sf_dir)).select(*SHOWN)
 
