@@ -187,6 +187,41 @@ def token_vectors(df: DataFrame, id_col: str = "id", text_col: str = "text", dim
     return rows.join(known, "word").select(id_col, "pos", "vec")
 
 
+def token_model(df: DataFrame, load: Callable[[], Callable[[list[str]], list[np.ndarray]]], id_col: str = "id", text_col: str = "text", most: int = 512) -> DataFrame:
+    """(id, pos, vec): unit vectors of a text's first most tokens by any model, a matrix a text, loaded once in each Python worker."""
+    from collections.abc import Iterator
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        model = load()
+        for texts in batches:
+            rows = []
+            for m in model([t or "" for t in texts.to_pylist()]):
+                m = np.asarray(m, float)[:most]
+                rows.append((m / np.maximum(np.sqrt(np.square(m).sum(1)), 1e-12)[:, None]).tolist())
+            yield pa.array(rows, pa.list_(pa.list_(pa.float64())))
+
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return df.select(id_col, F.posexplode(F.arrow_udf(run, "array<array<double>>")(text_col)).alias("pos", "vec"))
+
+
+def transformer_tokens(name: str, dimension: int = 128, device: str = "cpu") -> Callable[[], Callable[[list[str]], list[np.ndarray]]]:
+    """A loader for token_model: a transformer's last states of real tokens, cut to dimension components."""
+
+    def load() -> Callable[[list[str]], list[np.ndarray]]:
+        lib, torch = _library("transformers", "transformer_tokens"), _library("torch", "transformer_tokens")
+        cut, model = lib.AutoTokenizer.from_pretrained(name), lib.AutoModel.from_pretrained(name).eval().to(device)
+
+        def encode(texts: list[str]) -> list[np.ndarray]:
+            given = cut(texts, return_tensors="pt", padding=True, truncation=True).to(device)
+            with torch.no_grad():
+                states = model(**given).last_hidden_state[:, :, :dimension].cpu().numpy()
+            return [s[m.astype(bool)] for s, m in zip(states, given["attention_mask"].cpu().numpy())]
+
+        return encode
+
+    return load
+
+
 def similarity(a: Column, b: Column, floor: float = 1e-12) -> Column:
     """Cosine of two vectors, lengths of floor at least."""
     return dot(a, b) / (F.greatest(norm(a), F.lit(floor)) * F.greatest(norm(b), F.lit(floor)))
