@@ -73,6 +73,39 @@ def test_long_lists_in_blocks(spark, monkeypatch):
         assert found(jaccard.link(df, percent=percent)) == plain(rows, percent)
 
 
+def test_pairs_of_a_large_cluster_are_not_made(spark, monkeypatch):
+    import random
+
+    import numpy as np
+
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(300)]
+    rows = []
+    for i in range(400):  # near copies of one text, some farther from it
+        words = list(base)
+        for k in rng.sample(range(300), rng.choice([1, 2, 3, 4, 12, 20, 30])):
+            words[k] = f"u{i % 90}x{k}"
+        rows.append((i, " ".join(words)))
+    rows += [(1000 + i, rows[i][1]) for i in range(30)]  # copies of near copies
+    rows += [(2000 + i, " ".join(base[:200]) + " " + " ".join(f"o{i // 3}y{k}" for k in range(100))) for i in range(60)]  # outside, in part alike
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    monkeypatch.setattr(jaccard, "SAMPLED", 8)
+    made = []
+    listed = jaccard._group_pairs
+    monkeypatch.setattr(jaccard, "_group_pairs", lambda *a: made.append(listed(*a).cache()) or made[-1])
+    for a_list, block, bit in ((jaccard.PAIRS_A_LIST, 100, 1), (20, 4000, 32)):  # pairs of a cell and the rest of a list at once and in jobs; cells in blocks and whole
+        monkeypatch.setattr(jaccard, "PAIRS_A_LIST", a_list)
+        monkeypatch.setattr(jaccard, "CELL_BLOCK", block)
+        monkeypatch.setattr(jaccard, "BIT_FROM", bit)
+        assert found(jaccard.link(df)) == plain(rows)
+        assert made.pop().count() < 400 * 399 / 2 / 2
+    monkeypatch.setattr(jaccard, "SAMPLED", 1 << 40)  # without centers all pairs are made, with the same result
+    assert found(jaccard.link(df)) == plain(rows)
+    assert made.pop().count() > 400 * 399 / 2 / 2
+    cells = jaccard.Cells([np.arange(1, 101, dtype=np.uint64)])
+    assert [cells.of(np.arange(1, 101 - k, dtype=np.uint64)) for k in (0, 50, 51)] == [1, 1, 0]
+
+
 def test_repeated_ids_with_other_texts(spark):
     rows = [(1, "a b c d e f g"), (1, "h i j k l m n"), (2, "a b c d e f g"), (3, "h i j k l m n"), (4, "o p q r")]
     got = sorted((r.doc_id, r.n_shingles, r.n_similar, r.component_id) for r in jaccard.link(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
