@@ -42,6 +42,8 @@ TRIGGER = 20
 HELD = 400_000
 #: Dictionary phrases whose suffixes are sorted at once.
 SORTED_AT_ONCE = 8_000
+#: Repeated positions that a task holds before it sends them by part, and bytes of the rows that it yields at once.
+FOUND_HELD, AT_ONCE = 400_000, 1 << 20
 LAST = np.iinfo(np.int64).max
 
 BEFORE = LENGTH - TRIGGER
@@ -114,15 +116,32 @@ FOUND = ["kind", "part", "blob"]
 FOUND_TYPES = "kind int, part int, blob binary"
 
 
+def _together(rows: Iterator[tuple], types: list[pa.DataType], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Rows whose last value is a blob, in batches of bounded size: a batch costs more than a row."""
+    held: list[tuple] = []
+    size = 0
+    for row in rows:
+        held.append(row)
+        size += len(row[-1])
+        if size > AT_ONCE:
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*held), types)], names)
+            held, size = [], 0
+    if held:
+        yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*held), types)], names)
+
+
 def _by_part(kind: int, parts: int, document: np.ndarray, *others: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Rows (kind, part, blob) of entries sorted by document, a row for each part of the documents."""
+    yield from _together(_part_rows(kind, parts, document, *others), [pa.int32(), pa.int32(), pa.binary()], FOUND)
+
+
+def _part_rows(kind: int, parts: int, document: np.ndarray, *others: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
     of = _part(document, parts)
     order = np.lexsort((others[0], document, of))
     of, document, others = of[order], document[order], [o[order] for o in others]
     edges = np.flatnonzero(np.r_[True, of[1:] != of[:-1], True]) if len(of) else [0]
     for a, b in zip(edges[:-1], edges[1:]):
-        blob = dump([(document[a:b].view(U) ^ U(1 << 63)), *(o[a:b] for o in others)])
-        yield pa.record_batch([pa.array([kind], pa.int32()), pa.array([of[a]], pa.int32()), pa.array([blob], pa.binary())], FOUND)
+        yield kind, int(of[a]), dump([(document[a:b].view(U) ^ U(1 << 63)), *(o[a:b] for o in others)])
 
 
 def _entries(blobs: list[bytes]) -> list[np.ndarray]:
@@ -140,24 +159,32 @@ def _parsed(docs: DataFrame, buckets: int, parts: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
+        repeated: list[list[np.ndarray]] = []
         count, sent = 0, 0
 
-        def flush() -> Iterator[pa.RecordBatch]:
+        def settle(most: int) -> Iterator[pa.RecordBatch]:
             nonlocal sent
+            if sum(len(r[0]) for r in repeated) > most:
+                document, position, phrase = (np.concatenate(c) for c in zip(*repeated))
+                repeated.clear()
+                for found in _by_part(0, parts, document, *_whole(position, phrase)):
+                    names = pa.array([(sent := sent + 1) % buckets for _ in range(len(found))], pa.int32())
+                    yield pa.record_batch([names, *found.columns], ["bucket", *FOUND])
+
+        def flush() -> Iterator[pa.RecordBatch]:
             key, phrase, document, position = (np.concatenate(c) for c in zip(*held))
             order = np.lexsort((document, phrase, key))
             key, phrase, document, position = key[order], phrase[order], document[order], position[order]
             new = _first_of_runs(key, phrase)
             least = document[new][np.cumsum(new) - 1]
             again = document > least
-            for found in _by_part(0, parts, document[again], *_whole(position[again], phrase[again])):
-                yield pa.record_batch([pa.array([(sent := sent + 1) % buckets], pa.int32()), *found.columns], ["bucket", *FOUND])
+            repeated.append([document[again], position[again], phrase[again]])
+            yield from settle(FOUND_HELD)
             key, phrase, document, position = (c[~again] for c in (key, phrase, document, position))
             edges = np.searchsorted(bucket_of(key, buckets), np.arange(buckets + 1))
-            for b in np.flatnonzero(np.diff(edges)).tolist():
-                s = slice(edges[b], edges[b + 1])
-                blob = dump([key[s], phrase[s], document[s], position[s].astype(np.uint32)])
-                yield pa.record_batch([pa.array([b], pa.int32()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int32()), pa.array([blob], pa.binary())], ["bucket", *FOUND])
+            slices = ((b, slice(edges[b], edges[b + 1])) for b in np.flatnonzero(np.diff(edges)).tolist())
+            rows = ((b, None, None, dump([key[s], phrase[s], document[s], position[s].astype(np.uint32)])) for b, s in slices)
+            yield from _together(rows, [pa.int32(), pa.int32(), pa.int32(), pa.binary()], ["bucket", *FOUND])
 
         for block in text_blocks(batches):
             parse = Parse(block)
@@ -172,6 +199,7 @@ def _parsed(docs: DataFrame, buckets: int, parts: int) -> DataFrame:
                 count = 0
         if count:
             yield from flush()
+        yield from settle(0)
 
     return docs.mapInArrow(trimmed(run), f"bucket int, {FOUND_TYPES}")
 
@@ -309,10 +337,11 @@ def _fetched(rows: DataFrame, kind: str, buckets: int, repeats: bool) -> DataFra
             order = np.argsort(key, kind="stable")
             key, cols = key[order], [c[order] for c in cols]
             edges = np.searchsorted(bucket_of(key, buckets), np.arange(buckets + 1))
-            for b in np.flatnonzero(np.diff(edges)).tolist():
-                s = slice(edges[b], edges[b + 1])
-                blob = dump([key[s], *(c[s] if c.ndim == 1 else c[s].reshape(-1) for c in cols)])
-                yield pa.record_batch([pa.array([b], pa.int32()), pa.array([blob], pa.binary()), pa.nulls(1, type_), *(pa.nulls(1, pa.int64()) for _ in range(4)), pa.nulls(1, pa.string())], ["bucket", "blob", *ROW])
+            slices = ((b, slice(edges[b], edges[b + 1])) for b in np.flatnonzero(np.diff(edges)).tolist())
+            rows = ((b, dump([key[s], *(c[s] if c.ndim == 1 else c[s].reshape(-1) for c in cols)])) for b, s in slices)
+            for sent in _together(rows, [pa.int32(), pa.binary()], ["bucket", "blob"]):
+                n = len(sent)
+                yield pa.record_batch([*sent.columns, pa.nulls(n, type_), *(pa.nulls(n, pa.int64()) for _ in range(4)), pa.nulls(n, pa.string())], ["bucket", "blob", *ROW])
 
         for id_, o, raw in _texts(batches, held):
             if whole is None:
@@ -414,16 +443,27 @@ def _sorted_out(fetched: DataFrame, kind: str, buckets: int, parts: int) -> Data
         cols.clear()
         order = np.argsort(key, kind="stable")
         borders = np.append(np.flatnonzero(_first_of_runs(key[order])), len(key))
-        at = 0
+        at, held, count = 0, [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for found in _by_part(2, parts, *(np.concatenate(c) for c in zip(*held))):
+                n = len(found)
+                yield pa.record_batch([*found.columns, pa.nulls(n, type_), *(pa.nulls(n, pa.int64()) for _ in range(4)), pa.nulls(n, pa.string())], [*FOUND, *ROW])
+
         while at < len(key):
             end = int(borders[max(np.searchsorted(borders, at + SORTED_AT_ONCE, "right") - 1, np.searchsorted(borders, at, "right"))])
             s = order[at:end]
             rows, l, r = _suffix_matches(key[s], document[s], left[s], right[s], phrase[s])
             s = s[rows]
             if len(s):
-                for found in _by_part(2, parts, document[s], position[s], l.astype(np.uint8), r.astype(np.uint8), hashed[s]):
-                    yield pa.record_batch([*found.columns, pa.nulls(1, type_), *(pa.nulls(1, pa.int64()) for _ in range(4)), pa.nulls(1, pa.string())], [*FOUND, *ROW])
+                held.append([document[s], position[s], l.astype(np.uint8), r.astype(np.uint8), hashed[s]])
+                count += len(s)
             at = end
+            if count > FOUND_HELD:
+                yield from flush()
+                held, count = [], 0
+        if held:
+            yield from flush()
 
     return exchange(fetched, buckets).mapInArrow(trimmed(run), f"{FOUND_TYPES}, {_row_types(kind)}")
 
@@ -454,8 +494,9 @@ def _late_documents(late: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for blob in batch.column(0).to_pylist():
-                yield pa.record_batch([pa.array(np.unique((load(blob)[0] ^ U(1 << 63)).view(np.int64)))], ["o"])
+            some = [np.unique(load(blob)[0]) for blob in batch.column(0).to_pylist()]
+            if some:
+                yield pa.record_batch([pa.array((np.unique(np.concatenate(some)) ^ U(1 << 63)).view(np.int64))], ["o"])
 
     return late.select("blob").mapInArrow(trimmed(run), "o bigint").distinct()
 

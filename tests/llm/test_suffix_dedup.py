@@ -69,3 +69,20 @@ def test_no_rows_and_wrong_ids(none, docs):
     assert suffix_dedup.dedup(none).count() == 0
     with pytest.raises(ValueError):
         suffix_dedup.dedup(docs, id_col="lang")
+
+
+def test_rows_grow_with_tasks_not_with_groups(spark, monkeypatch):
+    """Matches of all groups that a task sorts travel together: a row for each task and part of the documents."""
+    import random
+
+    rng = random.Random(7)
+    some = lambda n: "".join(rng.choice("abcdefghijkl ") for _ in range(n))
+    passages = [some(rng.randint(55, 90)) for _ in range(60)]
+    rows = [(i, some(40) + passages[i % 60] + some(40)) for i in range(180)]
+    tables = {}
+    kept = suffix_dedup.materialize
+    monkeypatch.setattr(suffix_dedup, "materialize", lambda df, name: tables.setdefault(name, kept(df, name)))
+    monkeypatch.setattr(suffix_dedup, "SORTED_AT_ONCE", 1)
+    monkeypatch.setattr(suffix_dedup, "exchange_partitions", lambda spark, times=1: 2 * times)  # 4 buckets, 2 parts
+    assert found(suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id bigint, text string"))) == plain(rows)
+    assert 0 < tables["suffixes"].where("kind = 2").count() <= 4 * 2
