@@ -141,7 +141,9 @@ def shingle_classes(docs: DataFrame, width: int, buckets: int) -> tuple[np.ndarr
             if some:
                 names = bucket_of(mix(np.array([s[0] for s in some])), buckets)
                 yield pa.record_batch([pa.array(names, pa.int32()), pa.array([dump([s]) for s in some], pa.binary())], ["bucket", "blob"])
-            held += [s & U(~0xFFFFFF & 0xFFFFFFFFFFFFFFFF) for s in sets]
+            for s in sets:
+                s &= U(~0xFFFFFF & 0xFFFFFFFFFFFFFFFF)
+            held += sets
             size += sum(map(len, held[-len(block.ids) :]))
             if size > 2 * HELD:
                 h, n = np.unique(np.concatenate(held), return_counts=True)
@@ -165,8 +167,10 @@ def shingle_classes(docs: DataFrame, width: int, buckets: int) -> tuple[np.ndarr
                 yield pa.record_batch([pa.array([len(some.seen)], pa.int32()), pa.array([dump([center])], pa.binary())], ["bucket", "blob"])
         if got:
             got = [np.concatenate(x) for x in zip(*got)]
-            h, inverse = np.unique(got[0], return_inverse=True)
-            n = np.bincount(inverse, weights=got[1])
+            order = np.argsort(got[0])
+            h, n = got[0][order], got[1][order]
+            starts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+            h, n = h[starts], np.add.reduceat(n, starts, dtype=np.int64)
             h, n = h[n >= common], n[n >= common]
             if len(h):
                 blob = dump([h, np.clip(2 * np.log2(n), 1, 120).astype(np.uint8)])
@@ -302,7 +306,7 @@ def _sets(docs: DataFrame, shared, percent: int, width: int, buckets: int, prefi
                     rows[i] = [n, f1.view(np.int64), f2.view(np.int64), g.view(np.int64)[0], cell]
                 elif int(g[0]) not in known:
                     known.add(int(g[0]))
-                    held.append((prefix, np.broadcast_to(g, len(prefix)), np.full(len(prefix), n, np.int32), np.arange(len(prefix), dtype=np.uint32), np.full(len(prefix), cell, np.uint32)))
+                    held.append((prefix, np.broadcast_to(g, len(prefix)), np.broadcast_to(np.int32(n), len(prefix)), np.arange(len(prefix), dtype=np.uint32), np.broadcast_to(np.uint32(cell), len(prefix))))
                     count += len(prefix)
                     if count > HELD:
                         yield from flush()
@@ -354,11 +358,13 @@ def _listed(sent: DataFrame, percent: int, buckets: int) -> DataFrame:
         if not got:
             return
         h, g, n, p, cell = got
+        del got
         order = np.lexsort((g, n, h))
         h, g, n, p, cell = h[order], g[order], n[order].astype(np.int64), p[order].astype(np.int64), cell[order]
         new = np.ones(len(h), bool)
         new[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1]) | (n[1:] != n[:-1])
         h, g, n, p, cell = h[new], g[new], n[new], p[new], cell[new]
+        del order, new
 
         def jobs(left: np.ndarray, right: np.ndarray) -> Iterator[pa.RecordBatch]:
             for i in range(0, len(left), LIST_BLOCK):
@@ -382,8 +388,9 @@ def _listed(sent: DataFrame, percent: int, buckets: int) -> DataFrame:
                     yield from jobs(own, inside)
                 elif len(own):
                     a, b = ([*(x[at] for x in (g, n, p, cell)), at] for at in (inside, own))
-                    for pairs in (*_crossed(a, b, percent), *_crossed(b, a, percent)):
-                        yield pa.record_batch([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy()), pa.nulls(len(pairs), pa.binary())], ["g1", "g2", "job"])
+                    for one, two in ((a, b), (b, a)):
+                        for pairs in _crossed(one, two, percent):
+                            yield pa.record_batch([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy()), pa.nulls(len(pairs), pa.binary())], ["g1", "g2", "job"])
         h, g, n, p, cell = h[stays], g[stays], n[stays], p[stays], cell[stays]
         if not len(h):
             return
@@ -584,7 +591,7 @@ def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent:
     """(id_col, n_shingles, n_similar, component_id) of every row."""
     spark = df.sparkSession
     docs = df.select(df[id_col].alias("id"), df[text_col].cast("string").alias("text"))
-    buckets = exchange_partitions(spark)
+    buckets = exchange_partitions(spark, 2)
     counts, centers = shingle_classes(docs, width, buckets)
     shared = spark.sparkContext.broadcast((counts, Cells(centers)))
     found = materialize(_sets(docs, shared, percent, width, buckets, False), "sets")

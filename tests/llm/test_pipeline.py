@@ -44,3 +44,17 @@ def test_names(spark):
 
     names = __spark_entry__.queries()
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+
+
+def test_a_cluster_of_near_copies_makes_no_pairs(spark, monkeypatch):
+    """Else the join's time grows as the square of the input, and the stages after it have none left."""
+    from quarry.llm import jaccard
+
+    base = [f"w{k}" for k in range(200)]
+    rows = [(i, " ".join(base[: i % 190] + [f"u{i}"] + base[i % 190 + 1 :]), "en", "a", 1) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    monkeypatch.setattr(jaccard, "SAMPLED", 8)
+    made, listed = [], jaccard._group_pairs
+    monkeypatch.setattr(jaccard, "_group_pairs", lambda *a: made.append(listed(*a).cache()) or made[-1])
+    assert [r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()] == [0]
+    assert made[0].count() < 300
