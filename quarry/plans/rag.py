@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.text import strip
 from quarry.operators import chunking, cite, dense, embed, fusion, generate, graph, prompt, queries, rerank, sparse
+from quarry.operators.topk import with_texts
 from quarry.scratch import kept
 
 Generator = Callable[[Column, Column], Column]
@@ -45,7 +46,7 @@ def _embedded(questions: DataFrame, settings: Settings, text: str = "question")
 def dense_hits(chunks: DataFrame, questions: DataFrame, k: int, settings: Settings, text: str = "question") -> DataFrame:
     """(qid, rank, id, score, text)."""
     hits = dense.search(chunks, _embedded(questions, settings, text), k, id_col="chunk_id")
-    return hits.join(chunks.select(F.col("chunk_id").alias("id"), "text"), "id").select("qid", "rank", "id", "score", "text")
+    return with_texts(hits, chunks.select(F.col("chunk_id").alias("id"), "text"), k * questions.count())
 
 
 def answer(questions: DataFrame, hits: DataFrame, settings: Settings, first: int | None = None, keep_all: bool = True) -> DataFrame:
@@ -127,7 +128,7 @@ def graph_hits(chunks: DataFrame, questions: DataFrame, settings: Settings, dept
     g = known or graph.build(chunks)
     walked = graph.search(g, questions, settings.k, depth, query_col="question")
     near = dense.search(chunks, _embedded(questions, settings), settings.k, "chunk_cosine", id_col="chunk_id")
-    near = near.join(chunks.select(F.col("chunk_id").alias("id"), "text"), "id")
+    near = with_texts(near, chunks.select(F.col("chunk_id").alias("id"), "text"), settings.k * questions.count())
     return graph.merge(walked, near, settings.k)
 
 
