@@ -9,10 +9,14 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quarry.functions.batches import in_slices
+
 #: Word characters of any script; the JVM's own class for words is ASCII only.
 WORD = r"[\p{L}\p{N}_]+"
 #: A sentence ends after one of these, before white space.
 SENTENCE_END = r"(?<=[.!?])\s+"
+#: White space as the JVM's patterns know it.
+BLANKS = " \t\n\x0b\f\r"
 _blanks = re.compile(r"\s+")
 
 _articles = "a an the"
@@ -54,7 +58,8 @@ def blank_set(text: Column) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    """Without white space around, by a scan of the ends: a pattern would try every blank inside."""
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def sentences(text: Column) -> Column:
@@ -64,11 +69,11 @@ def sentences(text: Column) -> Column:
 
 def clean(text: Column) -> Column:
     """Unix line ends, at most one blank line, single blanks, no blanks around."""
-    lines = F.regexp_replace(F.regexp_replace(text, "\r\n", "\n"), r"\n{3,}", "\n\n")
-    return strip(F.regexp_replace(lines, r"[ \t]+", " "))
+    lines = F.regexp_replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), r"\n{3,}", "\n\n")
+    return strip(F.regexp_replace(lines, r"[ \t]{2,}|\t", " "))  # single blanks stay as they are
 
 
-#: The entities that the SQL of html_text knows; html_to_text decodes all.
+#: The entities that html_text decodes.
 ENTITIES = {"&copy;": "©", "&middot;": "·", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&lt;": "<", "&gt;": ">", "&nbsp;": " ", "&reg;": "®", "&ndash;": "–", "&mdash;": "—", "&hellip;": "…", "&amp;": "&"}
 
 
@@ -76,16 +81,26 @@ def _decoded(text: Column) -> Column:
     """All entities decoded as in HTML 5, then single blanks for any white space; in Python, in Arrow batches."""
 
     def run(texts: pa.Array) -> pa.Array:
-        return pa.array([None if t is None else _blanks.sub(" ", unescape(t)).strip() for t in texts.to_pylist()], pa.string())
+        return in_slices(texts, lambda part: pa.array([None if t is None else _blanks.sub(" ", unescape(t)).strip() for t in part], pa.string()))
 
     run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
     return F.arrow_udf(run, "string")(text)
 
 
-def html_to_text(html: Column) -> Column:
-    """Visible text: no scripts, styles or tags, entities decoded, single blanks."""
-    bare = F.regexp_replace(html, r"(?is)<(script|style)[^>]*>.*?</\1>", " ")
-    return _decoded(F.regexp_replace(bare, r"<[^>]+>", " "))
+def html_to_text(html: Column, entities: dict[str, str] | None = None) -> Column:
+    """Visible text: no scripts, styles or tags, entities decoded, single blanks.
+
+    Decoded are all entities, also those that lack their end, or only those given, to the letter and one after the other.
+    """
+    if entities is None:
+        bare = F.regexp_replace(html, r"(?is)<(script|style)[^>]*>.*?</\1>", " ")
+        return _decoded(F.regexp_replace(bare, r"<[^>]+>", " "))
+    bare = html
+    for part in (r"(?is)<script[^>]*>.*?</script>", r"(?is)<style[^>]*>.*?</style>", r"<[^>]+>"):
+        bare = F.regexp_replace(bare, part, " ")
+    for name, sign in entities.items():
+        bare = F.replace(bare, F.lit(name), F.lit(sign))
+    return strip(F.regexp_replace(bare, r"[\t\n\f\r \xA0]+", " "))
 
 
 def overlap(a: Column, b: Column) -> Column:

@@ -1,8 +1,10 @@
 """What must not grow with the tables beyond their own rows, and results that a shorter way must not lose."""
 
+import duckdb
 from pyspark.sql import functions as F
 
 from quarry.operators import graph
+from quarry.plans import queries
 
 
 def hub(spark, n=30):
@@ -28,3 +30,12 @@ def test_every_entity_of_a_word_is_a_seed(spark):
     asked = spark.createDataFrame([(1, "where is potsdam"), (2, "where is nothing")], "qid int, query string")
     found = {(r.qid, r.entity) for r in graph.seeds(graph.build(chunks), asked).collect()}
     assert found == {(1, "potsdam"), (1, "potsdamer platz"), (1, "neupotsdam"), (1, "altpotsdam"), (1, "then unterpotsdam"), (1, "unterpotsdam"), (1, "potsdamer"), (1, "ot"), (2, "ot")}
+
+
+def test_pages_read_as_their_sql_does(spark, tmp_path):
+    pages = ["<p>a &amp; b</p> cut &amp", "&times; &amp;lt; &nbsp;&#x41; \u2003 x", "<style>a<script>b</style>c</script>d<b", "<SCRIPT x>\n</script >e</script> f&nbsp;", None]
+    spark.createDataFrame(list(enumerate(pages)), "page_id int, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    with duckdb.connect() as con:
+        con.sql(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+        want = con.sql(queries.SQL["html_text"]).fetchall()
+    assert sorted(map(tuple, queries.QUERIES["html_text"](spark, str(tmp_path)).collect())) == sorted(want)
