@@ -1,9 +1,9 @@
 """Exact nearest vectors of a set of queries, in blocks.
 
 A stated set of at most QUERY_BYTES of queries travels to the executors, and every batch of rows meets it there. A larger
-set meets the rows on a grid: rows are split into parts of some ROW_BYTES, each of which one task holds while all queries
-pass by as a stream. Either way the rows are scanned once, a block of queries meets a block of rows in one matrix
-product, and of that each query's k best stay. Nothing is paired by a cross join.
+set meets the rows on a grid of both: a cell has some ROW_BYTES of rows and as many queries, so that no task has more than
+their product to do, however large the tables are. It holds its rows while its queries pass by. A block of queries meets a
+block of rows in one matrix product, and of that each query's k best stay. Nothing is paired by a cross join.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,11 +21,13 @@ from quarry.functions.vectors import unit
 from quarry.operators.sparse import best
 
 #: Bytes of query vectors that are broadcast, at most.
-QUERY_BYTES = 32 << 20
-#: Bytes of vectors in a part of the grid.
-ROW_BYTES = 64 << 20
-#: Products that are held at once.
-CELLS = 4 << 20
+QUERY_BYTES = 8 << 20
+#: Bytes of vectors on a side of a cell of the grid.
+ROW_BYTES = 16 << 20
+#: Products that are held at once, and rows that meet them in single precision.
+CELLS, WIDE = 1 << 20, 1 << 12
+#: Pairs that are handed on at once where all are.
+PAIRS = 1 << 17
 METRICS = ("cosine", "l2", "chunk_cosine")
 
 
@@ -39,28 +42,24 @@ def search(rows: DataFrame, queries: DataFrame, k: int | None = 5, metric: str =
     Null vectors have no result; another length than the queries' raises. A zero vector has cosine 0 with all.
     """
     _check(metric)
-    asked = queries.select(F.col(qid_col).alias("qid"), F.col(query_col).cast("array<double>").alias("v")).where("v is not null")
+    kind = lambda df, c: "array<float>" if df.select(c).schema[0].dataType.simpleString() == "array<float>" else "array<double>"
+    asked = queries.select(F.col(qid_col).alias("qid"), F.col(query_col).cast(kind(queries, query_col)).alias("v")).where("v is not null")
     shape = asked.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("d"), F.min(F.size("v")).alias("e")).first()
     if shape["n"] and shape["d"] != shape["e"]:
         raise ValueError("query vectors differ in length")
     size = shape["d"] or 1
     if metric == "chunk_cosine":
         asked = asked.where(F.exists("v", lambda x: x != 0))
-    stored = rows.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("v is not null")
-    stored = stored.withColumn("v", F.when(F.size("v") == size, F.col("v")).otherwise(F.raise_error(F.lit(f"vectors must have {size} components")).cast("array<double>")))
+    stored = rows.select(F.col(id_col).alias("id"), F.col(vector_col).cast(kind(rows, vector_col)).alias("v")).where("v is not null")
+    stored = stored.withColumn("v", F.when(F.size("v") == size, F.col("v")).otherwise(F.raise_error(F.lit(f"vectors must have {size} components")).cast(kind(rows, vector_col))))
 
     def meet(given: pa.RecordBatch, held: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         asked_for, v = matrix(given.column("v")), matrix(held.column("v"))
         ids, names = held.column("id"), given.column("qid")
-        order = np.argsort(np.argsort(np.array(ids.to_pylist(), object), kind="stable"), kind="stable") if k is not None else None
-        each = max(1, CELLS // len(v))
-        for a in range(0, len(asked_for), each):
-            value = _values(asked_for[a : a + each], v, metric, digits)
-            picked = [_best(row, order, k) for row in value]
-            q = np.repeat(np.arange(a, a + len(picked)), [len(p) for p in picked])
-            n = np.concatenate(picked) if picked else np.zeros(0, np.int64)
-            score = value[q - a, n] * (-1.0 if metric == "l2" else 1.0) + 0.0
-            yield pa.record_batch([names.take(pa.array(q)), ids.take(pa.array(n)), pa.array(score)], ["qid", "id", "score"])
+        order = np.empty(len(v), np.int64)
+        order[pc.sort_indices(ids).to_numpy()] = np.arange(len(v))
+        for q, n, score in _nearest(asked_for, v, order, k, digits) if k is not None and metric == "cosine" else _compared(asked_for, v, order, k, metric, digits):
+            yield pa.record_batch([names.take(pa.array(q)), ids.take(pa.array(n)), pa.array(score * (-1.0 if metric == "l2" else 1.0) + 0.0)], ["qid", "id", "score"])
 
     kinds = (asked.schema["qid"].dataType.simpleString(), stored.schema["id"].dataType.simpleString())
     found = in_blocks(stored, asked, shape["n"] * size * 8, f"qid {kinds[0]}, id {kinds[1]}, score double", meet)
@@ -68,7 +67,8 @@ def search(rows: DataFrame, queries: DataFrame, k: int | None = 5, metric: str =
 
 
 def matrix(vectors: pa.Array) -> np.ndarray:
-    return vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1)
+    """Vectors of one length in double precision."""
+    return vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(vectors), -1)
 
 
 def _values(asked_for: np.ndarray, v: np.ndarray, metric: str, digits: int) -> np.ndarray:
@@ -93,6 +93,66 @@ def _best(value: np.ndarray, order: np.ndarray | None, k: int | None) -> np.ndar
     return near[np.lexsort((order[near], -value[near]))[:k]]
 
 
+Found = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def _compared(asked_for: np.ndarray, v: np.ndarray, order: np.ndarray, k: int | None, metric: str, digits: int) -> Iterator[Found]:
+    """(query, row, value) of each query's k best rows, or of all pairs, block by block."""
+    wide, most = (len(v), CELLS) if k is not None else (min(len(v), PAIRS), PAIRS)
+    each = max(1, most // max(wide, 1))
+    for b in range(0, len(v), wide or 1):
+        for a in range(0, len(asked_for), each):
+            value = _values(asked_for[a : a + each], v[b : b + wide], metric, digits)
+            if k is None:
+                q, n = np.divmod(np.arange(value.size), value.shape[1])
+            else:
+                picked = [_best(row, order, k) for row in value]
+                q, n = np.repeat(np.arange(len(picked)), [len(p) for p in picked]), np.concatenate(picked)
+            yield q + a, n + b, value[q, n]
+
+
+def _nearest(asked_for: np.ndarray, v: np.ndarray, order: np.ndarray, k: int, digits: int) -> Iterator[Found]:
+    """As _compared, for cosines.
+
+    Products in single precision pick the rows that reach a query's k best so far, less what such a product may err and
+    rounding may lift; only those are computed in double precision, rounded and ranked. Where many reach it (equal vectors),
+    the block is compared in full.
+    """
+    one, two = (m / np.maximum(np.sqrt(np.square(m).sum(1)), 1e-12)[:, None] for m in (asked_for, v))
+    left, right = one.astype(np.float32), two.astype(np.float32)
+    slack = np.float32((v.shape[1] + 8) * 1.2e-7 + 2 * 10.0**-digits)
+    each = max(1, CELLS // max(1, min(WIDE, len(v))))
+    for a in range(0, len(left), each):
+        some = left[a : a + each]
+        floor = np.full(len(some), -np.inf, np.float32)
+        held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        for b in range(0, len(right), WIDE):
+            near = some @ right[b : b + WIDE].T
+            if not b and near.shape[1] > k:
+                floor = np.partition(near, near.shape[1] - k, axis=1)[:, near.shape[1] - k] - slack
+            hit = near >= floor[:, None] - slack
+            count = int(np.count_nonzero(hit))
+            if not count:
+                continue
+            if count <= max(64 * len(some), near.size // 64):
+                q, n = np.divmod(np.flatnonzero(hit), hit.shape[1])
+                n += b
+                value = np.round(np.einsum("ij,ij->i", one[a + q], two[n]), digits)
+            else:
+                full = [(q, n + b, x) for q, n, x in _compared(asked_for[a : a + each], v[b : b + WIDE], order[b : b + WIDE], k, "cosine", digits)]
+                q, n, value = map(np.concatenate, zip(*full))
+            q, n, value = map(np.concatenate, zip(held, (q, n, value)))
+            at = np.lexsort((order[n], -value, q))
+            q, n, value = q[at], n[at], value[at]
+            first = np.searchsorted(q, np.arange(len(some)))
+            stay = np.arange(len(q)) - first[q] < k
+            q, n, value = held = q[stay], n[stay], value[stay]
+            filled = np.bincount(q, minlength=len(some)) == k
+            last = np.searchsorted(q, np.arange(len(some)), "right")[filled] - 1
+            floor[filled] = np.maximum(floor[filled], value[last].astype(np.float32))
+        yield held[0] + a, held[1], held[2]
+
+
 def in_blocks(stored: DataFrame, asked: DataFrame, size: int, fields: str, meet: Callable[[pa.RecordBatch, pa.RecordBatch], Iterator[pa.RecordBatch]]) -> DataFrame:
     """What meet gives for all blocks of asked and of stored (id, v), each pair of rows being in one. size: bytes of asked."""
     spark, names = stored.sparkSession, asked.columns
@@ -108,10 +168,14 @@ def in_blocks(stored: DataFrame, asked: DataFrame, size: int, fields: str, meet:
 
         return stored.mapInArrow(run, fields)
     total = stored.agg(F.coalesce(F.sum(F.size("v").cast("long") * 8), F.lit(0))).first()[0]
-    parts = max(1, math.ceil(total / ROW_BYTES))
-    left = stored.select(F.pmod(F.xxhash64("id", "v"), F.lit(parts)).cast("int").alias("part"), F.lit(0).alias("side"), F.struct("id", "v").alias("held"))
-    right = asked.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(1).alias("side"), F.struct(*names).alias("given"))
-    both = left.unionByName(right, allowMissingColumns=True).repartitionById(parts, F.col("part")).sortWithinPartitions("side")
+    parts, across = max(1, math.ceil(total / ROW_BYTES)), max(1, math.ceil(size / ROW_BYTES))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = stored.select("*", F.pmod(F.xxhash64("id", "v"), F.lit(parts)).alias("n"), each(across).alias("m"))
+    right = asked.select("*", each(parts).alias("n"), F.pmod(F.xxhash64(*names), F.lit(across)).alias("m"))
+    cell = (F.col("n") * across + F.col("m")).cast("int").alias("part")
+    left = left.select(cell, F.lit(0).alias("side"), F.struct("id", "v").alias("held"))
+    right = right.select(cell, F.lit(1).alias("side"), F.struct(*names).alias("given"))
+    both = left.unionByName(right, allowMissingColumns=True).repartitionById(parts * across, F.col("part")).sortWithinPartitions("side")
 
     def pass_by(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, held = [], None

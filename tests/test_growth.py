@@ -1,9 +1,12 @@
 """What must not grow with the tables beyond their own rows, and results that a shorter way must not lose."""
 
 import duckdb
+import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
-from quarry.operators import graph
+from quarry.operators import dense, graph, metrics
 from quarry.plans import queries
 
 
@@ -39,3 +42,53 @@ def test_pages_read_as_their_sql_does(spark, tmp_path):
         con.sql(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
         want = con.sql(queries.SQL["html_text"]).fetchall()
     assert sorted(map(tuple, queries.QUERIES["html_text"](spark, str(tmp_path)).collect())) == sorted(want)
+
+
+def test_a_large_set_of_queries_is_split_as_well(spark, monkeypatch):
+    rows = spark.range(400).select(F.col("id").alias("vec_id"), F.array(F.sin("id"), F.cos("id"), F.sin(F.col("id") * 3)).alias("embedding"))
+    asked = rows.withColumnRenamed("vec_id", "qid")
+    whole = sorted(map(tuple, dense.search(rows, asked, 5).collect()))
+    monkeypatch.setattr(dense, "QUERY_BYTES", 100)
+    monkeypatch.setattr(dense, "ROW_BYTES", 100 * 3 * 8)
+    met = []
+
+    def meet(given, held):
+        yield pa.record_batch([pa.array([given.num_rows * held.num_rows], pa.int64())], ["n"])
+
+    stored = rows.selectExpr("vec_id as id", "embedding as v")
+    each = dense.in_blocks(stored, asked.selectExpr("qid", "embedding as v"), 400 * 24, "n bigint", meet)
+    met = each.withColumn("p", F.spark_partition_id()).groupBy("p").sum("n").collect()
+    assert sum(r[1] for r in met) == 400 * 400 and len(met) == 16 and max(r[1] for r in met) < 400 * 400 / 8
+    assert sorted(map(tuple, dense.search(rows, asked, 5).collect())) == whole
+
+
+@pytest.mark.parametrize("kind", ["normal", "equal", "few", "zero", "near"])
+def test_single_precision_loses_no_neighbour(kind, monkeypatch):
+    monkeypatch.setattr(dense, "WIDE", 64)
+    monkeypatch.setattr(dense, "CELLS", 1 << 10)
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(500, 8))
+    if kind == "equal":
+        v[:] = v[0]
+    elif kind == "few":
+        v = v[rng.integers(0, 7, 500)] * rng.uniform(0.1, 10, 500)[:, None]
+    elif kind == "zero":
+        v[::2] = 0
+    elif kind == "near":
+        v = v[0] + rng.normal(size=v.shape) * 1e-4
+    asked, order = v[:40], rng.permutation(500)
+    sorted_ = lambda found: sorted(zip(*(np.concatenate(x).tolist() for x in zip(*found))))
+    got = sorted_(dense._nearest(asked, v, order, 5, 6))
+    want = sorted_([(q, n, x) for q, n, x in dense._compared(asked, v, order, 5, "cosine", 6)])
+    assert [(q, n) for q, n, _ in got] == [(q, n) for q, n, _ in want] and np.allclose([x for *_, x in got], [x for *_, x in want], rtol=0, atol=1e-9)
+
+
+def test_relevance_by_class_lists_no_pairs(spark):
+    items = spark.createDataFrame([(i, i % 3 if i != 5 else None) for i in range(12)], "id int, label int")
+    asked = spark.createDataFrame([(0, 0), (4, 1), (5, None), (50, 2), (60, 9)], "qid int, label int")
+    pairs = asked.join(items, "label").where("qid <> id").select("qid", "id")
+    ranking = spark.createDataFrame([(q, r + 1, (q + 2 * r) % 12) for q in (0, 4, 5, 50) for r in range(6)], "qid int, rank int, id int")
+    classes = metrics.Classes(asked, items)
+    rows = lambda df: sorted(tuple(x if x is None else round(x, 9) for x in r) for r in df.collect())
+    assert rows(metrics.per_query(asked, ranking, classes, 3)) == rows(metrics.per_query(asked, ranking, pairs, 3))
+    assert rows(metrics.retrieval(asked, ranking, classes)) == rows(metrics.retrieval(asked, ranking, pairs))
