@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quarry.functions.batches import in_slices
 from quarry.functions.text import clean, sentences, strip
 
 SIZE, OVERLAP, LEAST = 512, 64, 20
@@ -43,7 +44,7 @@ def _udf(split, name: str):
     """An Arrow function from texts to arrays of chunks; split: text to list."""
 
     def run(texts: pa.Array) -> pa.Array:
-        return pa.array([split(t) if t else [] for t in texts.to_pylist()], pa.list_(pa.string()))
+        return in_slices(texts, lambda part: pa.array([split(t) if t else [] for t in part], pa.list_(pa.string())))
 
     run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
     run.__name__ = name
@@ -73,9 +74,13 @@ def split_recursively(text: str, size: int, separators: Sequence[str] = SEPARATO
 
 
 def recursive(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, overlap: int = OVERLAP, separators: Sequence[str] = SEPARATORS) -> DataFrame:
-    """Packed parts, each led by the last overlap characters of the part before it."""
-    parts = _udf(lambda t: split_recursively(t, size, separators), "parts")(F.col(text_col))
-    return with_overlap(_exploded(df, parts, id_col), id_col, overlap).where(strip(F.col("text")) != "")
+    """Packed parts, each led by the last overlap characters of the part before it. A text is one row till it is cut: nothing travels."""
+
+    def split(text: str) -> list[str]:
+        parts = split_recursively(text, size, separators)
+        return [a[-overlap:] + b for a, b in zip(["", *parts], parts)] if overlap > 0 else parts
+
+    return _exploded(df, _udf(split, "parts")(F.col(text_col)), id_col).where(strip(F.col("text")) != "")
 
 
 def with_overlap(chunks: DataFrame, id_col: str = "doc_id", overlap: int = OVERLAP) -> DataFrame:
@@ -103,7 +108,7 @@ def by_sentence(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 
     def ranges(lengths: pa.Array) -> pa.Array:
         kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
-        return pa.array([[{"first": a, "last": b} for a, b in pack_sentences(n or [], size, overlap)] for n in lengths.to_pylist()], kind)
+        return in_slices(lengths, lambda part: pa.array([[{"first": a, "last": b} for a, b in pack_sentences(n or [], size, overlap)] for n in part], kind))
 
     ranges.__annotations__ = {"lengths": pa.Array, "return": pa.Array}
     runs = F.arrow_udf(ranges, "array<struct<first:int,last:int>>")
@@ -143,7 +148,7 @@ def sentence_similarity(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     """(id, idx, sim) of texts, see similarities. Each text is one row throughout: nothing travels."""
 
     def run(parts: pa.Array) -> pa.Array:
-        return pa.array([similarities(p) if p else [] for p in parts.to_pylist()], pa.list_(pa.float64()))
+        return in_slices(parts, lambda some: pa.array([similarities(p) if p else [] for p in some], pa.list_(pa.float64())))
 
     run.__annotations__ = {"parts": pa.Array, "return": pa.Array}
     sims = F.arrow_udf(run, "array<double>")("_s")
@@ -153,15 +158,18 @@ def sentence_similarity(df: DataFrame, id_col: str = "doc_id", text_col: str = "
 def semantic_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percentile: float | None = 90, threshold: float = 0.5) -> DataFrame:
     """(id, groups): an array of the texts between drops of similarity."""
 
-    def run(parts: pa.Array) -> pa.Array:
+    def grouped(parts: list) -> pa.Array:
         out = []
-        for p in parts.to_pylist():
+        for p in parts:
             groups: dict[int, list[str]] = {}
             for s, g in zip(p or [], group_numbers(similarities(p), percentile, threshold) if p else []):
                 groups.setdefault(g, []).append(s)
             out.append([" ".join(g) for g in groups.values()])
         return pa.array(out, pa.list_(pa.string()))
 
+    def run(parts: pa.Array) -> pa.Array:
+        return in_slices(parts, grouped)
+
     run.__annotations__ = {"parts": pa.Array, "return": pa.Array}
     return _with_sentences(df, id_col, text_col).select(id_col, F.arrow_udf(run, "array<string>")("_s").alias("groups"))
 
@@ -199,7 +207,7 @@ def semantic(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", perc
     folded = semantic_groups(df, id_col, text_col, percentile, threshold)
 
     def settle(parts: pa.Array) -> pa.Array:
-        return pa.array([settle_sizes(p or [], least, most) for p in parts.to_pylist()], pa.list_(pa.string()))
+        return in_slices(parts, lambda some: pa.array([settle_sizes(p or [], least, most) for p in some], pa.list_(pa.string())))
 
     settle.__annotations__ = {"parts": pa.Array, "return": pa.Array}
     settled = F.arrow_udf(settle, "array<string>")("groups")
