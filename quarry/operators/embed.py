@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import numpy as np
@@ -12,10 +12,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.functions.batches import in_slices
 from quarry.functions.text import blank_tokens
 from quarry.functions.vectors import dot, norm
 
 _word = re.compile(r"\w+")
+#: Words whose place or vector a Python worker remembers.
+WORDS = 100_000
 
 
 class Encoder(Protocol):
@@ -35,16 +38,24 @@ class HashingEncoder:
     def encode(self, text: Column) -> Column:
         size = self.dimension
 
+        spot: dict[str, int] = {}
+
+        def place(word: str) -> int:
+            if len(spot) >= WORDS:
+                spot.clear()
+            return spot.setdefault(word, int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % size)
+
+        def vectors(texts: list) -> pa.Array:
+            known = spot.get
+            counts = np.zeros((len(texts), size))
+            for row, t in zip(counts, texts):
+                found = [x if (x := known(w)) is not None else place(w) for w in _word.findall((t or "").lower())]
+                row += np.bincount(np.array(found, np.int64), minlength=size)
+            counts /= np.maximum(np.sqrt(np.square(counts).sum(1)), 1e-12)[:, None]
+            return pa.ListArray.from_arrays(np.arange(0, counts.size + 1, size, dtype=np.int32), pa.array(counts.reshape(-1)))
+
         def run(texts: pa.Array) -> pa.Array:
-            spot: dict[str, int] = {}
-            out = np.zeros((len(texts), size))
-            for i, t in enumerate(texts.to_pylist()):
-                for w in _word.findall((t or "").lower()):
-                    if w not in spot:
-                        spot[w] = int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % size
-                    out[i, spot[w]] += 1
-            out /= np.maximum(np.sqrt(np.square(out).sum(1)), 1e-12)[:, None]
-            return pa.ListArray.from_arrays(np.arange(0, out.size + 1, size, dtype=np.int32), pa.array(out.reshape(-1)))
+            return in_slices(texts, vectors)
 
         run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
         return F.arrow_udf(run, "array<double>")(text)
@@ -170,21 +181,38 @@ def embed(df: DataFrame, encoder: Encoder, text_col: str = "text", out_col: str
 
 
 def token_vectors(df: DataFrame, id_col: str = "id", text_col: str = "text", dimension: int = 128, most: int = 512) -> DataFrame:
-    """(id, pos, vec): a seeded unit vector for each of the first most words, which depends on the word alone."""
+    """(id, pos, vec): a seeded unit vector for each of the first most words, which depends on the word alone.
+
+    Vectors are made where the texts are: neither words nor vectors travel.
+    """
     words = F.slice(blank_tokens(F.coalesce(F.col(text_col), F.lit(""))), 1, most)
     words = F.when(F.size(words) > 0, words).otherwise(F.array(F.lit("[empty]")))
-    rows = df.select(id_col, F.posexplode(words).alias("pos", "word"))
-
-    def vectors(words: pa.Array) -> pa.Array:
-        out = []
-        for w in words.to_pylist():
-            v = np.random.RandomState(int.from_bytes(hashlib.sha256(w.encode()).digest()[:4], "big")).randn(dimension)
-            out.append(v / max(float(np.linalg.norm(v)), 1e-12))
-        return pa.array(out, pa.list_(pa.float64()))
-
-    vectors.__annotations__ = {"words": pa.Array, "return": pa.Array}
-    known = rows.select("word").distinct().withColumn("vec", F.arrow_udf(vectors, "array<double>")("word"))
-    return rows.join(known, "word").select(id_col, "pos", "vec")
+    seen: dict[str, np.ndarray] = {}
+    state = np.random.RandomState()  # seeded anew for each word: making one takes ten times as long
+
+    def vector(word: str) -> np.ndarray:
+        v = seen.get(word)
+        if v is None:
+            if len(seen) >= WORDS // 2:
+                seen.clear()
+            state.seed(int.from_bytes(hashlib.sha256(word.encode()).digest()[:4], "big"))
+            v = state.randn(dimension)
+            v = seen[word] = v / max(float(v.dot(v)) ** 0.5, 1e-12)
+        return v
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, given = batch.column(0), batch.column(1)
+            for i in range(0, len(ids), 16):  # 16 texts have at most 16 * most vectors
+                part = given.slice(i, 16)
+                flat, n = part.flatten().to_pylist(), part.value_lengths().to_numpy()
+                row = np.repeat(np.arange(i, i + len(n)), n)
+                pos = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                m = np.concatenate([vector(w) for w in flat])
+                yield pa.record_batch([ids.take(pa.array(row)), pa.array(pos.astype(np.int32)), pa.ListArray.from_arrays(np.arange(0, m.size + 1, dimension, dtype=np.int32), pa.array(m))], [id_col, "pos", "vec"])
+
+    rows = df.select(id_col, words.alias("words"))
+    return rows.mapInArrow(run, f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, pos int, vec array<double>")
 
 
 def token_model(df: DataFrame, load: Callable[[], Callable[[list[str]], list[np.ndarray]]], id_col: str = "id", text_col: str = "text", most: int = 512) -> DataFrame:
