@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarry.operators import dense, sparse
+from quarry.operators.topk import few
 
 #: Characters of a text that tell it from others.
 KEY = 200
@@ -42,6 +43,6 @@ def hybrid(docs: DataFrame, index: sparse.SparseIndex, queries: DataFrame, k: in
     words = sparse.search(index, queries, deep, qid_col=qid_col, query_col=query_col)
     lists = near.withColumn("list_no", F.lit(0)).unionByName(words.withColumn("list_no", F.lit(1)))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    # deep rows a query and list look for their texts
-    fused = reciprocal_rank(lists.join(texts, "id"), rrf_k, (alpha, 1 - alpha))
+    # deep rows a query and list go to the texts
+    fused = reciprocal_rank(texts.join(few(lists, 2 * deep * queries.count()), "id"), rrf_k, (alpha, 1 - alpha))
     return fused.where(F.col("rank") <= k)

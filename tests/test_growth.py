@@ -6,7 +6,9 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.operators import dense, graph, metrics
+from quarry.functions import batches
+from quarry.functions import vectors as vx
+from quarry.operators import chunking, dense, embed, fusion, graph, metrics, sparse
 from quarry.plans import queries
 
 
@@ -92,3 +94,53 @@ def test_relevance_by_class_lists_no_pairs(spark):
     rows = lambda df: sorted(tuple(x if x is None else round(x, 9) for x in r) for r in df.collect())
     assert rows(metrics.per_query(asked, ranking, classes, 3)) == rows(metrics.per_query(asked, ranking, pairs, 3))
     assert rows(metrics.retrieval(asked, ranking, classes)) == rows(metrics.retrieval(asked, ranking, pairs))
+
+
+def planned(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+TEXTS = ["The cat sat on the mat. A mat of a cat! Why not?", "dogs and cats and mats " * 40, "", None, "mat " * 9 + "cat.", "Python programs run. " * 60]
+
+
+@pytest.fixture(scope="module")
+def texts(spark):
+    return spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS * 5)], "doc_id int, text string")
+
+
+def test_texts_are_cut_where_they_are(spark, texts):
+    got = chunking.recursive(texts, size=60, overlap=7)
+    assert "Exchange" not in planned(got)
+    want = chunking.with_overlap(texts.select("doc_id", F.posexplode(chunking._udf(lambda t: chunking.split_recursively(t, 60), "parts")("text")).alias("chunk_index", "text")), overlap=7)
+    assert sorted(got.collect()) == sorted(want.collect()) and got.count() > 100
+
+
+def test_token_vectors_do_not_travel(spark, texts):
+    got = embed.token_vectors(texts, "doc_id", dimension=4, most=5)
+    assert "Exchange" not in planned(got)
+    rows = {(r.doc_id, r.pos): r.vec for r in got.collect()}
+    assert rows[0, 1] == rows[6, 1] and rows[1, 1] == pytest.approx(rows[1, 3]) and rows[2, 0] == rows[3, 0]  # the cat, and, no word
+    assert {p for d, p in rows if d == 1} == set(range(5)) and all(sum(x * x for x in v) == pytest.approx(1) for v in rows.values())
+    lengths = spark.createDataFrame([([3.0, 4.0],), ([],), (None,), ([1.0],)], "v array<double>").select(vx.squared_length(F.col("v"))).collect()
+    assert [r[0] for r in lengths] == [25.0, 0.0, None, 1.0]
+
+
+def test_words_are_searched_in_place_as_by_postings(spark, texts):
+    index = sparse.build(texts)
+    asked = spark.createDataFrame([(1, "cat mat mat"), (2, "python"), (3, "the nothing"), (4, "and dogs, cats")], "qid int, query string")
+    want = sorted(map(tuple, sparse.best(sparse.scores(index, asked, b=0.3), 4).collect()))
+    assert sorted(map(tuple, sparse.search(index, asked, 4, b=0.3).collect())) == want and len(want) > 8
+    whole = sparse.build(texts).postings.groupBy("token").count()
+    assert sorted(map(tuple, index.terms.collect())) == sorted(map(tuple, whole.collect()))
+    assert "Join" not in planned(sparse.search(index, asked, 4)) and planned(sparse.build(texts).terms).count("Exchange") == 1
+    assert sparse.search(index, asked.where("qid = 3"), 4).count() == sparse.search(index, asked.where("qid > 9"), 4).count() == 0
+    hits = fusion.hybrid(embed.embed(texts, embed.HashingEncoder(16)), index, embed.embed(asked, embed.HashingEncoder(16), "query"), 2)
+    assert "SortMergeJoin" not in planned(hits)
+
+
+def test_few_values_are_objects_at_once(spark, monkeypatch):
+    sizes = []
+    values = pa.array([str(i) if i % 7 else None for i in range(1000)])
+    got = batches.in_slices(values, lambda part: sizes.append(len(part)) or pa.array(part, pa.string()))
+    assert got.equals(values) and max(sizes) == batches.SLICE and sum(sizes) == 1000
+    assert batches.in_slices(values.slice(0, 0), lambda part: pa.array(part, pa.string())).equals(values.slice(0, 0))
